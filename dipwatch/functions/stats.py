@@ -33,34 +33,34 @@ def wilson(k: Column, n: Column, z: Column | float = Z) -> tuple[Column, Column]
     return low, high
 
 
-def state_of(low: Column, high: Column, n: Column, expected: Column, delta_pp: Column,
-             min_volume: int = MIN_VOLUME) -> Column:
-    """Verdict on an interval. Volume is looked at only when it straddles the limit."""
-    limit = expected - delta_pp / F.lit(100.0)
-    return (
-        F.when(high < limit, DROP)
-        .when(low > limit, HEALTHY)
-        .when(n < min_volume, THIN)
-        .otherwise(MONITORING)
-    )
-
-
-def with_verdict(df: DataFrame, k: str, n: str, expected: str, delta_pp: str, z: Column | float = Z,
+def with_verdict(df: DataFrame, k: str, n: str, expected: str, delta_pp: str, z: str | float = Z,
                  prefix: str = "") -> DataFrame:
     """Add ``<prefix>ci_low``, ``<prefix>ci_high`` and ``<prefix>state``.
 
-    Rows without an expected rate get nulls: that hypothesis does not exist.
+    ``k``, ``n``, ``expected``, ``delta_pp`` and ``z`` are column names (or a
+    number for z). Rows without an expected rate get nulls: that hypothesis
+    does not exist. Volume is looked at only when the interval straddles the
+    limit, so a thin slice can be a drop or healthy.
     """
-    known = F.col(expected).isNotNull()
-    low, high = wilson(F.col(k), F.col(n), z)
-    return (
-        df.withColumn(f"{prefix}ci_low", F.when(known, low))
-        .withColumn(f"{prefix}ci_high", F.when(known, high))
-        .withColumn(
-            f"{prefix}state",
-            F.when(known, state_of(F.col(f"{prefix}ci_low"), F.col(f"{prefix}ci_high"), F.col(n),
-                                   F.col(expected), F.col(delta_pp))),
-        )
+    z = str(z)
+    share, spread = f"try_divide({k}, {n})", f"try_divide({z} * {z}, {n})"
+    center = f"({share} + {spread} / 2) / (1 + {spread})"
+    half = (
+        f"{z} / (1 + {spread}) * sqrt(try_divide({share} * (1 - {share}), {n})"
+        f" + try_divide({z} * {z}, 4 * cast({n} AS double) * {n}))"
+    )
+    limit = f"({expected} - {delta_pp} / 100)"
+    low, high, state = f"{prefix}ci_low", f"{prefix}ci_high", f"{prefix}state"
+    bounds = df.withColumns({
+        low: F.expr(f"CASE WHEN {expected} IS NOT NULL THEN coalesce(greatest(0D, {center} - {half}), 0D) END"),
+        high: F.expr(f"CASE WHEN {expected} IS NOT NULL THEN coalesce(least(1D, {center} + {half}), 1D) END"),
+    })
+    return bounds.withColumn(
+        state,
+        F.expr(
+            f"CASE WHEN {expected} IS NULL THEN NULL WHEN {high} < {limit} THEN '{DROP}'"
+            f" WHEN {low} > {limit} THEN '{HEALTHY}' WHEN {n} < {MIN_VOLUME} THEN '{THIN}' ELSE '{MONITORING}' END"
+        ),
     )
 
 
