@@ -59,16 +59,17 @@ def free_mask(prefix: str = "") -> Column:
     )
 
 
-def project_to_masks(rows: DataFrame, masks=range(8)) -> DataFrame:
-    """One copy of each row per mask, free dimensions outside the mask set to NULL.
+def project_to_masks(rows: DataFrame, dims=FREE_DIMS) -> DataFrame:
+    """One copy of each row per subset of ``dims``, the others set to NULL.
 
-    With ``mask`` in the join key a wildcard match becomes a plain equi-join,
-    so Spark never falls back to a nested loop.
+    A wildcard match against partial cells then is a null-safe equi-join, so
+    Spark never falls back to a nested loop.
     """
-    exploded = rows.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in masks])))
-    for i, d in enumerate(FREE_DIMS):
-        exploded = exploded.withColumn(d, F.when(F.col("mask").bitwiseAND(4 >> i) != 0, F.col(d)))
-    return exploded
+    top = len(dims) - 1
+    exploded = rows.withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(2 ** len(dims) - 1))))
+    return exploded.withColumns({
+        d: F.when(F.col("mask").bitwiseAND(1 << (top - i)) != 0, F.col(d)) for i, d in enumerate(dims)
+    })
 
 
 def null_safe_on(left: DataFrame, right: DataFrame, columns) -> Column:

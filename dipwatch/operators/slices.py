@@ -43,18 +43,19 @@ def slice_sums(rollup: DataFrame) -> DataFrame:
     )
 
 
-def lattice_sums(rollup: DataFrame, masks=range(8)) -> DataFrame:
+def lattice_sums(rollup: DataFrame) -> DataFrame:
     """The search lattice: all provider x method x issuer slices under each root."""
-    return project_to_masks(rollup, masks).groupBy("bucket", "minute", "mask", *DIMS).agg(
-        *[F.sum(m).alias(m) for m in MEASURES],
-        F.count(F.when(F.col("payment_method") != "CARD", 1)).alias("_seen_non_card"),
-    ).drop("_seen_non_card")
+    return project_to_masks(rollup).groupBy("bucket", "minute", "mask", *DIMS).agg(
+        *[F.sum(m).alias(m) for m in MEASURES]
+    )
 
 
-def cell_series(rollup: DataFrame, cells: DataFrame, measures=MEASURES, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Minute series of the requested rooted cells only.
+def cell_series(rollup: DataFrame, cells: DataFrame, measures=MEASURES, extra: tuple[str, ...] = (),
+                any_country: bool = False) -> DataFrame:
+    """Minute series of the requested cells only.
 
-    ``cells`` has the five dimension columns (merchant and country set) and a
+    ``cells`` has the five dimension columns (merchant always set, country
+    too unless ``any_country``) and a
     ``[from_minute, to_minute]`` range. Rows are cut down to the requested
     (cell, day) pairs by an equi semi-join on the masked key and then summed,
     so nothing is aggregated for a cell nobody asked about.
@@ -63,11 +64,12 @@ def cell_series(rollup: DataFrame, cells: DataFrame, measures=MEASURES, extra: t
         cells.select(*DIMS, F.explode(blocks_between(F.col("from_minute"), F.col("to_minute"))).alias("block"))
         .distinct()
     )
-    keyed = project_to_masks(rollup).withColumn("block", block_of(F.col("minute")))
+    open_dims = ("country", *FREE_DIMS) if any_country else FREE_DIMS
+    keyed = project_to_masks(rollup, open_dims).withColumn("block", block_of(F.col("minute")))
     left, right = keyed.alias("l"), wanted.alias("r")
     on = [F.col("l.block") == F.col("r.block")]
-    on += [F.col(f"l.{d}") == F.col(f"r.{d}") for d in ROOT_DIMS]
-    on += [F.col(f"l.{d}").eqNullSafe(F.col(f"r.{d}")) for d in FREE_DIMS]
+    on += [F.col(f"l.{d}") == F.col(f"r.{d}") for d in DIMS if d not in open_dims]
+    on += [F.col(f"l.{d}").eqNullSafe(F.col(f"r.{d}")) for d in open_dims]
     # A free dimension nulled by the mask equals a wildcard, one kept by the
     # mask equals a fixed value: the mask itself needs no separate condition.
     kept = left.join(right, on, "left_semi")
