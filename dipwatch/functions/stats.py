@@ -18,21 +18,24 @@ def rate(k: Column, n: Column) -> Column:
     return F.try_divide(k.cast("double"), n.cast("double"))
 
 
-def wilson(k: Column, n: Column, z: Column | float = Z) -> tuple[Column, Column]:
-    """Bounds of the Wilson score interval, (0, 1) for an empty sample."""
-    z = F.lit(z) if not isinstance(z, Column) else z
-    n = n.cast("double")
-    p = F.try_divide(k.cast("double"), n)
-    z2 = z * z
-    scale = F.lit(1.0) + F.try_divide(z2, n)
-    center = F.try_divide(p + F.try_divide(z2, n * F.lit(2.0)), scale)
-    spread = F.sqrt(F.try_divide(p * (F.lit(1.0) - p), n) + F.try_divide(z2, n * n * F.lit(4.0)))
-    half = F.try_divide(z, scale) * spread
-    low = F.coalesce(F.greatest(F.lit(0.0), center - half), F.lit(0.0))
-    high = F.coalesce(F.least(F.lit(1.0), center + half), F.lit(1.0))
+def wilson_sql(k: str, n: str, z: str) -> tuple[str, str]:
+    """Bounds of the Wilson score interval as SQL text, (0, 1) for an empty sample.
+
+    Written with one division by n, which keeps the generated code of the
+    many places that use it small.
+    """
+    middle = f"{k} + {z} * {z} / 2D"
+    half = f"{z} * sqrt(double({k}) * ({n} - {k}) / {n} + {z} * {z} / 4D)"
+    low = f"CASE WHEN {n} = 0 THEN 0D ELSE greatest(0D, ({middle} - {half}) / ({n} + {z} * {z})) END"
+    high = f"CASE WHEN {n} = 0 THEN 1D ELSE least(1D, ({middle} + {half}) / ({n} + {z} * {z})) END"
     return low, high
 
 
+def wilson(k: str, n: str, z: str | float = Z) -> tuple[Column, Column]:
+    low, high = wilson_sql(k, n, f"{z}D" if isinstance(z, float) else z)
+    return F.expr(low), F.expr(high)
+
+
 def with_verdict(df: DataFrame, k: str, n: str, expected: str, delta_pp: str, z: str | float = Z,
                  prefix: str = "") -> DataFrame:
     """Add ``<prefix>ci_low``, ``<prefix>ci_high`` and ``<prefix>state``.
@@ -42,18 +45,12 @@ def with_verdict(df: DataFrame, k: str, n: str, expected: str, delta_pp: str, z:
     does not exist. Volume is looked at only when the interval straddles the
     limit, so a thin slice can be a drop or healthy.
     """
-    z = str(z)
-    share, spread = f"try_divide({k}, {n})", f"try_divide({z} * {z}, {n})"
-    center = f"({share} + {spread} / 2) / (1 + {spread})"
-    half = (
-        f"{z} / (1 + {spread}) * sqrt(try_divide({share} * (1 - {share}), {n})"
-        f" + try_divide({z} * {z}, 4 * cast({n} AS double) * {n}))"
-    )
+    lower, upper = wilson_sql(k, n, f"{z}D" if isinstance(z, float) else z)
     limit = f"({expected} - {delta_pp} / 100)"
     low, high, state = f"{prefix}ci_low", f"{prefix}ci_high", f"{prefix}state"
     bounds = df.withColumns({
-        low: F.expr(f"CASE WHEN {expected} IS NOT NULL THEN coalesce(greatest(0D, {center} - {half}), 0D) END"),
-        high: F.expr(f"CASE WHEN {expected} IS NOT NULL THEN coalesce(least(1D, {center} + {half}), 1D) END"),
+        low: F.expr(f"CASE WHEN {expected} IS NOT NULL THEN {lower} END"),
+        high: F.expr(f"CASE WHEN {expected} IS NOT NULL THEN {upper} END"),
     })
     return bounds.withColumn(
         state,

@@ -34,7 +34,7 @@ def with_impact(collected: DataFrame, expected: str, started: str = "started_min
 
 def with_costs(summed: DataFrame, expected: str) -> DataFrame:
     """Cost columns from ``_attempts``, ``_approved``, the amounts and ``duration_min``."""
-    _, high = wilson(F.col("_approved"), F.col("_attempts"))
+    _, high = wilson("_approved", "_attempts")
     lost = F.round(F.col("_attempts") * F.greatest(F.lit(0.0), F.col(expected) - high)).cast("bigint")
 
     def ticket(amount: str) -> Column:

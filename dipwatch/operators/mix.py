@@ -101,7 +101,7 @@ def dominant(shifts: DataFrame) -> DataFrame:
     """
     first = Window.partitionBy("request_id").orderBy(F.desc("observed_share"), "code")
     leading = shifts.where("diagnostic").withColumn("_place", F.row_number().over(first)).where("_place = 1")
-    low, _ = wilson(F.col("count"), F.col("total_declines"))
+    low, _ = wilson("`count`", "total_declines")
     return leading.where(low > F.col("reference_share")).select(
         "request_id", F.col("code").alias("dominant_code"), F.col("family").alias("dominant_family"), "window_min"
     )

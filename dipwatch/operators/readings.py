@@ -95,38 +95,28 @@ def readings(hypotheses: DataFrame, families: DataFrame) -> DataFrame:
     ``kind`` tells what became of it: ``reading`` counts for persistence,
     ``gap`` is a slice without enough evidence.
     """
-    with_z = hypotheses.join(families.select("bucket", "z"), "bucket", "inner")
-    for lens in ("absolute", "cross", "temporal"):
-        with_z = with_verdict(with_z, "approved", "attempts", f"expected_{lens}", "delta_pp", "z", f"{lens}_")
-
-    both = F.col("cross_state").isNotNull() & F.col("temporal_state").isNotNull()
+    one = hypotheses.join(families.select("bucket", "z"), "bucket", "inner")
+    for lens in ("cross", "temporal"):
+        one = with_verdict(one, "approved", "attempts", f"expected_{lens}", "delta_pp", "z", f"{lens}_")
     source = (
-        F.when(F.col("absolute_state").isNotNull(), "absolute")
-        .when(both & ((F.col("cross_state") == DROP) | (F.col("cross_state") == F.col("temporal_state"))), "cross_sectional")
-        .when(both, "temporal")
-        .when(F.col("cross_state").isNotNull(), "cross_sectional")
-        .when(F.col("temporal_state").isNotNull(), "temporal")
+        F.when(F.col("expected_absolute").isNotNull(), "absolute")
+        .when(F.col("expected_cross").isNull(), "temporal")
+        .when(F.col("expected_temporal").isNull(), "cross_sectional")
+        .when((F.col("cross_state") == DROP) | (F.col("cross_state") == F.col("temporal_state")), "cross_sectional")
+        .otherwise("temporal")
     )
-
-    def chosen(column: str):
-        return (
-            F.when(F.col("expected_source") == "absolute", F.col(column.format("absolute")))
-            .when(F.col("expected_source") == "cross_sectional", F.col(column.format("cross")))
-            .otherwise(F.col(column.format("temporal")))
-        )
-
-    one = (
-        with_z.withColumn("expected_source", source)
-        .withColumn("expected", chosen("expected_{}"))
-        .withColumn("state_1m", chosen("{}_state"))
-        .withColumn("low_1m", chosen("{}_ci_low"))
-        .withColumn("high_1m", chosen("{}_ci_high"))
+    one = one.withColumn("expected_source", source).withColumn(
+        "expected",
+        F.when(F.col("expected_source") == "absolute", F.col("expected_absolute"))
+        .when(F.col("expected_source") == "cross_sectional", F.col("expected_cross"))
+        .otherwise(F.col("expected_temporal")),
     )
+    one = with_verdict(one, "approved", "attempts", "expected", "delta_pp", "z", "plain_")
     # A thin drop is measured again over five minutes, same reference, same z.
     one = with_verdict(one, "wide_k", "wide_n", "expected", "delta_pp", "z", "wide_")
-    retried = (F.col("state_1m") == DROP) & (F.col("attempts") < MIN_VOLUME)
+    retried = (F.col("plain_state") == DROP) & (F.col("attempts") < MIN_VOLUME)
     rescued = retried & (F.col("wide_state") == DROP) & (F.col("wide_n") >= MIN_VOLUME)
-    gap = (F.col("state_1m") == THIN) | (retried & ~rescued)
+    gap = (F.col("plain_state") == THIN) | (retried & ~rescued)
 
     def wide(widened, plain):
         return F.when(rescued, F.col(widened)).otherwise(F.col(plain))
@@ -138,11 +128,11 @@ def readings(hypotheses: DataFrame, families: DataFrame) -> DataFrame:
         "expected_source",
         "expected",
         F.when(gap, "gap").otherwise("reading").alias("kind"),
-        F.when(gap, THIN).otherwise(F.col("state_1m")).alias("state"),
+        F.when(gap, THIN).otherwise(F.col("plain_state")).alias("state"),
         F.when(retried, F.col("wide_n")).otherwise(F.col("attempts")).alias("attempts"),
         F.when(retried, F.col("wide_k")).otherwise(F.col("approved")).alias("approved"),
-        wide("wide_ci_low", "low_1m").alias("ci_low"),
-        wide("wide_ci_high", "high_1m").alias("ci_high"),
+        wide("wide_ci_low", "plain_ci_low").alias("ci_low"),
+        wide("wide_ci_high", "plain_ci_high").alias("ci_high"),
         F.when(rescued, "5m").otherwise("1m").alias("window_used"),
     )
 

@@ -25,9 +25,9 @@ class Detection:
 
 
 def all_readings(rollup: DataFrame, merchants: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Hypotheses are read twice (family size, verdicts), so they are staged once."""
+    """The readings table. Hypotheses are read twice (family size, verdicts), so both are written once."""
     tested = stage(R.hypotheses(rollup, merchants, coverage), "hypotheses")
-    return R.readings(tested, R.families(tested))
+    return stage(R.readings(tested, R.families(tested)), "readings")
 
 
 def signals(confirmed: DataFrame, rollup: DataFrame) -> DataFrame:
@@ -49,6 +49,6 @@ def signals(confirmed: DataFrame, rollup: DataFrame) -> DataFrame:
 
 def detect(rollup: DataFrame, merchants: DataFrame, coverage: DataFrame,
            windows: int = PERSISTENCE_WINDOWS) -> Detection:
-    read = stage(all_readings(rollup, merchants, coverage), "readings")
+    read = all_readings(rollup, merchants, coverage)
     counted = streaks(R.confident(read))
     return Detection(read, counted, signals(promoted(counted, windows), rollup), R.gaps(read))

@@ -92,12 +92,12 @@ class Data:
         signals = stage(found.signals, "signals")
         return G.diagnose(signals, rollup, declines, self.merchants, self.coverage, self.catalog), found, rollup
 
-    def episodes(self, rollup: DataFrame) -> DataFrame:
+    def episodes(self, rollup: DataFrame, readings: DataFrame | None = None) -> DataFrame:
         """Runs of drop readings per slice, as an incident table.
 
         A run ends when the next drop comes more than three minutes later.
         """
-        drops = R.confident(self.readings(rollup)).where(F.col("state") == DROP)
+        drops = R.confident(readings if readings is not None else self.readings(rollup)).where(F.col("state") == DROP)
         runs = drops.groupBy("cell_key", *DIMS, F.session_window("bucket", "210 seconds").alias("w")).agg(
             F.min("bucket").alias("started_at"), F.max("bucket").alias("detected_at"), F.count(F.lit(1)).alias("windows"),
             F.sum(F.col("attempts") - F.col("approved")).alias("cost_usd_minor"),
@@ -787,9 +787,8 @@ def q61_run_steps(d):
 def q62_live_candidates(d):
     """For each confirmed drop the unresolved run it belongs to: narrowest, then newest."""
     r = d.rollup()
-    read = stage(d.readings(r), "readings")
-    d.readings = lambda rollup=None: read
-    live = I.live_candidates(d.episodes(r)).select(
+    read = d.readings(r)
+    live = I.live_candidates(d.episodes(r, read)).select(
         "incident_id", "detected_at", *[F.col(x).alias(f"live_{x}") for x in DIMS], specificity().alias("fixed")
     )
     signals = promoted(streaks(R.confident(read))).select("bucket", "cell_key", *DIMS)
