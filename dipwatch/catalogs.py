@@ -94,7 +94,7 @@ MIN_MATERIAL_DROP_PP = 3.0
 
 def _literal(value) -> str:
     if value is None:
-        return "CAST(NULL AS STRING)"
+        return "NULL"
     if isinstance(value, bool):
         return "true" if value else "false"
     if isinstance(value, float):

@@ -20,9 +20,10 @@ def narrative_numbers(narratives: DataFrame) -> DataFrame:
 
 
 def _plain(value: Column) -> Column:
-    """A double the way a person writes it: no trailing zeros, no exponent."""
-    text = F.format_string("%.12f", value)
-    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    """A double the way a person writes it: shortest digits, no trailing zeros, no exponent."""
+    fixed = F.regexp_replace(F.regexp_replace(F.format_string("%.12f", value), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    short = F.regexp_replace(value.cast("string"), r"\.0$", "")
+    return F.when((F.abs(value) >= 1e-3) & (F.abs(value) < 1e7), short).otherwise(fixed)
 
 
 def spoken_forms(number: Column) -> Column:

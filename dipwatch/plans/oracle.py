@@ -540,8 +540,11 @@ ORACLE.update({
         " END + dayofmonth(d)) // 1000 END) AS BIGINT) AS usd_minor FROM o GROUP BY currency, month"
     ),
     "q45_number_grounding": (
-        "WITH x AS (SELECT conv_id AS id, role = 'assistant' AS a, unnest(regexp_extract_all(text, '-?\\d+(?:\\.\\d+)?')) AS number FROM conversations)"
-        " SELECT DISTINCT id, number FROM x WHERE a AND NOT EXISTS (SELECT 1 FROM x y WHERE NOT y.a AND y.id = x.id AND y.number = x.number)"
+        "WITH x AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(text, '-?\\d+(?:\\.\\d+)?')) AS number FROM documents), a AS (SELECT"
+        " doc_id AS id, unnest([CAST(n_chars AS VARCHAR), CAST(p AS VARCHAR), p || '.0', rtrim(rtrim('0.' || lpad(CAST(p AS VARCHAR), 2, '0'),"
+        " '0'), '.'), regexp_extract(source, '\\d+'), CAST(q AS VARCHAR)] || CASE q WHEN 0 THEN ['0.0'] WHEN 1 THEN ['100', '100.0'] ELSE [] END || CASE"
+        " n_chars WHEN 1 THEN ['100', '100.0'] ELSE [] END) AS number FROM (SELECT *, doc_id % 100 AS p, doc_id % 10 AS q FROM documents))"
+        " SELECT id, number FROM x WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.id = x.id AND a.number = x.number)"
     ),
     "q46_audit_refs": (
         "WITH s AS (SELECT conv_id AS run_id, turn + 1 AS step_no, CASE turn % 4 WHEN 0 THEN 'run_residual_test' WHEN 1 THEN 'scan_incident_onset'"
@@ -620,7 +623,7 @@ ORACLE.update({
     "q62_live_candidates": sql(
         "SELECT c.bucket, c.cell_key, arg_max(e.incident_id, row((e.provider_id IS NOT NULL)::INT + (e.payment_method IS NOT NULL)::INT +"
         " (e.issuer_id IS NOT NULL)::INT, e.detected_at, e.incident_id)) AS incident_id, count(*) AS fitting FROM confirmed c JOIN episodes e ON"
-        " e.merchant_id = c.merchant_id AND e.country = c.country AND e.status <> 'resolved' AND (e.provider_id IS NULL OR c.provider_id IS NULL OR"
+        " e.merchant_id = c.merchant_id AND e.country = c.country AND e.started_at < c.bucket AND c.bucket <= e.detected_at + INTERVAL 3 MINUTE AND (e.provider_id IS NULL OR c.provider_id IS NULL OR"
         " e.provider_id = c.provider_id) AND (e.payment_method IS NULL OR c.payment_method IS NULL OR e.payment_method = c.payment_method) AND"
         " (e.issuer_id IS NULL OR c.issuer_id IS NULL OR e.issuer_id = c.issuer_id) GROUP BY c.bucket, c.cell_key"
     ),
@@ -704,8 +707,8 @@ def _asked_mix() -> str:
         " request_id), w AS (SELECT request_id, th, CASE WHEN t1 >= 20 THEN 1 WHEN t5 >= 20 THEN 5 ELSE 15 END AS w, CASE WHEN t1 >= 20 THEN t1 WHEN"
         " t5 >= 20 THEN t5 ELSE t15 END AS total FROM t), c AS (SELECT x.request_id, x.code, w, total, th, sum(declines) FILTER (age < w) AS cnt,"
         " coalesce(sum(declines) FILTER (age >= 15), 0) AS hist FROM x JOIN w USING (request_id) GROUP BY ALL), s AS (SELECT request_id, code,"
-        " CAST(cnt AS DOUBLE) / total - CASE WHEN th >= 100 THEN CAST(hist AS DOUBLE) / th ELSE baseline_share END AS moved FROM c JOIN ("
-        + C.codes_sql() + ") k USING (code) WHERE cnt > 0), top AS (SELECT request_id, count(*) AS codes, arg_min(code, row(-round(moved, 12), code)) AS"
+        " (CAST(cnt AS DOUBLE) / total - CASE WHEN th >= 100 THEN CAST(hist AS DOUBLE) / th ELSE baseline_share END) * 100 AS moved FROM c JOIN ("
+        + C.codes_sql() + ") k USING (code) WHERE cnt > 0), top AS (SELECT request_id, count(*) AS codes, arg_min(code, row(-moved, code)) AS"
         " most_moved FROM s GROUP BY request_id) SELECT w.request_id, w AS window_min, CAST(total AS BIGINT) AS total_declines, CASE WHEN th >= 100"
         " THEN 'temporal' ELSE 'catalog' END AS reference_source, codes, most_moved FROM w LEFT JOIN top USING (request_id)"
     )

@@ -581,9 +581,12 @@ def q44_fx_dated(d):
 
 @query
 def q45_number_grounding(d):
-    turns = d.table("conversations").select(F.col("conv_id").alias("id"), "role", "text")
-    allowed = audit.narrative_numbers(turns.where("role <> 'assistant'"))
-    return audit.ungrounded_numbers(turns.where("role = 'assistant'"), allowed)
+    """Numbers in each document that the evidence object kept beside it does not hold."""
+    docs = d.table("documents")
+    kept = docs.select(F.col("doc_id").alias("id"), F.to_json(F.struct(
+        "n_chars", "source", (F.col("doc_id") % 100 / 100).alias("rate"), F.array(F.col("doc_id") % 10).alias("sizes"),
+    )).alias("evidence"))
+    return audit.ungrounded_numbers(docs.select(F.col("doc_id").alias("id"), "text"), audit.allowed_from_json(kept))
 
 
 @query
@@ -785,15 +788,16 @@ def q61_run_steps(d):
 
 @query
 def q62_live_candidates(d):
-    """For each confirmed drop the unresolved run it belongs to: narrowest, then newest."""
+    """For each confirmed drop the run it belongs to at that time: narrowest, then newest."""
     r = d.rollup()
     read = d.readings(r)
-    live = I.live_candidates(d.episodes(r, read)).select(
-        "incident_id", "detected_at", *[F.col(x).alias(f"live_{x}") for x in DIMS], specificity().alias("fixed")
+    runs = d.episodes(r, read).select(
+        "incident_id", "started_at", "detected_at", *[F.col(x).alias(f"live_{x}") for x in DIMS], specificity().alias("fixed")
     )
     signals = promoted(streaks(R.confident(read))).select("bucket", "cell_key", *DIMS)
-    on = [signals[x] == live[f"live_{x}"] for x in ROOT_DIMS]
-    joined = signals.join(live, [*on, compatible("", "live_", FREE_DIMS)], "inner")
+    on = [signals[x] == runs[f"live_{x}"] for x in ROOT_DIMS]
+    on += [F.col("started_at") < F.col("bucket"), F.col("bucket") <= F.col("detected_at") + F.expr("INTERVAL 3 MINUTES")]
+    joined = signals.join(runs, [*on, compatible("", "live_", FREE_DIMS)], "inner")
     best = F.max_by("incident_id", F.struct("fixed", "detected_at", "incident_id"))
     return joined.groupBy("bucket", "cell_key").agg(best.alias("incident_id"), F.count(F.lit(1)).alias("fitting"))
 
