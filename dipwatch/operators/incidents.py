@@ -17,16 +17,29 @@ LOG_SCHEMA = (
     "merchant_id string, country string, minute long, seq long, incident_id string, action string,"
     " request_id string, provider_id string, payment_method string, issuer_id string"
 )
-TICK = 1
+RESTORE, TICK = -1, 1
 
 
-def fold_events(evidence: DataFrame, gaps: DataFrame, calendar: DataFrame) -> DataFrame:
+def live_incidents(log: DataFrame) -> DataFrame:
+    """Unresolved incidents as the log leaves them: what a later run has to continue from."""
+    when = F.struct("minute", "seq")
+    seen = F.col("action").isin("opened", "updated", "refreshed")
+    last = log.groupBy("incident_id", *ROOT_DIMS).agg(
+        F.max_by(F.struct("action", *FREE_DIMS), when).alias("l"), F.max(F.when(seen, F.col("minute"))).alias("minute")
+    )
+    return last.where(F.col("l.action") != "resolved").select(
+        "incident_id", *ROOT_DIMS, *[F.col(f"l.{d}").alias(d) for d in FREE_DIMS], "minute", F.col("l.action").alias("status")
+    )
+
+
+def fold_events(evidence: DataFrame, gaps: DataFrame, calendar: DataFrame, live: DataFrame | None = None) -> DataFrame:
     """Everything the fold reads, in one table.
 
     An incident last seen at minute m can only change by itself at the first
     processed minute at or after m + 3, so instead of pairing every root with
     every minute the clock is one tick per evidence minute. A tick carries the
-    keys of the root's gap cells in its minute.
+    keys of the root's gap cells in its minute. ``live`` holds the incidents of
+    an earlier run; their rows come first.
     """
     order = Window.partitionBy("bucket", *ROOT_DIMS).orderBy(F.desc("priority_score"), "cell_key")
     shown = evidence.select(
@@ -35,7 +48,10 @@ def fold_events(evidence: DataFrame, gaps: DataFrame, calendar: DataFrame) -> Da
         F.sha2(F.concat_ws("|", "merchant_id", "country", F.col("minute").cast("string"), "cell_key"), 256).alias("new_id"),
         F.array().cast("array<string>").alias("gap_cells"),
     )
-    due = evidence.select(*ROOT_DIMS, "minute").distinct().withColumn("block", block_of(F.col("minute"))).join(
+    watched = evidence.select(*ROOT_DIMS, "minute")
+    if live is not None:
+        watched = watched.unionByName(live.select(*ROOT_DIMS, "minute"))
+    due = watched.distinct().withColumn("block", block_of(F.col("minute"))).join(
         calendar, "block", "inner"
     ).select(*ROOT_DIMS, first_at_or_after(F.col("minute") + RESOLVE_AFTER_QUIET_MIN).alias("minute"))
     due = due.where(F.col("minute").isNotNull()).distinct()
@@ -46,7 +62,13 @@ def fold_events(evidence: DataFrame, gaps: DataFrame, calendar: DataFrame) -> Da
         F.lit(None).cast("string").alias("new_id"),
         F.coalesce("gap_cells", F.array().cast("array<string>")).alias("gap_cells"),
     )
-    return shown.unionByName(ticks)
+    events = shown.unionByName(ticks)
+    if live is None:
+        return events
+    return events.unionByName(live.select(
+        *ROOT_DIMS, "minute", F.lit(RESTORE).alias("kind"), F.lit(0).cast("long").alias("ord"), F.col("status").alias("request_id"),
+        *FREE_DIMS, F.col("incident_id").alias("new_id"), F.array().cast("array<string>").alias("gap_cells"),
+    ))
 
 
 def _key(root, cell) -> str:
@@ -94,6 +116,9 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         note(incident, "resolved")
                 continue
             cell = (e.provider_id, e.payment_method, e.issuer_id)
+            if e.kind == RESTORE:
+                live.append({"id": e.new_id, "cell": cell, "seen": minute, "status": e.request_id})
+                continue
             fits = [i for i in live if _agree(i["cell"], cell)]
             best = max(fits, key=lambda i: (_fixed(i["cell"]), i["seen"]), default=None)
             if best is None:
@@ -110,13 +135,13 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(log, columns=names)
 
 
-def incident_log(evidence: DataFrame, gaps: DataFrame, calendar: DataFrame) -> DataFrame:
+def incident_log(evidence: DataFrame, gaps: DataFrame, calendar: DataFrame, live: DataFrame | None = None) -> DataFrame:
     """What happened to every incident, one row per event.
 
     The rules are sequential per root. A root's events stream through its task
     in order; memory holds the unresolved incidents only, never the group.
     """
-    events = fold_events(evidence, gaps, calendar)
+    events = fold_events(evidence, gaps, calendar, live)
     ordered = events.repartition(*ROOT_DIMS).sortWithinPartitions(*ROOT_DIMS, "minute", "kind", "ord")
     return ordered.mapInPandas(_fold, LOG_SCHEMA)
 

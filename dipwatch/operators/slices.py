@@ -18,7 +18,9 @@ def slice_sums(rollup: DataFrame) -> DataFrame:
 
     Four grouping sets in one pass: the root, its providers, its card issuers
     and, where there is a choice of method, its methods. ``split`` names the
-    set; card issuers carry ``payment_method`` CARD.
+    set; card issuers carry ``payment_method`` CARD. The rows are placed by
+    (bucket, root, split) up front: the sums and the sibling windows that follow
+    both accept that placement, so the two share one shuffle.
     """
     tagged = rollup.withColumn(
         "split",
@@ -38,6 +40,7 @@ def slice_sums(rollup: DataFrame) -> DataFrame:
         tagged.withColumn("provider_id", F.when(split == "provider", F.col("provider_id")))
         .withColumn("issuer_id", F.when(split == "issuer", F.col("issuer_id")))
         .withColumn("payment_method", F.when(split.isin("issuer", "method"), F.col("payment_method")))
+        .repartition("bucket", *ROOT_DIMS, "split")
         .groupBy("bucket", "minute", "split", *DIMS)
         .agg(F.sum("attempts").alias("attempts"), F.sum("approved").alias("approved"))
     )
@@ -65,7 +68,11 @@ def cell_series(rollup: DataFrame, cells: DataFrame, measures=MEASURES, extra: t
         .distinct()
     )
     open_dims = ("country", *FREE_DIMS) if any_country else FREE_DIMS
-    keyed = project_to_masks(rollup, open_dims).withColumn("block", block_of(F.col("minute")))
+    # First cut to the merchants and days asked about, then copy rows per mask.
+    near = rollup.withColumn("block", block_of(F.col("minute"))).join(
+        wanted.select("block", "merchant_id").distinct(), ["block", "merchant_id"], "left_semi"
+    )
+    keyed = project_to_masks(near, open_dims)
     left, right = keyed.alias("l"), wanted.alias("r")
     on = [F.col("l.block") == F.col("r.block")]
     on += [F.col(f"l.{d}") == F.col(f"r.{d}") for d in DIMS if d not in open_dims]
