@@ -10,7 +10,10 @@ from dipwatch.constants import RATE_BEFORE_FIRST, RECENT_BUCKETS
 from dipwatch.functions.minutes import block_of
 from dipwatch.functions.stats import rate
 
-_SUMS = (F.sum, ("attempts", "approved"))
+
+def _since(rollup: DataFrame, since) -> DataFrame:
+    recent = rollup.where(F.col("day") >= F.to_date(since)) if "day" in rollup.columns else rollup
+    return recent.where(F.col("bucket") >= since)
 
 
 def _sums():
@@ -18,11 +21,11 @@ def _sums():
 
 
 def provider_series(rollup: DataFrame, since) -> DataFrame:
-    return rollup.where(F.col("bucket") >= since).groupBy("bucket", "provider_id").agg(*_sums())
+    return _since(rollup, since).groupBy("bucket", "provider_id").agg(*_sums())
 
 
 def portfolio_series(rollup: DataFrame, since) -> DataFrame:
-    return rollup.where(F.col("bucket") >= since).groupBy("bucket").agg(*_sums())
+    return _since(rollup, since).groupBy("bucket").agg(*_sums())
 
 
 def carried_rates(series: DataFrame, keep: int = RECENT_BUCKETS) -> DataFrame:

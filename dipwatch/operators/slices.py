@@ -120,6 +120,8 @@ def conversion_series(rollup: DataFrame, filters: dict[str, str], start: Column,
     zero where it had none. One aggregation does both, so no spine join.
     """
     in_range = rollup.where((F.col("bucket") >= start) & (F.col("bucket") < end))
+    if "day" in rollup.columns:
+        in_range = in_range.where(F.col("day").between(F.to_date(start), F.to_date(end)))
     inside = F.lit(True)
     for dim, value in filters.items():
         inside = inside & (F.col(dim) == value)

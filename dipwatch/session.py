@@ -36,14 +36,20 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/dipwatch/{app}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage with a table that survives lost executors and that, unlike an
     RDD checkpoint, carries file sizes: Catalyst then broadcasts a side only
     when its real size is under ``spark.sql.autoBroadcastJoinThreshold``.
+    ``by`` partitions the files; the rebalance splits a heavy value over
+    several tasks and joins light ones, so neither hot days nor tiny files occur.
     """
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.parquet(path)
+    if by is None:
+        df.write.parquet(path)
+    else:
+        df.hint("rebalance", by).write.partitionBy(by).parquet(path)
+        df = df.select(*[c for c in df.columns if c != by], by)
     return spark.read.schema(df.schema).parquet(path)

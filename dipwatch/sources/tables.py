@@ -6,18 +6,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dipwatch.functions.minutes import minute_of
-from dipwatch.operators.rollup import decline_rollup, minute_rollup
+from dipwatch.operators.rollup import CELL, DECLINE_CELL, decline_rollup, minute_rollup, with_bucket
 from dipwatch.session import prepare, stage
 from dipwatch.sources.payments import payments
 
 
+def on_days(table: DataFrame, start: Column, end: Column | None = None) -> DataFrame:
+    """Partition filter for a time range; tables without a day column pass through."""
+    if "day" not in table.columns:
+        return table
+    kept = table.where(F.col("day") >= F.to_date(start))
+    return kept if end is None else kept.where(F.col("day") <= F.to_date(end))
+
+
 def window_rows(rollup: DataFrame, bucket: Column) -> DataFrame:
-    return rollup.where(F.col("bucket") == bucket)
+    return on_days(rollup, bucket, bucket).where(F.col("bucket") == bucket)
 
 
 def history(rollup: DataFrame, start: Column, end: Column) -> DataFrame:
     """Half-open range ``[start, end)``."""
-    return rollup.where((F.col("bucket") >= start) & (F.col("bucket") < end))
+    return on_days(rollup, start, end).where((F.col("bucket") >= start) & (F.col("bucket") < end))
 
 
 def set_expected_conversion(merchants: DataFrame, value: float) -> DataFrame:
@@ -30,15 +38,19 @@ def dated_rates(tx: DataFrame, rates: DataFrame) -> DataFrame:
     return tx.withColumn("rate_date", F.to_date("created_at")).join(rates, ["currency", "rate_date"], "left")
 
 
+def _by_day(table: DataFrame, name: str) -> DataFrame:
+    return stage(table.withColumn("day", F.to_date("bucket")), name, "day")
+
+
 def rollup_table(spark: SparkSession, folder: str) -> DataFrame:
     """The minute rollup as a table. Everything downstream reads this, never raw rows."""
     prepare(spark)
-    return stage(minute_rollup(payments(spark, folder)).withColumn("minute", minute_of()), "rollup")
+    return _by_day(minute_rollup(payments(spark, folder)).withColumn("minute", minute_of()), "rollup")
 
 
 def decline_table(spark: SparkSession, folder: str) -> DataFrame:
     prepare(spark)
-    return stage(decline_rollup(payments(spark, folder)).withColumn("minute", minute_of()), "declines")
+    return _by_day(decline_rollup(payments(spark, folder)).withColumn("minute", minute_of()), "declines")
 
 
 def both_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -48,8 +60,6 @@ def both_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     tables are cheap re-groupings of that staged result.
     """
     prepare(spark)
-    from dipwatch.operators.rollup import CELL, DECLINE_CELL, with_bucket
-
     approved = F.col("status") == "SUCCESS"
     detail = stage(
         with_bucket(payments(spark, folder)).groupBy(*DECLINE_CELL, approved.alias("ok")).agg(
@@ -68,4 +78,4 @@ def both_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
         F.sum(F.when(F.col("ok"), F.col("usd")).otherwise(zero)).alias("approved_usd_sum"),
     )
     declines = detail.where(~F.col("ok")).select(*DECLINE_CELL, "minute", F.col("rows").alias("declines"))
-    return stage(rollup, "rollup"), declines
+    return _by_day(rollup, "rollup"), _by_day(declines, "declines")

@@ -32,6 +32,9 @@ ROLLUP = ("bucket timestamp, merchant_id string, provider_id string, country str
           " attempts bigint, approved bigint, amount_minor_sum bigint, amount_usd_sum bigint, approved_usd_sum bigint")
 DECLINES = ("bucket timestamp, merchant_id string, provider_id string, country string, payment_method string, issuer_id string,"
             " decline_code string, declines bigint")
+# What the incident fold reads of an evidence row.
+NO_EVIDENCE = ("request_id string, bucket timestamp, minute bigint, merchant_id string, provider_id string, country string,"
+               " payment_method string, issuer_id string, cell_key string, priority_score double")
 REACH = DECLINE_CURRENT_LOOKBACK_MIN + DECLINE_HISTORY_LOOKBACK_MIN
 
 
@@ -82,6 +85,12 @@ class MinuteJob:
     def run_batch(self, order: list[str], **options) -> Callable[[DataFrame, int], None]:
         return self.each(ingest_batch(self.store, order, **options))
 
+    def _evidence(self, confirmed: DataFrame, rollup: DataFrame, declines: DataFrame) -> DataFrame:
+        """Evidence of the confirmed drops. A quiet minute skips the search and the decline reads."""
+        if confirmed.isEmpty():
+            return self.spark.createDataFrame([], NO_EVIDENCE)
+        return stage(evidence(diagnose(confirmed, rollup, declines, self.merchants, self.coverage, self.catalog)), "evidence")
+
     def process(self, batch_id: int) -> None:
         span = self._plan(batch_id)
         streak_state = self._latest("streak_state", STREAK_STATE, batch_id)
@@ -92,15 +101,14 @@ class MinuteJob:
         deltas = self._recent("rollup", ROLLUP, first - REACH, last)
         rollup = stage(merge_rollups(deltas, deltas.where(F.lit(False))).withColumn("minute", minute_of()), "recent")
         deltas = self._recent("declines", DECLINES, first - REACH, last)
-        declines = stage(merge_decline_rollups(deltas, deltas.where(F.lit(False))).withColumn("minute", minute_of()), "recent")
+        declines = merge_decline_rollups(deltas, deltas.where(F.lit(False))).withColumn("minute", minute_of())
 
         now = all_readings(rollup, self.merchants, self.coverage).where(F.col("minute") >= first)
         counted = stage(continue_streaks(R.confident(now), streak_state), "streaks")
         confirmed = stage(signals(promoted(counted, self.windows), rollup), "signals")
         thin = R.gaps(now)
-        found = diagnose(confirmed, rollup, declines, self.merchants, self.coverage, self.catalog)
-        shown = stage(evidence(found), "evidence")
         live = live_incidents(self._state("incident_log", LOG_SCHEMA, batch_id).drop("batch_id"))
+        shown = self._evidence(confirmed, rollup, declines)
         log = incident_log(shown, thin, calendar(rollup), live).where(F.col("minute") >= first)
 
         self.store.write(confirmed, "signals", batch_id)
