@@ -81,12 +81,24 @@ DECLINE_LABELS = [
     ("CH11", "Invalid payer identification"),
     ("DS0G", "Transaction not authorized (fraud prevention)"),
 ]
-# (file order, playbook_id, causal_dimension, decline_family, title, owner)
+# (file order, playbook_id, causal_dimension, decline_family, title, owner, summary, two actions)
 PLAYBOOKS = [
-    (1, "provider-default", "provider", None, "Provider degradation escalation", "provider-ops"),
-    (2, "issuer-default", "issuer", "issuer", "Issuer escalation", "issuer-ops"),
-    (3, "method-country-default", "payment_method", "network", "Rail or method-country escalation", "rail-ops"),
-    (4, "merchant-default", "merchant", "merchant", "Merchant integration review", "merchant-success"),
+    (1, "provider-default", "provider", None, "Provider degradation escalation", "provider-ops",
+     "Escalate the provider owner and prepare a human-reviewed rerouting proposal.",
+     "Open an escalation with the affected provider including the impacted slice and decline evidence.",
+     "Prepare a rerouting proposal for human approval before changing traffic."),
+    (2, "issuer-default", "issuer", "issuer", "Issuer escalation", "issuer-ops",
+     "Escalate the issuer or acquirer contact and monitor the affected slice.",
+     "Escalate the impacted issuer or acquirer with the evidence trail and dominant decline family.",
+     "Monitor the affected issuer slice until conversion stabilizes."),
+    (3, "method-country-default", "payment_method", "network", "Rail or method-country escalation", "rail-ops",
+     "Escalate the rail owner and prepare an operational alternative for review.",
+     "Escalate the payment rail owner with the provider, country, and method evidence.",
+     "Prepare an operational alternative for human approval."),
+    (4, "merchant-default", "merchant", "merchant", "Merchant integration review", "merchant-success",
+     "Review merchant configuration, integration, and recent changes before any remediation.",
+     "Review recent merchant configuration and integration changes in the affected slice.",
+     "Contact the merchant owner with the evidence and request manual validation."),
 ]
 EXPECTED_CONVERSION = 0.90
 MIN_MATERIAL_DROP_PP = 3.0
@@ -113,7 +125,8 @@ def values_sql(rows, names) -> str:
 MERCHANT_COLUMNS = ("merchant_id", "expected_conversion", "delta_pp")
 COVERAGE_COLUMNS = ("provider_id", "country", "payment_method")
 CODE_COLUMNS = ("code", "payment_method", "family", "baseline_share", "diagnostic")
-PLAYBOOK_COLUMNS = ("file_order", "playbook_id", "causal_dimension", "decline_family", "title", "owner")
+PLAYBOOK_COLUMNS = ("file_order", "playbook_id", "causal_dimension", "decline_family", "title", "owner", "summary", "first_action",
+                    "second_action")
 
 
 def merchants_sql(expected: float = EXPECTED_CONVERSION) -> str:

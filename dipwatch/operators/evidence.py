@@ -10,8 +10,6 @@ from dipwatch.constants import DIMS, FREE_DIMS, ROOT_DIMS
 from dipwatch.functions.cells import cell_key, cell_struct, project_to_masks
 from dipwatch.functions.stats import rate
 
-AXIS_LABEL = {"provider_id": "provider", "payment_method": "payment_method", "issuer_id": "issuer"}
-
 
 def evidence(diagnoses: DataFrame, source: str = "beam_search") -> DataFrame:
     """One evidence row per diagnosis: rounded costs, nested mix and echoes, fingerprint.
@@ -92,6 +90,7 @@ def trail(diagnoses: DataFrame, rollup: DataFrame) -> DataFrame:
         *[F.when(~F.col("open_walk") & (rank > order[d]), F.col(d)).alias(d) for d in FREE_DIMS],
     )
     value = F.coalesce(*[F.when(F.col("axis") == d, F.col(d)) for d in FREE_DIMS])
+    # Tool names, tags and summaries below are fixed wording.
     drill = steps.withColumn("step_id", F.concat_ws("/", "request_id", F.col("at").cast("string"))).join(
         sibling_rates(rollup, parents), "step_id", "inner"
     ).select(

@@ -241,6 +241,7 @@ def recall(found: DataFrame, limit: int = RECALL_LIMIT) -> DataFrame:
         F.col("incident_id") != F.col("similar_id")
     )
     mine = Window.partitionBy("incident_id").orderBy(F.desc("similar_detected_at"), "similar_id")
+    # Fixed wording of the summary.
     iso = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
     summary = F.concat(
         F.lit("Same cell was down from "), F.date_format("similar_started_at", iso), F.lit(" until "),
@@ -260,9 +261,11 @@ def with_playbook(rows: DataFrame, playbooks: DataFrame) -> DataFrame:
     joined = rows.withColumn("_dimension", dimension).join(options, "_dimension", "left")
     suits = F.coalesce(F.col("decline_family").isNull() | (F.col("decline_family") == F.col("dominant_family")), F.lit(False))
     place = Window.partitionBy("request_id").orderBy(F.desc(suits), "file_order")
-    return joined.withColumn("_place", F.row_number().over(place)).where("_place = 1").drop(
-        "_place", "_dimension", "file_order", "decline_family"
-    )
+    best = joined.withColumn("_place", F.row_number().over(place)).where("_place = 1")
+    return best.withColumns({
+        "actions": F.array("first_action", "second_action"),
+        "human_approval_required": F.col("playbook_id").isNotNull(),
+    }).drop("_place", "_dimension", "file_order", "decline_family", "first_action", "second_action")
 
 
 ACTIVE = ("open", "monitoring")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dipwatch import catalogs as C
 from dipwatch.constants import DIMS
 
+# Names and phrases of the report: fixed wording, as are the two narratives below.
 COUNTRY_NAMES = [("BR", "Brazil"), ("MX", "Mexico"), ("AR", "Argentina")]
 SOURCE_PHRASES = [
     ("cross_sectional", "vs. its siblings this window"),

@@ -357,6 +357,15 @@ PORTFOLIO = (
     "SELECT bucket, CAST(sum(attempts) AS BIGINT) AS attempts, CAST(sum(approved) AS BIGINT) AS approved FROM rollup"
     f" WHERE bucket >= {SINCE} GROUP BY bucket"
 )
+ECHOES = " UNION ALL ".join(
+        f"SELECT pid, {r} AS peel_no, key AS cell_key, round(observed, 8) AS observed, round(residual_rate, 8) AS residual_rate FROM (SELECT a.pid,"
+        f" a.key, a.e, a.delta_pp, CAST(a.k AS DOUBLE) / a.n AS observed, coalesce(sum(x.n), 0) AS xn, coalesce(sum(x.k), 0) AS xk,"
+        f" CAST(sum(x.k) AS DOUBLE) / sum(x.n) AS residual_rate FROM cand{r} a JOIN causal{r} c ON c.pid = a.pid AND c.key <> a.key LEFT JOIN"
+        f" kept{r} x ON x.pid = a.pid AND (a.p IS NULL OR a.p = x.p) AND (a.m IS NULL OR a.m = x.m) AND (a.i IS NULL OR a.i = x.i)"
+        f" WHERE a.admissible GROUP BY a.pid, a.key, a.e, a.delta_pp, a.k, a.n) WHERE ({state_sql('xk', 'xn', 'e', 'delta_pp', '1.96')})"
+        " <> 'MATERIAL_DROP'"
+        for r in (1, 2, 3)
+    )
 ORACLE: dict[str, str] = {
     "q01_minute_rollup": sql(ROLLUP_OUT),
     "q02_decline_rollup": sql("SELECT * FROM declines"),
@@ -407,7 +416,7 @@ ORACLE: dict[str, str] = {
         " bucket AS last_bucket FROM onset"
     ),
     "q21_residual": sql(
-        "SELECT pid, n AS attempts, k AS approved, round(CAST(k AS DOUBLE) / n, 8) AS rate, round(greatest(0.0, n * goal - k), 8) AS deficit,"
+        "SELECT pid, n AS attempts, k AS approved, round(CAST(k AS DOUBLE) / nullif(n, 0), 8) AS rate, round(greatest(0.0, n * goal - k), 8) AS deficit,"
         f" round({wilson_sql('k', 'n', '1.96')[0]}, 8) AS ci_low, round({wilson_sql('k', 'n', '1.96')[1]}, 8) AS ci_high,"
         f" {state_sql('k', 'n', 'goal', 'delta_pp', '1.96')} AS state FROM (SELECT q.pid, q.goal, q.delta_pp, CAST(coalesce(sum(n) FILTER"
         " (p <> worst), 0) AS BIGINT) AS n, CAST(coalesce(sum(k) FILTER (p <> worst), 0) AS BIGINT) AS k FROM problems q JOIN kept0 USING (pid) JOIN"
@@ -432,15 +441,7 @@ ORACLE: dict[str, str] = {
         f" round({wilson_sql('k', 'n', '1.96')[0]}, 8) AS ci_low, round({wilson_sql('k', 'n', '1.96')[1]}, 8) AS ci_high FROM causal{r}"
         for r in (1, 2, 3)
     )),
-    "q26_echoes": sql(" UNION ALL ".join(
-        f"SELECT pid, {r} AS peel_no, key AS cell_key, round(observed, 8) AS observed, round(residual_rate, 8) AS residual_rate FROM (SELECT a.pid,"
-        f" a.key, a.e, a.delta_pp, CAST(a.k AS DOUBLE) / a.n AS observed, coalesce(sum(x.n), 0) AS xn, coalesce(sum(x.k), 0) AS xk,"
-        f" CAST(sum(x.k) AS DOUBLE) / sum(x.n) AS residual_rate FROM cand{r} a JOIN causal{r} c ON c.pid = a.pid AND c.key <> a.key LEFT JOIN"
-        f" kept{r} x ON x.pid = a.pid AND (a.p IS NULL OR a.p = x.p) AND (a.m IS NULL OR a.m = x.m) AND (a.i IS NULL OR a.i = x.i)"
-        f" WHERE a.admissible GROUP BY a.pid, a.key, a.e, a.delta_pp, a.k, a.n) WHERE ({state_sql('xk', 'xn', 'e', 'delta_pp', '1.96')})"
-        " <> 'MATERIAL_DROP'"
-        for r in (1, 2, 3)
-    )),
+    "q26_echoes": sql(ECHOES),
     "q28_decline_mix": sql(
         "SELECT request_id, window_min, total_declines, reference_source, code, family, count, round(observed_share, 8) AS observed_share,"
         " round(reference_share, 8) AS reference_share, round(moved_pp, 8) AS moved_pp FROM shifts"
@@ -723,3 +724,19 @@ ORACLE["q54_onset_slice"] = sql(
     " AND a.bucket LEFT JOIN slices x ON x.bucket = s.bucket AND x.split = 'provider' AND x.merchant_id = a.merchant_id AND x.country = a.country AND"
     " x.provider_id = a.provider_id) GROUP BY request_id"
 )
+_PEELED = " UNION ALL ".join(f"SELECT pid, {r} AS peel_no, key, explained FROM causal{r}" for r in (1, 2, 3))
+ORACLE["q51_residual_verdict"] = sql(
+    "SELECT request_id, bucket, candidate_key, CASE WHEN rn < 30 OR state <> 'MATERIAL_DROP' THEN 'INSUFFICIENT_EVIDENCE' WHEN explained IS NOT NULL"
+    " THEN 'ROOT_CAUSE' ELSE 'ECHO' END AS verdict, round(CASE WHEN rn >= 30 THEN coalesce(explained, 0.0) ELSE 0.0 END, 8) AS explained_deficit,"
+    " round(CASE WHEN rn >= 30 THEN (coalesce(rest, coalesce(rate, 0.0)) - coalesce(rate, 0.0)) * 100 ELSE 0.0 END, 8) AS residual_delta_pp,"
+    " CASE WHEN rn >= 30 AND explained IS NOT NULL THEN coalesce(echoes, 0) ELSE 0 END AS echo_count FROM (SELECT a.*, "
+    + state_sql("rk", "rn", "goal", "delta_pp", "1.96")
+    + " AS state, CAST(rk AS DOUBLE) / nullif(rn, 0) AS rate FROM (SELECT q.pid, q.bucket, q.goal, q.delta_pp, q.pid || '@' || dim AS request_id,"
+    " concat_ws('|', 'country=' || q.country, CASE WHEN dim = 'issuer_id' THEN 'issuerId=bbva_mx' END, 'merchantId=' || q.merchant_id, CASE WHEN dim ="
+    " 'provider_id' THEN 'providerId=stripe' END) AS candidate_key, CAST(sum(n) AS BIGINT) AS rn, CAST(sum(k) AS BIGINT) AS rk,"
+    " CAST(sum(k) FILTER (CASE dim WHEN 'provider_id' THEN p <> 'stripe' ELSE i <> 'bbva_mx' END) AS DOUBLE) / sum(n) FILTER (CASE dim WHEN"
+    " 'provider_id' THEN p <> 'stripe' ELSE i <> 'bbva_mx' END) AS rest FROM problems q JOIN kept0 USING (pid), (VALUES ('provider_id'),"
+    " ('issuer_id')) v(dim) GROUP BY q.pid, q.bucket, q.goal, q.delta_pp, q.country, q.merchant_id, dim) a) x LEFT JOIN (" + _PEELED + ") c ON"
+    " c.pid = x.pid AND c.key = x.candidate_key LEFT JOIN (SELECT pid, peel_no, count(*) AS echoes FROM (" + ECHOES + ") GROUP BY pid, peel_no) e ON"
+    " e.pid = c.pid AND e.peel_no = c.peel_no"
+)

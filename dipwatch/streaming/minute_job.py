@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dipwatch.constants import (CATCH_UP_LIMIT, DECLINE_CURRENT_LOOKBACK_MIN, DECLINE_HISTORY_LOOKBACK_MIN, GRACE_SECONDS,
-                                PERSISTENCE_WINDOWS)
+                                PERSISTENCE_WINDOWS, RECENT_BUCKETS)
 from dipwatch.functions.minutes import calendar, minute_of
 from dipwatch.operators import readings as R
+from dipwatch.operators import series as S
 from dipwatch.operators.evidence import evidence
 from dipwatch.operators.incidents import LOG_SCHEMA, incident_log, live_incidents
 from dipwatch.operators.rollup import merge_decline_rollups, merge_rollups
@@ -27,7 +28,9 @@ from dipwatch.session import stage
 from dipwatch.streaming.ingest import Store, ingest_batch
 from dipwatch.streaming.persistence import carry_over, continue_streaks
 
-STREAK_STATE = "cell_key string, streak bigint, first_minute bigint"
+# Open streaks with the reading that last extended each, which is what a pending card shows.
+STREAK_STATE = ("cell_key string, streak bigint, first_minute bigint, minute bigint, observed double, expected double, expected_source string,"
+                " delta_pp double, ci_low double, ci_high double, attempts bigint, approved bigint, window_used string")
 ROLLUP = ("bucket timestamp, merchant_id string, provider_id string, country string, payment_method string, issuer_id string,"
           " attempts bigint, approved bigint, amount_minor_sum bigint, amount_usd_sum bigint, approved_usd_sum bigint")
 DECLINES = ("bucket timestamp, merchant_id string, provider_id string, country string, payment_method string, issuer_id string,"
@@ -115,5 +118,10 @@ class MinuteJob:
         self.store.write(thin, "gaps", batch_id)
         self.store.write(shown, "evidence", batch_id)
         self.store.write(log, "incident_log", batch_id)
-        self.store.write(carry_over(streak_state, counted), "streak_state", batch_id)
+        state = stage(carry_over(streak_state, counted), "state")
+        self.store.write(state, "streak_state", batch_id)
+        self.store.write(state.where(F.col("streak") < self.windows), "pending", batch_id)
+        since = F.timestamp_seconds(F.lit((last - RECENT_BUCKETS + 1) * 60))
+        whole = S.portfolio_series(rollup, since).withColumn("provider_id", F.lit(None).cast("string"))
+        self.store.write(S.provider_series(rollup, since).unionByName(whole), "snapshot", batch_id)
         self.store.write(self.spark.range(1).select(F.lit(last).cast("bigint").alias("minute")), "cursor", batch_id)

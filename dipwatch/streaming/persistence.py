@@ -70,9 +70,13 @@ def continue_streaks(new: DataFrame, carried: DataFrame) -> DataFrame:
 
 
 def carry_over(carried: DataFrame, advanced: DataFrame) -> DataFrame:
-    """State after the new minutes: last reading per slice, untouched slices as they were."""
-    last = advanced.groupBy("cell_key").agg(F.max_by(F.struct("streak", "first_minute"), "minute").alias("s")).select(
-        "cell_key", "s.streak", "s.first_minute"
+    """State after the new minutes: last reading per slice, untouched slices as they were.
+
+    Whatever columns ``carried`` has besides the key are taken from the last reading.
+    """
+    columns = [c for c in carried.columns if c != "cell_key"]
+    last = advanced.groupBy("cell_key").agg(F.max_by(F.struct(*columns), F.col("minute")).alias("s")).select(
+        "cell_key", *[F.col(f"s.{c}").alias(c) for c in columns]
     )
-    kept = carried.select("cell_key", "streak", "first_minute").join(last, "cell_key", "left_anti")
+    kept = carried.join(last, "cell_key", "left_anti").select("cell_key", *columns)
     return kept.unionByName(last.where(F.col("streak") > 0))

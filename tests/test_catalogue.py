@@ -34,3 +34,12 @@ def test_every_oracle_belongs_to_a_query():
 
 def test_flagship_schema(spark):
     assert "consecutive_windows" in entry(spark).columns
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="test tables not present")
+def test_exactly_the_planted_faults_become_incidents(spark):
+    got = {r.cell_key: r.status for r in queries()["q33_incidents"](spark, "/root/testdata/sf0.1").collect()}
+    assert got == {
+        "country=BR|issuerId=itau|merchantId=BR_STORE_01|paymentMethod=CARD|providerId=stripe": "resolved",
+        "country=MX|issuerId=bbva_mx|merchantId=MX_STORE_02": "resolved",
+    }

@@ -59,3 +59,6 @@ def test_streaming_job_equals_the_batch_plan(spark, merchants, coverage, catalog
     key = lambda df: sorted(map(str, rows(df.fillna(""), *names)))
     assert key(out) == key(log)
     assert [r.action for r in log.orderBy("minute", "seq").collect()] == ["opened", "updated", "updated", "resolved"]
+    newest = spark.read.parquet(f"{base}/store/snapshot").where(F.col("batch_id") == 2).where("provider_id IS NULL")
+    assert newest.agg(F.sum("attempts")).first()[0] == 12 * 360
+    assert spark.read.parquet(f"{base}/store/pending").where(F.col("batch_id") == 2).count() == 0
