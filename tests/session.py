@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 def make_session() -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{os.environ.get('BENCH_CPUS', '8')}]").appName("dipwatch-tests")
-        .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
+        .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
