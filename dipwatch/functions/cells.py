@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dipwatch.constants import DIMS, FREE_DIMS, KEY_NAMES, ROOT_DIMS
+from dipwatch.constants import DIMS, FREE_DIMS, KEY_NAMES
 
 
 def _col(prefix: str, dim: str) -> Column:
@@ -70,10 +70,3 @@ def project_to_masks(rows: DataFrame, dims=FREE_DIMS) -> DataFrame:
     return exploded.withColumns({
         d: F.when(F.col("mask").bitwiseAND(1 << (top - i)) != 0, F.col(d)) for i, d in enumerate(dims)
     })
-
-
-def null_safe_on(left: DataFrame, right: DataFrame, columns) -> Column:
-    return _all([left[c].eqNullSafe(right[c]) for c in columns])
-
-
-ROOT_KEY = list(ROOT_DIMS)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from dipwatch.constants import DIMS, FREE_DIMS, ROOT_DIMS
-from dipwatch.functions.cells import cell_key, cell_struct, project_to_masks
+from dipwatch.functions.cells import cell_key, cell_struct
 from dipwatch.functions.stats import rate
 
 

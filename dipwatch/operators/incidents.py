@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from dipwatch.constants import DIMS, FREE_DIMS, LIST_CAP, RECALL_LIMIT, RESOLVE_AFTER_QUIET_MIN, ROOT_DIMS
+from dipwatch.constants import FREE_DIMS, LIST_CAP, RECALL_LIMIT, RESOLVE_AFTER_QUIET_MIN, ROOT_DIMS
 from dipwatch.functions.cells import cell_key, compatible, specificity
 from dipwatch.functions.minutes import block_of, bucket_of, first_at_or_after
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dipwatch.constants import DIMS, FREE_DIMS, HISTORY_MIN, MIN_VOLUME, ONSET_LOOKBACK_MIN, ROOT_DIMS
+from dipwatch.constants import DIMS, HISTORY_MIN, MIN_VOLUME, ONSET_LOOKBACK_MIN
 from dipwatch.functions.cells import cell_key
 from dipwatch.functions.minutes import blocks_between, bucket_of
 from dipwatch.functions.stats import DROP, THIN, rate, with_verdict
@@ -166,7 +166,3 @@ def incident_impact(rollup: DataFrame, requests: DataFrame) -> DataFrame:
     return priced.withColumn("cost_usd_per_min", F.round("cost_usd_per_min").cast("bigint")).drop(
         *[f"_{c}" for c in IMPACT_SERIES]
     )
-
-
-ROOT_COLUMNS = [*ROOT_DIMS]
-FREE_COLUMNS = [*FREE_DIMS]

@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dipwatch.constants import DIMS, FREE_DIMS, MEASURES, ROOT_DIMS
-from dipwatch.functions.cells import matches, project_to_masks
+from dipwatch.functions.cells import inside_but_not, matches, project_to_masks
 from dipwatch.functions.minutes import block_of, blocks_between
 from dipwatch.functions.stats import rate
 
-SLICE_KEY = [*DIMS]
-
 
 def slice_sums(rollup: DataFrame) -> DataFrame:
     """Every slice the detector tests, one row per (bucket, slice).
@@ -103,9 +101,15 @@ def join_series(requests: DataFrame, series: DataFrame, value_columns: list[str]
 
 
 def slice_totals(rows: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums and rate of each requested cell within the key it shares with its rows."""
+    """Sums and rate of each requested cell among the rows sharing its ``keys``.
+
+    Cells come as ``cell_*`` columns; with ``excluded_*`` columns present, rows
+    of that second cell are left out (an all-null one leaves nothing).
+    """
+    open_dims = [d for d in DIMS if d not in keys]
+    carved = any(c.startswith("excluded_") for c in cells.columns)
+    inside = inside_but_not("cell_", "excluded_", "", open_dims) if carved else matches("cell_", "", open_dims)
     joined = cells.join(rows, keys, "left")
-    inside = matches("cell_", "", [d for d in DIMS if d not in keys])
     sums = [F.coalesce(F.sum(F.when(inside, F.col(m))), F.lit(0).cast("bigint")).alias(m) for m in MEASURES]
     cell_columns = [c for c in cells.columns if c not in keys]
     return joined.groupBy(*keys, *cell_columns).agg(*sums).withColumn(

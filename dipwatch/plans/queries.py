@@ -9,9 +9,9 @@ from pyspark.sql import Window
 from dipwatch import catalogs as C
 from dipwatch.constants import CATCH_UP_LIMIT, DIMS, FREE_DIMS, ROOT_DIMS
 from dipwatch.functions.cells import cell_key, compatible, same_cell, specificity
-from dipwatch.functions.minutes import bucket_of, calendar, minute_of
-from dipwatch.functions.stats import DROP, rate, wilson, with_verdict
-from dipwatch.operators import audit, evidence as E, faults, impact, incidents as I, mix, readings as R, report, requests as Q
+from dipwatch.functions.minutes import bucket_of, calendar
+from dipwatch.functions.stats import DROP, rate, with_verdict
+from dipwatch.operators import audit, evidence as E, faults, incidents as I, mix, readings as R, report, requests as Q
 from dipwatch.operators import search, series as S, slices
 from dipwatch.operators.rollup import closed_only, decline_rollup, keep_since, merge_rollups, minute_rollup, new_only
 from dipwatch.operators.streaks import pending_spans, promoted, streaks

@@ -74,3 +74,17 @@ def test_cells(spark):
     assert not any(r.same for r in got)
     # An empty excluded cell matches everything.
     assert [r.left for r in got] == [False, True, False]
+
+
+def test_slice_sums_with_a_cell_left_out(spark):
+    from dipwatch.constants import DIMS
+    from dipwatch.operators.slices import slice_totals
+    from tests.grids import frame, row
+    rows = frame(spark, [row(100, 30, "adyen"), row(100, 90, "stripe"), row(100, 95, "mercado_pago")])
+    root = rows.select("bucket").distinct().withColumns({f"cell_{d}": F.lit(None).cast("string") for d in DIMS})
+    whole = slice_totals(rows, root, ["bucket"]).first()
+    assert (whole.attempts, whole.approved) == (300, 215)
+    without = root.withColumns({f"excluded_{d}": F.lit("adyen" if d == "provider_id" else None).cast("string") for d in DIMS})
+    assert slice_totals(rows, without, ["bucket"]).first().rate == pytest.approx(0.925)
+    nothing = root.withColumns({f"excluded_{d}": F.lit(None).cast("string") for d in DIMS})
+    assert slice_totals(rows, nothing, ["bucket"]).first().attempts == 0
