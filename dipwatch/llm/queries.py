@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dipwatch.llm import decontamination, jaccard, mixing, sharding
+from dipwatch.llm import decontamination, extraction, fingerprints, jaccard, mixing, sharding, toxicity, urls
 from dipwatch.llm.frames import table
 from dipwatch.llm.oracle import ORACLE  # noqa: F401
 from dipwatch.session import prepare
@@ -22,6 +22,10 @@ def _over(*names: str):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minimax_shards": _over("documents")(sharding.op1_minimax_shards),
     "op2_mix_sources": _over("documents")(mixing.op2_mix_sources),
+    "op3_main_text": _over("pages")(extraction.op3_main_text),
+    "op4_toxicity": _over("documents", "labels")(toxicity.op4_toxicity),
     "op5_jaccard_join": _over("documents")(jaccard.op5_jaccard_join),
+    "op6_fingerprints": _over("documents")(fingerprints.op6_fingerprints),
+    "op7_url_filter": _over("pages", "labels")(urls.op7_url_filter),
     "op10_contamination": _over("documents", "benchmark")(decontamination.op10_contamination),
 }
