@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dipwatch.llm import decontamination, extraction, fingerprints, jaccard, mixing, sharding, toxicity, urls
+from dipwatch.llm import decontamination, extraction, fingerprints, jaccard, language, lm, mixing, sharding, toxicity, urls
 from dipwatch.llm.frames import table
 from dipwatch.llm.oracle import ORACLE  # noqa: F401
 from dipwatch.session import prepare
@@ -27,5 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": _over("documents")(jaccard.op5_jaccard_join),
     "op6_fingerprints": _over("documents")(fingerprints.op6_fingerprints),
     "op7_url_filter": _over("pages", "labels")(urls.op7_url_filter),
+    "op8_lm_scores": _over("documents")(lm.op8_lm_scores),
+    "op9_language": _over("documents")(language.op9_language),
     "op10_contamination": _over("documents", "benchmark")(decontamination.op10_contamination),
 }
