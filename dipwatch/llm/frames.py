@@ -63,12 +63,11 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[
     def slot(h):
         return F.shiftrightunsigned(h, 64 - FILTER_BITS).cast("int")
 
-    def bit(h):
-        return F.expr("shiftleft(1L, cast(_h & 63 as int))")
-
-    hashed = ids.select(F.xxhash64(key).alias("_h"))
-    words = stage(hashed.groupBy(slot(F.col("_h")).alias("_slot")).agg(F.bit_or(bit("_h")).alias("_bits")), "ids")
-    flagged = docs.withColumn("_h", F.xxhash64(key)).withColumn("_at", slot(F.col("_h")))
-    joined = flagged.join(F.broadcast(words), F.col("_at") == F.col("_slot"), "left").withColumn(
-        "_hit", F.coalesce(F.col("_bits").bitwiseAND(bit("_h")) != 0, F.lit(False)))
-    return joined.filter("_hit").select(*docs.columns), joined.filter("NOT _hit").select(*docs.columns)
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    hashed = ids.select(F.xxhash64(key).alias("h"))
+    words = stage(hashed.groupBy(slot(F.col("h")).alias("of")).agg(F.bit_or(bit).alias("bits")), "ids")
+    # The rows are kept apart in a struct, so that no column of theirs can be taken for one of these.
+    flagged = docs.select(F.struct("*").alias("row"), F.xxhash64(key).alias("h")).withColumn("at", slot(F.col("h")))
+    joined = flagged.join(F.broadcast(words), F.col("at") == F.col("of"), "left").withColumn(
+        "hit", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False)))
+    return joined.filter("hit").select("row.*"), joined.filter("NOT hit").select("row.*")

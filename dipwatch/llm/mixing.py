@@ -81,15 +81,13 @@ def mixed(docs: DataFrame) -> DataFrame:
     Rows that agree in every column are one entry whose size is theirs together, and share its result. A document without words
     carries no weight and stays, once, if its source has a budget.
     """
-    names = docs.columns
-    rows = docs.withColumns({"_row": F.xxhash64(*names), "_size": word_count(F.col("text"))})
-    entries = rows.groupBy("doc_id", "source", "_row").agg(F.sum("_size").alias("size"))
-    ordered = drawn(entries.select(F.struct("doc_id", "_row").alias("doc_id"), "source", "size"))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", F.xxhash64("*").alias("of"), word_count(F.col("text")).alias("size"))
+    entries = rows.groupBy(F.struct("doc_id", "of").alias("doc_id"), "source").agg(F.sum("size").alias("size"))
+    ordered = drawn(entries)
     budget, size = F.floor(F.col("target")), F.col("source_size")
     epochs = F.when(size > 0, F.floor(budget / size)).otherwise(F.lit(0))
     begins = F.col("before") < budget - epochs * size
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(epochs + F.when(begins, F.lit(1)).otherwise(F.lit(0))).cast("int")
-    picks = ordered.filter(F.col("target") > 0).select(
-        F.col("doc_id._row").alias("_of"), F.col("doc_id.doc_id").alias("_id"), copies.alias("_copies")).filter("_copies > 0")
-    joined = rows.join(picks, (rows["_row"] == picks["_of"]) & rows["doc_id"].eqNullSafe(picks["_id"]))
-    return joined.select(*[rows[c] for c in names], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    picks = ordered.filter(F.col("target") > 0).select(F.col("doc_id").alias("id"), copies.alias("copies")).filter("copies > 0")
+    joined = rows.join(picks, (rows["of"] == picks["id.of"]) & rows["doc_id"].eqNullSafe(picks["id.doc_id"]))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

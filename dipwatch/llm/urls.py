@@ -4,8 +4,8 @@
    their labels, and all further work is on these counts.
 2. Level by level, a node with more than ``BRANCHES`` different segments below it keeps its most frequent ones; the others become the
    wildcard. Levels below ``DEPTH`` are one.
-3. Sibling branches whose share of bad labels does not differ significantly from that of all siblings together (two-proportion z) are
-   merged into the wildcard branch of their parent.
+3. Sibling branches whose share of bad labels does not differ significantly from that of all siblings together (z of a proportion) are
+   merged into the wildcard branch of their parent, with all that lies below them.
 4. A template is rejected if its share of bad labels, smoothed by its host's share and that by the overall share, is at least one half.
 
 Curated rules come first: the longest rule that fits decides. Labels are those of the document that the last number of the path
@@ -81,21 +81,21 @@ def _generalised(shapes: DataFrame) -> DataFrame:
 
 
 def _merged(shapes: DataFrame) -> DataFrame:
-    """Replace the last segment of templates by ``*`` where their labels look like their siblings' together; deepest first."""
+    """Replace branches whose labels look like those of all siblings together by the wildcard, from the root down."""
     out = shapes
-    for level in range(DEPTH + 1, 0, -1):
-        here = F.size("template") == level
-        node = out.filter(here).groupBy("host", "template").agg(F.sum("bad").alias("b"), F.sum("known").alias("k"))
-        parent = F.slice("template", 1, level - 1) if level > 1 else F.array().cast("array<string>")
-        node = node.withColumn("up", parent)
+    for level in range(1, DEPTH + 2):
+        up, own = F.slice("template", 1, level - 1) if level > 1 else F.array().cast("array<string>"), F.get("template", F.lit(level - 1))
+        nodes = out.filter(own.isNotNull()).groupBy("host", up.alias("up"), own.alias("own")).agg(F.sum("bad").alias("b"), F.sum("known").alias("k"))
         family = Window.partitionBy("host", "up")
-        node = node.withColumns({"fb": F.sum("b").over(family), "fk": F.sum("k").over(family)})
+        nodes = nodes.withColumns({"fb": F.sum("b").over(family), "fk": F.sum("k").over(family)})
         rate = F.col("fb") / F.nullif(F.col("fk"), F.lit(0))
         spread = F.sqrt(rate * (1 - rate) / F.nullif(F.col("k"), F.lit(0)))
         z = F.abs(F.col("b") / F.nullif(F.col("k"), F.lit(0)) - rate) / F.nullif(spread, F.lit(0.0))
-        alike = node.filter(F.coalesce(z, F.lit(0.0)) < SIGNIFICANT).select("host", "template", F.concat("up", F.array(F.lit("*"))).alias("merged"))
-        out = out.join(alike, ["host", "template"], "left").withColumn("template", F.coalesce("merged", "template")).drop("merged")
-        out = stage(out, "merged")
+        alike = nodes.filter(F.coalesce(z, F.lit(0.0)) < SIGNIFICANT).select("host", "up", "own", F.lit(True).alias("alike"))
+        out = out.withColumns({"up": up, "own": own}).join(alike, ["host", "up", "own"], "left")
+        rest = F.slice("template", level + 1, DEPTH + 1)
+        out = stage(out.withColumn("template", F.when(F.col("alike"), F.concat("up", F.array(F.lit("*")), rest)).otherwise(
+            F.col("template"))).drop("up", "own", "alike"), "merged")
     return out
 
 
