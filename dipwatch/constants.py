@@ -24,9 +24,7 @@ OUTAGE_CODES = ("91", "AB03")
 RESOLVE_AFTER_QUIET_MIN = 3
 RECALL_LIMIT = 3
 GRACE_SECONDS = 10
-CATCH_UP_LIMIT = 10
 RETENTION_MIN = 180
-LIST_CAP = 200
 RECENT_BUCKETS = 60
 RATE_BEFORE_FIRST = 0.9
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dipwatch.operators.report import fixed
+
 NUMBER = r"-?\d+(?:\.\d+)?"
 REQUIRED_TOOLS = ("run_residual_test", "scan_incident_onset", "estimate_incident_impact")
 RUN_STATUS = ("running", "completed", "failed", "timed_out", "exhausted")
@@ -21,16 +23,16 @@ def narrative_numbers(narratives: DataFrame) -> DataFrame:
 
 def _plain(value: Column) -> Column:
     """A double the way a person writes it: shortest digits, no trailing zeros, no exponent."""
-    fixed = F.regexp_replace(F.regexp_replace(F.format_string("%.12f", value), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    digits = F.regexp_replace(F.regexp_replace(F.format_string("%.12f", value), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     short = F.regexp_replace(value.cast("string"), r"\.0$", "")
-    return F.when((F.abs(value) >= 1e-3) & (F.abs(value) < 1e7), short).otherwise(fixed)
+    return F.when((F.abs(value) >= 1e-3) & (F.abs(value) < 1e7), short).otherwise(digits)
 
 
 def spoken_forms(number: Column) -> Column:
     """Texts under which a measured value may be quoted; rates also as percentages."""
     percent = number * 100
     forms = F.array(_plain(number))
-    more = F.array(_plain(percent), F.round(percent).cast("bigint").cast("string"), F.format_string("%.1f", percent))
+    more = F.array(_plain(percent), F.round(percent).cast("bigint").cast("string"), fixed(percent))
     return F.when((number >= 0) & (number <= 1), F.concat(forms, more)).otherwise(forms)
 
 

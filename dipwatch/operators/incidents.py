@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from dipwatch.constants import FREE_DIMS, LIST_CAP, RECALL_LIMIT, RESOLVE_AFTER_QUIET_MIN, ROOT_DIMS
+from dipwatch.constants import FREE_DIMS, RECALL_LIMIT, RESOLVE_AFTER_QUIET_MIN, ROOT_DIMS
 from dipwatch.functions.cells import cell_key, compatible, specificity
-from dipwatch.functions.minutes import block_of, bucket_of, first_at_or_after
+from dipwatch.functions.minutes import bucket_of
 
 LOG_SCHEMA = (
     "merchant_id string, country string, minute long, seq long, incident_id string, action string,"
@@ -32,14 +32,15 @@ def live_incidents(log: DataFrame) -> DataFrame:
     )
 
 
-def fold_events(evidence: DataFrame, gaps: DataFrame, calendar: DataFrame, live: DataFrame | None = None) -> DataFrame:
+def fold_events(evidence: DataFrame, gaps: DataFrame, first, last, live: DataFrame | None = None) -> DataFrame:
     """Everything the fold reads, in one table.
 
-    An incident last seen at minute m can only change by itself at the first
-    processed minute at or after m + 3, so instead of pairing every root with
-    every minute the clock is one tick per evidence minute. A tick carries the
-    keys of the root's gap cells in its minute. ``live`` holds the incidents of
-    an earlier run; their rows come first.
+    The clock runs over every minute of ``[first, last]``, with traffic or
+    without. An incident last seen at minute m can only change by itself at
+    m + 3, or at ``first`` if that is later, so instead of pairing every root
+    with every minute the clock is one tick per evidence minute. A tick carries
+    the keys of the root's gap cells in its minute. ``live`` holds the
+    incidents of an earlier run; their rows come first.
     """
     order = Window.partitionBy("bucket", *ROOT_DIMS).orderBy(F.desc("priority_score"), "cell_key")
     shown = evidence.select(
@@ -51,10 +52,8 @@ def fold_events(evidence: DataFrame, gaps: DataFrame, calendar: DataFrame, live:
     watched = evidence.select(*ROOT_DIMS, "minute")
     if live is not None:
         watched = watched.unionByName(live.select(*ROOT_DIMS, "minute"))
-    due = watched.distinct().withColumn("block", block_of(F.col("minute"))).join(
-        calendar, "block", "inner"
-    ).select(*ROOT_DIMS, first_at_or_after(F.col("minute") + RESOLVE_AFTER_QUIET_MIN).alias("minute"))
-    due = due.where(F.col("minute").isNotNull()).distinct()
+    tick = F.greatest(F.col("minute") + RESOLVE_AFTER_QUIET_MIN, F.lit(first)).cast("bigint")
+    due = watched.select(*ROOT_DIMS, tick.alias("minute")).where(F.col("minute") <= F.lit(last)).distinct()
     thin = gaps.groupBy(*ROOT_DIMS, "minute").agg(F.collect_set("cell_key").alias("gap_cells"))
     ticks = due.join(thin, [*ROOT_DIMS, "minute"], "left").select(
         *ROOT_DIMS, "minute", F.lit(TICK).alias("kind"), F.lit(0).cast("long").alias("ord"),
@@ -135,13 +134,13 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(log, columns=names)
 
 
-def incident_log(evidence: DataFrame, gaps: DataFrame, calendar: DataFrame, live: DataFrame | None = None) -> DataFrame:
-    """What happened to every incident, one row per event.
+def incident_log(evidence: DataFrame, gaps: DataFrame, first, last, live: DataFrame | None = None) -> DataFrame:
+    """What happened to every incident in the minutes ``[first, last]``, one row per event.
 
     The rules are sequential per root. A root's events stream through its task
     in order; memory holds the unresolved incidents only, never the group.
     """
-    events = fold_events(evidence, gaps, calendar, live)
+    events = fold_events(evidence, gaps, first, last, live)
     ordered = events.repartition(*ROOT_DIMS).sortWithinPartitions(*ROOT_DIMS, "minute", "kind", "ord")
     return ordered.mapInPandas(_fold, LOG_SCHEMA)
 
@@ -288,12 +287,12 @@ def newest(found: DataFrame, limit: int) -> DataFrame:
     return found.orderBy(F.desc("detected_at"), "incident_id").limit(limit)
 
 
-def unresolved(found: DataFrame, limit: int = 50) -> DataFrame:
+def unresolved(found: DataFrame, limit: int) -> DataFrame:
     return newest(found.where(F.col("resolved_at").isNull()), limit)
 
 
-def latest_evidence(arrived: DataFrame, limit: int = LIST_CAP) -> DataFrame:
-    """Last arrival per (fingerprint, bucket), newest first."""
+def latest_evidence(arrived: DataFrame, limit: int | None = None) -> DataFrame:
+    """Last arrival per (fingerprint, bucket); with ``limit`` only the newest ones, newest first."""
     place = Window.partitionBy("fingerprint", "bucket").orderBy(F.desc("arrival"))
     kept = arrived.withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")
-    return kept.orderBy(F.desc("arrival")).limit(limit)
+    return kept if limit is None else kept.orderBy(F.desc("arrival")).limit(limit)

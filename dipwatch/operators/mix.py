@@ -25,7 +25,7 @@ def code_counts(declines: DataFrame, requests: DataFrame) -> DataFrame:
     ranged = requests.select("request_id", *DIMS, "minute").withColumn(
         "from_minute", F.col("minute") - F.lit(_REACH)
     ).withColumn("to_minute", F.col("minute"))
-    series = cell_series(declines, ranged, ("declines",), ("decline_code",))
+    series = cell_series(declines, ranged, ("declines",), ("decline_code",), any_country=True)
     joined = join_series(ranged, series, ["decline_code", "declines"]).where(F.col("row_minute").isNotNull())
     age = F.col("minute") - F.col("row_minute")
     amount = F.col("row_declines")

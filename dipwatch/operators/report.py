@@ -35,20 +35,41 @@ def with_badges(found: DataFrame) -> DataFrame:
     })
 
 
+def fixed(value: Column, digits: int = 1) -> Column:
+    """Decimal text of the exact binary value, half-way cases away from zero.
+
+    The scaled value is split into the rounded product and its error (both exact in doubles), since a formatter
+    that starts from the shortest decimal would round 12.45, which is a little less than its text, up.
+    """
+    size, scale = F.abs(value), float(10 ** digits)
+    product = size * scale
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    error = (high * scale - product) + (size - high) * scale
+    whole = F.floor(product)
+    part = product - whole
+    up = (part > 0.5) | ((part == 0.5) & (error >= 0))
+    n = whole + F.when(up, 1).otherwise(0)
+    units = 10 ** digits
+    text = F.floor(n / units).cast("bigint").cast("string")
+    if digits:
+        text = F.concat(text, F.lit("."), F.lpad((n % units).cast("bigint").cast("string"), digits, "0"))
+    return F.concat(F.when(value < 0, "-").otherwise(""), text)
+
+
 def percent(value: Column, digits: int = 1) -> Column:
-    return F.concat(F.format_string(f"%.{digits}f", value * 100), F.lit("%"))
+    return F.concat(fixed(value * 100, digits), F.lit("%"))
 
 
 def signed_pp(value: Column) -> Column:
     sign = F.when(value > 0, "+").when(value < 0, "−").otherwise("")
-    return F.concat(sign, F.format_string("%.1f", F.abs(value)), F.lit("pp"))
+    return F.concat(sign, fixed(F.abs(value)), F.lit("pp"))
 
 
 def money(minor: Column, prefix: str | Column = "US$") -> Column:
     """Compact amount: thousands as ``1.2k``, the rest as a grouped integer."""
     value = minor.cast("double") / 100
     prefix = F.lit(prefix) if isinstance(prefix, str) else prefix
-    text = F.when(F.abs(value) >= 1000, F.concat(F.format_string("%.1f", value / 1000), F.lit("k"))).otherwise(
+    text = F.when(F.abs(value) >= 1000, F.concat(fixed(value / 1000), F.lit("k"))).otherwise(
         F.format_number(F.round(value), 0)
     )
     return F.concat(prefix, F.lit(" "), text)

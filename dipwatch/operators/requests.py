@@ -1,4 +1,4 @@
-"""Slice queries: each takes a table of requested slices and answers all of them."""
+"""Slice queries: each takes a table of requested slices, with a country or without, and answers all of them."""
 
 from __future__ import annotations
 
@@ -39,7 +39,7 @@ def with_parent(requests: DataFrame) -> DataFrame:
     })
 
 
-def conversion_slice(rollup: DataFrame, requests: DataFrame, merchants: DataFrame, any_country: bool = False) -> DataFrame:
+def conversion_slice(rollup: DataFrame, requests: DataFrame, merchants: DataFrame) -> DataFrame:
     """Verdict of each slice: reference from siblings, else own past, else the merchant's rate."""
     asked = with_parent(requests).join(merchants, "merchant_id", "inner")
     own = asked.select(
@@ -51,7 +51,7 @@ def conversion_slice(rollup: DataFrame, requests: DataFrame, merchants: DataFram
         F.col("minute").alias("from_minute"), F.col("minute").alias("to_minute"),
     )
     both = own.unionByName(parent)
-    series = cell_series(rollup, both, ("attempts", "approved"), any_country=any_country)
+    series = cell_series(rollup, both, ("attempts", "approved"), any_country=True)
     joined = join_series(both, series, SERIES)
     now = F.col("row_minute") == F.col("minute")
     mine, above = F.col("role") == "own", F.col("role") == "parent"
@@ -80,10 +80,10 @@ def conversion_slice(rollup: DataFrame, requests: DataFrame, merchants: DataFram
     )
 
 
-def conversion_history(rollup: DataFrame, requests: DataFrame, calendar: DataFrame, any_country: bool = False) -> DataFrame:
+def conversion_history(rollup: DataFrame, requests: DataFrame, calendar: DataFrame) -> DataFrame:
     """Per request one row for every processed bucket in ``[from_minute, to_minute)``, zero-filled."""
     ranged = requests.withColumn("to_minute", F.col("to_minute") - 1)
-    series = cell_series(rollup, ranged, ("attempts", "approved"), any_country=any_country)
+    series = cell_series(rollup, ranged, ("attempts", "approved"), any_country=True)
     spine = ranged.withColumn("block", F.explode(blocks_between(F.col("from_minute"), F.col("to_minute")))).join(
         calendar, "block", "inner"
     ).select(
@@ -144,7 +144,7 @@ def _cells(asked: DataFrame) -> DataFrame:
 def incident_onset(rollup: DataFrame, requests: DataFrame, calendar: DataFrame) -> DataFrame:
     """Onset without the three-window floor, with the minutes that make up the run."""
     cells = requests.withColumn("from_minute", F.col("minute") - ONSET_LOOKBACK_MIN).withColumn("to_minute", F.col("minute"))
-    found = with_onset(collect_lookback(requests, cell_series(rollup, cells, ("attempts", "approved")), SERIES), calendar)
+    found = with_onset(collect_lookback(requests, cell_series(rollup, cells, ("attempts", "approved"), any_country=True), SERIES), calendar)
     run = F.col("evidence_minutes")
     return found.select(
         "request_id",
@@ -157,7 +157,7 @@ def incident_onset(rollup: DataFrame, requests: DataFrame, calendar: DataFrame)
 def incident_impact(rollup: DataFrame, requests: DataFrame) -> DataFrame:
     """Impact of each slice over ``[started_minute, minute]``, however long that is."""
     ranged = requests.withColumn("from_minute", F.col("started_minute")).withColumn("to_minute", F.col("minute"))
-    joined = join_series(ranged, cell_series(rollup, ranged, tuple(IMPACT_SERIES)), IMPACT_SERIES)
+    joined = join_series(ranged, cell_series(rollup, ranged, tuple(IMPACT_SERIES), any_country=True), IMPACT_SERIES)
     zero = F.lit(0).cast("bigint")
     sums = joined.groupBy(*requests.columns).agg(
         *[F.coalesce(F.sum(f"row_{c}"), zero).alias(f"_{c}") for c in IMPACT_SERIES]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from dipwatch.constants import RATE_BEFORE_FIRST, RECENT_BUCKETS
+from dipwatch.constants import RATE_BEFORE_FIRST
 from dipwatch.functions.minutes import block_of
 from dipwatch.functions.stats import rate
 
@@ -28,7 +28,7 @@ def portfolio_series(rollup: DataFrame, since) -> DataFrame:
     return _since(rollup, since).groupBy("bucket").agg(*_sums())
 
 
-def carried_rates(series: DataFrame, keep: int = RECENT_BUCKETS) -> DataFrame:
+def carried_rates(series: DataFrame, keep: int) -> DataFrame:
     """Rate per provider over the newest buckets, carried over empty ones.
 
     The list of newest buckets has at most ``keep`` entries and enters as a
@@ -57,10 +57,13 @@ def marker_buckets(markers: DataFrame, calendar: DataFrame, last_minute) -> Data
     """First processed bucket at or after each marker's start, else the last one.
 
     ``markers``: marker_id, starts_minute (first whole minute at or after the
-    start). A marker on a day without traffic looks at the following day rows.
+    start). Where the marker's own day has none, the first minute of the next
+    day that has traffic counts, however far off; the window for that runs over
+    one row a day.
     """
-    placed = markers.withColumn("block", block_of(F.col("starts_minute"))).join(calendar, "block", "left")
-    first = F.try_element_at(
-        F.filter(F.concat("minutes", "after"), lambda m: m >= F.col("starts_minute")), F.lit(1)
-    )
-    return placed.select("marker_id", F.coalesce(first, last_minute).alias("minute"))
+    placed = markers.withColumn("block", block_of(F.col("starts_minute")))
+    days = placed.select("block").distinct().join(calendar.select("block", "minutes"), "block", "full_outer")
+    later = Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    days = days.withColumn("next", F.first(F.try_element_at("minutes", F.lit(1)), ignorenulls=True).over(later))
+    own = F.try_element_at(F.filter("minutes", lambda m: m >= F.col("starts_minute")), F.lit(1))
+    return placed.join(days, "block", "left").select("marker_id", F.coalesce(own, "next", last_minute).alias("minute"))

@@ -567,8 +567,8 @@ ORACLE.update({
     ),
     "q47_stream_rollup": sql(ROLLUP_OUT),
     "q47b_stream_closed_windows": sql(
-        "SELECT bucket, provider_id, count(*) AS attempts, count(*) FILTER (ok) AS approved FROM tx_raw WHERE bucket + INTERVAL 1 MINUTE <="
-        " (SELECT max(bucket) - INTERVAL 10 SECOND FROM tx_raw) GROUP BY bucket, provider_id"
+        "SELECT bucket, provider_id, count(*) AS attempts, count(*) FILTER (ok) AS approved FROM tx WHERE bucket + INTERVAL 1 MINUTE <="
+        " (SELECT max(bucket) - INTERVAL 10 SECOND FROM tx) GROUP BY bucket, provider_id"
     ),
     "q47c_stream_dedup": sql("SELECT bucket, provider_id, count(*) AS attempts FROM tx GROUP BY bucket, provider_id"),
     "q48_stream_signals": sql("SELECT bucket, cell_key, streak AS consecutive_windows, first_bucket FROM confirmed"),
@@ -602,8 +602,7 @@ ORACLE.update({
     "q57_bucket_plan": sql(
         "SELECT merchant_id, s.b AS bucket FROM (SELECT DISTINCT merchant_id FROM rollup) LEFT JOIN (SELECT merchant_id, max(bucket) AS cursor FROM"
         " declines WHERE decline_code IN ('91', 'DS0G') GROUP BY merchant_id) USING (merchant_id), (SELECT unnest(generate_series((SELECT min(bucket)"
-        " FROM rollup), (SELECT max(bucket) FROM rollup), INTERVAL 1 MINUTE)) AS b) s WHERE CASE WHEN cursor IS NULL THEN s.b = (SELECT max(bucket)"
-        " FROM rollup) ELSE s.b > cursor AND s.b > (SELECT max(bucket) FROM rollup) - INTERVAL 10 MINUTE END"
+        " FROM rollup), (SELECT max(bucket) FROM rollup), INTERVAL 1 MINUTE)) AS b) s WHERE cursor IS NULL OR s.b > cursor"
     ),
     "q58_new_only_append": sql(
         "SELECT bucket, count(*) AS attempts FROM tx WHERE bucket >= TIMESTAMP '2026-08-30 12:10:00' AND transaction_id NOT IN (SELECT transaction_id"
@@ -612,7 +611,7 @@ ORACLE.update({
     "q59_config_update": sql(SIGNALS).replace(C.merchants_sql(), C.merchants_sql(0.95)),
     "q60_latest_evidence": sql(
         "SELECT merchant_id || '|' || country AS fingerprint, bucket, " + MINUTE + " || '/' || cell_key AS arrival, state FROM readings QUALIFY"
-        " row_number() OVER (PARTITION BY merchant_id, country, bucket ORDER BY arrival DESC) = 1 ORDER BY arrival DESC LIMIT 200"
+        " row_number() OVER (PARTITION BY merchant_id, country, bucket ORDER BY arrival DESC) = 1"
     ),
     "q61_run_steps": (
         "WITH r AS (SELECT conv_id AS run_id, conv_id // 10 AS incident_id, max(length(text)) * 60 AS started_at FROM conversations GROUP BY conv_id)"
@@ -740,3 +739,14 @@ ORACLE["q51_residual_verdict"] = sql(
     " c.pid = x.pid AND c.key = x.candidate_key LEFT JOIN (SELECT pid, peel_no, count(*) AS echoes FROM (" + ECHOES + ") GROUP BY pid, peel_no) e ON"
     " e.pid = c.pid AND e.peel_no = c.peel_no"
 )
+ORACLE["q70_window_rows"] = sql("SELECT * FROM rollup WHERE bucket = (SELECT max(bucket) FROM rollup)")
+ORACLE["q71_rollup_history"] = sql(
+    "SELECT bucket, provider_id, CAST(sum(attempts) AS BIGINT) AS attempts FROM rollup WHERE bucket >= (SELECT max(bucket) FROM rollup) - INTERVAL 10"
+    " MINUTE AND bucket < (SELECT max(bucket) FROM rollup) GROUP BY bucket, provider_id")
+ORACLE["q72_decline_history"] = sql(
+    "SELECT decline_code, CAST(sum(declines) AS BIGINT) AS declines FROM declines WHERE bucket >= (SELECT max(bucket) FROM declines) - INTERVAL 10"
+    " MINUTE AND bucket < (SELECT max(bucket) FROM declines) GROUP BY decline_code")
+ORACLE["q73_closed_merchants"] = sql("SELECT DISTINCT merchant_id FROM episodes WHERE status NOT IN ('open', 'monitoring')")
+ORACLE["q74_conversion_without_country"] = sql(
+    f"SELECT {MINUTE} || '@' || merchant_id || '@' || provider_id AS request_id, CAST(sum(attempts) AS BIGINT) AS attempts, CAST(sum(approved) AS"
+    " BIGINT) AS approved FROM rollup GROUP BY bucket, merchant_id, provider_id")

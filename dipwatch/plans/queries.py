@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from dipwatch import catalogs as C
-from dipwatch.constants import CATCH_UP_LIMIT, DIMS, FREE_DIMS, ROOT_DIMS
+from dipwatch.constants import DIMS, FREE_DIMS, RECENT_BUCKETS, ROOT_DIMS
 from dipwatch.functions.cells import cell_key, compatible, same_cell, specificity
 from dipwatch.functions.minutes import bucket_of, calendar
 from dipwatch.functions.stats import DROP, rate, with_verdict
@@ -233,7 +233,7 @@ def q09_rate_carried_forward(d):
     )
     thin = stage(thin, "thin")
     last = S.latest_rates(thin).select("provider_id", F.col("rate").alias("latest_rate"))
-    return rounded(S.carried_rates(thin).join(last, "provider_id", "left"), "rate", "latest_rate")
+    return rounded(S.carried_rates(thin, RECENT_BUCKETS).join(last, "provider_id", "left"), "rate", "latest_rate")
 
 
 # --- detection ------------------------------------------------------------
@@ -447,7 +447,8 @@ def q32_evidence(d):
 def _incidents(d):
     found, detection, rollup = d.diagnosis()
     ev = stage(E.evidence(found), "evidence")
-    log = stage(I.incident_log(ev, detection.gaps, calendar(rollup)), "log")
+    span = rollup.agg(F.min("minute"), F.max("minute")).first()
+    log = stage(I.incident_log(ev, detection.gaps, *span), "log")
     return ev, log
 
 
@@ -618,7 +619,12 @@ def q47_stream_rollup(d):
 @query
 def q47b_stream_closed_windows(d):
     base = stage_path(d.spark, "windows")
-    windows = ingest.closed_windows(ingest.payment_stream(d.spark, d.folder), ["provider_id"])
+    store = ingest.Store(d.spark, f"{base}/store")
+    lines = with_transaction_id(ingest.line_stream(d.spark, d.folder))
+    ingest.run_available(lines, f"{base}/ingest", ingest.ingest_batch(store, list(WRITE_ORDER), as_payments))
+    # A second stream over the stored facts, which hold each transaction once.
+    facts = d.spark.readStream.schema(d.payments().schema).parquet(f"{base}/store/facts")
+    windows = ingest.closed_windows(facts, ["provider_id"])
     run = windows.writeStream.format("parquet").option("path", f"{base}/out").option(
         "checkpointLocation", f"{base}/checkpoint"
     ).outputMode("append").trigger(availableNow=True).start()
@@ -745,13 +751,13 @@ def q56_slice_validity(d):
 
 @query
 def q57_bucket_plan(d):
-    """Per merchant, the minutes to process after the last one with an outage code."""
+    """Per merchant, the minutes to process after the last one with an outage code, or all if there is none."""
     r, dec = d.both()
-    target = r.agg(F.max("bucket").alias("t")).scalar()
+    target, oldest = r.agg(F.max("bucket").alias("t")).scalar(), r.agg(F.min("bucket").alias("t")).scalar()
     cursors = r.select("merchant_id").distinct().join(
         dec.where("decline_code in ('91', 'DS0G')").groupBy("merchant_id").agg(F.max("bucket").alias("cursor")), "merchant_id", "left"
     )
-    plan = ingest.bucket_plan(F.col("cursor"), target, CATCH_UP_LIMIT)
+    plan = ingest.bucket_plan(F.col("cursor"), oldest, target)
     return cursors.select("merchant_id", F.explode(plan).alias("bucket"))
 
 
@@ -870,3 +876,45 @@ def q68_trail(d):
 def q69_narratives(d):
     found, _, _ = d.diagnosis()
     return report.report(E.evidence(found), C.playbooks(d.spark)).select("request_id", "headline", "narrative_ops", "narrative_exec")
+
+
+# --- scans and lists of the monitor ---------------------------------------
+
+@query
+def q70_window_rows(d):
+    """The rollup of the newest minute."""
+    r = d.rollup()
+    return tables.window_rows(r, r.agg(F.max("bucket").alias("b")).scalar()).drop("day", "minute")
+
+
+@query
+def q71_rollup_history(d):
+    """Attempts by provider in the ten minutes before the newest one, which is left out."""
+    r = d.rollup()
+    end = r.agg(F.max("bucket").alias("b")).scalar()
+    return tables.history(r, end - F.expr("INTERVAL 10 MINUTES"), end).groupBy("bucket", "provider_id").agg(F.sum("attempts").alias("attempts"))
+
+
+@query
+def q72_decline_history(d):
+    """Declines by code in the ten minutes before the newest one."""
+    dec = d.declines()
+    end = dec.agg(F.max("bucket").alias("b")).scalar()
+    return tables.history(dec, end - F.expr("INTERVAL 10 MINUTES"), end).groupBy("decline_code").agg(F.sum("declines").alias("declines"))
+
+
+@query
+def q73_closed_merchants(d):
+    """Merchants that closed incidents have been seen at."""
+    return I.closed(d.episodes(d.rollup())).select("merchant_id").distinct()
+
+
+@query
+def q74_conversion_without_country(d):
+    """Slices of a merchant and a provider in every minute, whatever the country."""
+    r = d.rollup()
+    asked = r.select("bucket", "minute", "merchant_id", "provider_id").distinct().select(
+        F.concat_ws("@", F.col("minute").cast("string"), "merchant_id", "provider_id").alias("request_id"), "bucket", "minute", "merchant_id",
+        "provider_id", *[F.lit(None).cast("string").alias(x) for x in ("country", "payment_method", "issuer_id")],
+    )
+    return Q.conversion_slice(r, stage(asked, "asked"), d.merchants).select("request_id", "attempts", "approved")

@@ -13,9 +13,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dipwatch.constants import (CATCH_UP_LIMIT, DECLINE_CURRENT_LOOKBACK_MIN, DECLINE_HISTORY_LOOKBACK_MIN, GRACE_SECONDS,
+from dipwatch.constants import (DECLINE_CURRENT_LOOKBACK_MIN, DECLINE_HISTORY_LOOKBACK_MIN, GRACE_SECONDS,
                                 PERSISTENCE_WINDOWS, RECENT_BUCKETS)
-from dipwatch.functions.minutes import calendar, minute_of
+from dipwatch.functions.minutes import minute_of
 from dipwatch.operators import readings as R
 from dipwatch.operators import series as S
 from dipwatch.operators.evidence import evidence
@@ -43,9 +43,10 @@ REACH = DECLINE_CURRENT_LOOKBACK_MIN + DECLINE_HISTORY_LOOKBACK_MIN
 
 class MinuteJob:
     def __init__(self, store: Store, merchants: DataFrame, coverage: DataFrame, catalog: DataFrame,
-                 windows: int = PERSISTENCE_WINDOWS):
+                 windows: int = PERSISTENCE_WINDOWS, catch_up: int | None = None):
         self.store, self.spark = store, store.spark
         self.merchants, self.coverage, self.catalog, self.windows = merchants, coverage, catalog, windows
+        self.catch_up = catch_up
 
     def _schema(self, text: str):
         return self.spark.createDataFrame([], text).schema
@@ -69,14 +70,21 @@ class MinuteJob:
         return rows.where((F.col("bucket") >= low) & (F.col("bucket") <= high))
 
     def _plan(self, batch_id: int) -> tuple[int, int] | None:
-        """First and last minute to process: closed, after the cursor, at most the catch-up limit."""
+        """First and last minute to process: closed, and after the cursor or from the first stored one on.
+
+        However long the backlog, it is one batch plan over a range. ``catch_up`` limits it to the newest minutes if asked to.
+        """
         facts = self.spark.read.schema("created_at timestamp").parquet(f"{self.store.path}/facts")
-        newest = facts.agg((F.unix_seconds(F.max("created_at")) - GRACE_SECONDS).alias("s")).first().s
+        seconds = F.unix_seconds("created_at")
+        oldest, newest = facts.agg(F.min(seconds), F.max(seconds) - GRACE_SECONDS).first()
+        if newest is None:
+            return None
         target = newest // 60 - 1
         done = self._state("cursor", "minute bigint", batch_id).agg(F.max("minute").alias("m")).first().m
-        if done is None:
-            return target, target
-        return (max(done + 1, target - CATCH_UP_LIMIT + 1), target) if done < target else None
+        first = oldest // 60 if done is None else done + 1
+        if self.catch_up is not None:
+            first = max(first, target - self.catch_up + 1)
+        return (first, target) if first <= target else None
 
     def each(self, ingest: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
         def run(batch: DataFrame, batch_id: int) -> None:
@@ -112,7 +120,7 @@ class MinuteJob:
         thin = R.gaps(now)
         live = live_incidents(self._state("incident_log", LOG_SCHEMA, batch_id).drop("batch_id"))
         shown = self._evidence(confirmed, rollup, declines)
-        log = incident_log(shown, thin, calendar(rollup), live).where(F.col("minute") >= first)
+        log = incident_log(shown, thin, first, last, live)
 
         self.store.write(confirmed, "signals", batch_id)
         self.store.write(thin, "gaps", batch_id)

@@ -1,4 +1,4 @@
-"""Registered queries against their SQL. ``ALL_QUERIES=1`` runs every pair, otherwise a cross-section."""
+"""Every registered query of the monitor against its SQL."""
 
 from __future__ import annotations
 
@@ -8,12 +8,10 @@ from pathlib import Path
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from dipwatch.plans.oracle import ORACLE
 from tests.compare import connect, spark_rows, sql_rows
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SOME = ("q02_decline_rollup", "q05_retention_keep", "q12_temporal_lens", "q15_thin_retry", "q16_gaps", "q22_lattice", "q42_fault_labels",
-        "q43_silent_cells", "q46_audit_refs", "q49_marker_bucket", "q55_impact_slice", "q57_bucket_plan")
-CHOSEN = sorted(oracle_sql()) if os.environ.get("ALL_QUERIES") else SOME
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables not present")
 
@@ -23,7 +21,7 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, con, name):
     assert spark_rows(queries()[name](spark, FOLDER)) == sql_rows(con, oracle_sql()[name])
 

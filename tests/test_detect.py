@@ -178,7 +178,7 @@ def test_series_is_zero_filled_over_all_traffic(spark):
     df = frame(spark, rows)
     out = conversion_series(df, {"provider_id": "stripe"}, bucket_of(F.lit(NOON)), bucket_of(F.lit(NOON + 2))).orderBy("bucket").collect()
     assert [(r.attempts, r.rate) for r in out] == [(10, 0.9), (0, None)]
-    carried = carried_rates(df.select("bucket", "provider_id", "attempts", "approved")).orderBy("provider_id", "bucket").collect()
+    carried = carried_rates(df.select("bucket", "provider_id", "attempts", "approved"), 60).orderBy("provider_id", "bucket").collect()
     assert [r.rate for r in carried] == [0.9, 0.9, 0.9, 0.9]
 
 

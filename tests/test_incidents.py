@@ -4,8 +4,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from dipwatch.functions.cells import cell_key
-from dipwatch.functions.minutes import calendar
-from dipwatch.operators.incidents import (active, closed, incident_log, latest_evidence, live_candidates, recall, stored_evidence,
+from dipwatch.operators.incidents import (active, closed, incident_log, latest_evidence, live_candidates, live_incidents, recall, stored_evidence,
                                           transitions, unresolved)
 from tests.grids import NOON, cell, frame, key
 
@@ -19,7 +18,7 @@ NUBANK = dict(BR, provider_id="adyen", payment_method="CARD", issuer_id="nubank"
 def tables(spark, evidence, gaps, spine):
     ev = frame(spark, [(m, *cell(**c), float(p), f"{m}/{i}") for i, (m, p, c) in enumerate(evidence)], SCHEMA).withColumn("cell_key", cell_key())
     g = frame(spark, [(m, *cell(**c), 0.0, "") for m, c in gaps], SCHEMA).withColumn("cell_key", cell_key())
-    return ev, g, calendar(spark.createDataFrame([(m,) for m in spine], "minute bigint"))
+    return ev, g, min(spine), max(spine)
 
 
 def log_of(spark, evidence, gaps=(), spine=range(NOON, NOON + 40)):
@@ -34,9 +33,9 @@ def test_quiet_windows_resolve_and_a_gap_is_inconclusive(spark):
     assert actions(log_of(spark, [(NOON, 1, ITAU)])) == [(0, "opened"), (3, "resolved")]
     assert actions(log_of(spark, [(NOON, 1, ITAU)], [(NOON + 3, ITAU)])) == [(0, "opened"), (3, "inconclusive")]
     assert actions(log_of(spark, [(NOON, 1, ITAU)], [(NOON + 3, BR), (NOON + 2, ITAU)])) == [(0, "opened"), (3, "resolved")]
-    # The clock only ticks on processed minutes, also over midnight and over silent days.
-    far = NOON + 3000
-    assert actions(log_of(spark, [(NOON, 1, ITAU)], spine=[NOON, NOON + 1, far])) == [(0, "opened"), (3000, "resolved")]
+    # The clock ticks in every minute, also where there is no traffic, and not beyond the last one.
+    assert actions(log_of(spark, [(NOON, 1, ITAU)], spine=[NOON, NOON + 1, NOON + 3000])) == [(0, "opened"), (3, "resolved")]
+    assert actions(log_of(spark, [(NOON, 1, ITAU)], spine=[NOON, NOON + 2])) == [(0, "opened")]
     assert transitions(log_of(spark, [(NOON, 1, ITAU)])).first().to_status == "resolved"
 
 
@@ -51,15 +50,24 @@ def test_containment_decides_identity(spark):
     assert actions(again) == [(0, "opened"), (3, "inconclusive"), (9, "updated"), (12, "resolved")]
 
 
+def test_live_incidents_close_in_a_later_run(spark):
+    """What an earlier run left open is due at once if its time has passed, with minutes left out or days without traffic between."""
+    left = live_incidents(log_of(spark, [(NOON, 1, ITAU)], spine=[NOON, NOON + 1]))
+    for first in (NOON + 2, NOON + 31, NOON + 3000):
+        ev, gaps, _, _ = tables(spark, [], [], [NOON])
+        log = incident_log(ev, gaps, first, first + 5, left)
+        assert actions(log) == [(max(3, first - NOON), "resolved")]
+
+
 def by_hand(evidence, gaps, spine):
-    """Brute force over every processed minute."""
+    """Brute force over every minute."""
     shown, thin, out, live = defaultdict(list), defaultdict(set), [], []
     for i, (m, p, c) in enumerate(evidence):
         shown[m].append((-p, key(**c), c, f"{m}/{i}"))
     for m, c in gaps:
         thin[m].add(key(**c))
     dims = ("provider_id", "payment_method", "issuer_id")
-    for now in sorted(spine):
+    for now in range(min(spine), max(spine) + 1):
         for _, _, c, _ in sorted(shown[now], key=lambda x: x[:2]):
             fits = [x for x in live if all(not x["c"].get(d) or not c.get(d) or x["c"][d] == c[d] for d in dims)]
             if not fits:
@@ -122,6 +130,6 @@ def test_recall_lists_and_predicates(spark):
     assert [got[("i0", p)] for p in (1, 2, 3)] == ["i5", "i4", "i3"]
     assert [got[("i5", p)] for p in (1, 2, 3)] == ["i4", "i3", "i2"]
     assert not any(i == "x" for i, _ in got)
-    assert (active(df).count(), closed(df).count(), live_candidates(df).count(), unresolved(df).count()) == (1, 6, 1, 1)
+    assert (active(df).count(), closed(df).count(), live_candidates(df).count(), unresolved(df, 50).count()) == (1, 6, 1, 1)
     seen = spark.createDataFrame([("f", 1, 1, "old"), ("f", 1, 2, "new"), ("f", 2, 3, "other")], "fingerprint string, bucket int, arrival int, v string")
-    assert [r.v for r in latest_evidence(seen).collect()] == ["other", "new"]
+    assert [r.v for r in latest_evidence(seen, 9).collect()] == ["other", "new"] and latest_evidence(seen).count() == 2

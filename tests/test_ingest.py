@@ -116,8 +116,10 @@ def test_retention_and_bucket_plan(spark):
     assert keep_since(df, now, 0).count() == 2
     t = lambda m: F.timestamp_seconds(F.lit(m * 60))
     one = spark.range(1)
-    size = lambda cursor, target: one.select(F.size(bucket_plan(cursor, target, 10))).first()[0]
-    assert (size(F.lit(None).cast("timestamp"), t(50)), size(t(47), t(50)), size(t(50), t(50)), size(t(10), t(50))) == (1, 3, 0, 10)
+    size = lambda cursor, target, limit=None: one.select(F.size(bucket_plan(cursor, t(5), target, limit))).first()[0]
+    none = F.lit(None).cast("timestamp")
+    assert (size(none, t(50)), size(t(47), t(50)), size(t(50), t(50)), size(t(10), t(50))) == (46, 3, 0, 40)
+    assert (size(none, t(50), 10), size(t(47), t(50), 10), size(t(10), t(50), 10)) == (10, 3, 10)
 
 
 def test_faults_combine(spark):
