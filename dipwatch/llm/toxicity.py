@@ -24,7 +24,7 @@ from dipwatch.llm.frames import split_by_ids
 from dipwatch.llm.words import ALPHANUMERIC, Words, scan, words_of
 from dipwatch.session import stage
 
-FIT_ROWS = 12_000
+FIT_ROWS = 10_000
 BUCKETS = 1 << 20
 PREFIXES = (4, 6)
 THRESHOLD = 0.3
@@ -80,25 +80,16 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model | None:
     y = np.asarray(toxic, float)
     if not len(y) or y.min() == y.max():
         return None
-    feature, sentence, doc, held = [], [], [], 0
-    plain = np.zeros(len(texts))
-    for a in range(0, len(texts), 256):
-        w = words_of(texts[a:a + 256], ALPHANUMERIC)
-        first, text = sentences(w)
+    # Two passes over the chunks, so that only counts and the entries of kept features are held.
+    n, rate = len(texts), y.mean()
+    pos, all_ = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for a in range(0, n, 128):
+        w = words_of(texts[a:a + 128], ALPHANUMERIC)
         f = word_features(w)
-        own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(f)))) if len(first) else np.zeros(0, int)
-        pairs = np.unique(np.repeat(own + held, f.shape[1]) * BUCKETS + f.ravel())
-        sentence.append(pairs // BUCKETS)
-        feature.append(pairs % BUCKETS)
-        doc.append(text + a)
-        plain[a:a + 256] += np.bincount(text, minlength=min(256, len(texts) - a))
-        held += len(first)
-    feature, sentence, doc = map(np.concatenate, (feature, sentence, doc))
-    # Documents with and without each feature, by label.
-    seen = np.unique(doc[sentence] * BUCKETS + feature)
-    d, f = seen // BUCKETS, seen % BUCKETS
-    pos, all_ = np.bincount(f, y[d], BUCKETS), np.bincount(f, minlength=BUCKETS)
-    rate, n = y.mean(), len(y)
+        own = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
+        seen = np.unique(np.repeat(own, f.shape[1]) * BUCKETS + f.ravel())
+        np.add.at(all_, seen % BUCKETS, 1)
+        np.add.at(pos, seen % BUCKETS, y[a + seen // BUCKETS])
 
     def term(k, m):
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -106,17 +97,28 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model | None:
 
     g2 = 2 * (term(pos, all_) + term(y.sum() - pos, n - all_))
     kept = (g2 >= LEAST_G2) & (all_ >= LEAST_DOCS) & (pos > rate * all_)
-    use = kept[feature]
     number = np.cumsum(kept) - 1
-    feature, sentence = number[feature[use]], sentence[use]
-    some, place = np.unique(sentence, return_inverse=True)
-    owner = doc[some]
-    plain -= np.bincount(owner, minlength=n)  # sentences without any kept feature
+    feature, sentence, owner, held = [], [], [], 0
+    plain = np.zeros(n)  # sentences without any kept feature
+    for a in range(0, n, 128):
+        w = words_of(texts[a:a + 128], ALPHANUMERIC)
+        first, text = sentences(w)
+        plain[a:a + 128] += np.bincount(text, minlength=len(w.first) - 1)
+        word, column = np.nonzero(kept[f := word_features(w)])
+        in_sentence = np.searchsorted(first, word, side="right") - 1
+        pairs = np.unique(in_sentence * BUCKETS + f[word, column])
+        some, place = np.unique(pairs // BUCKETS, return_inverse=True)
+        feature.append(number[pairs % BUCKETS])
+        sentence.append(place + held)
+        owner.append(text[some] + a)
+        held += len(some)
+    feature, place, owner = map(np.concatenate, (feature, sentence, owner))
+    plain -= np.bincount(owner, minlength=n)
     size = int(kept.sum())
     theta, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     theta[-1] = -6.0
     for step in range(1, STEPS + 1):
-        z = np.bincount(place, theta[feature], len(some)) + theta[-1]
+        z = np.bincount(place, theta[feature], held) + theta[-1]
         none = np.bincount(owner, -np.logaddexp(0, z), n) - plain * np.logaddexp(0, theta[-1])
         p = np.clip(-np.expm1(none), 1e-9, 1 - 1e-12)
         pull = np.where(y > 0, (1 - p) / p, -1.0)
