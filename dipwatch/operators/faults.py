@@ -13,29 +13,29 @@ def label_faults(tx: DataFrame, faults: DataFrame) -> DataFrame:
     """Attach the combined effect of all faults active on each payment.
 
     Rates multiply, latencies add, decline weights of later faults override.
-    Faults are grouped per day into one array, so payments are joined on the
-    day only and never shuffled or multiplied; which faults apply is decided
-    inside the row. ``faults``: fault_id, place (order), starts_at, ends_at or
-    null, the five dimensions or null, conversion_multiplier,
-    latency_ms_increase, decline_weights.
+    Faults with an end are grouped per day into one array, so payments are
+    joined on the day only and never shuffled or multiplied; those without an
+    end are one array for all days. Which faults apply is decided inside the
+    row. ``faults``: fault_id, place (order), starts_at, ends_at or null, the
+    five dimensions or null, conversion_multiplier, latency_ms_increase,
+    decline_weights.
     """
-    last = tx.agg(F.max("created_at").alias("last")).scalar()
-    bounded = faults.withColumn("_until", F.coalesce("ends_at", F.greatest(last, F.col("starts_at")) + F.expr("INTERVAL 1 MINUTE")))
     minute = lambda c: F.expr(f"unix_seconds({c}) div 60")
-    daily = bounded.withColumn(
-        "_day", F.explode(blocks_between(minute("starts_at"), minute("_until")))
-    ).groupBy("_day").agg(F.collect_list(F.struct(
+    effect = F.struct(
         "place", "fault_id", "starts_at", "ends_at", *DIMS, "conversion_multiplier",
         F.coalesce("latency_ms_increase", F.lit(0).cast("bigint")).alias("latency_ms_increase"),
         F.coalesce("decline_weights", F.create_map().cast("map<string,double>")).alias("decline_weights"),
-    )).alias("_faults")).withColumn(
-        "_faults", F.expr("array_sort(_faults, (a, b) -> int(sign(a.place - b.place)))")
     )
-    joined = tx.withColumn("_day", block_of(minute("created_at"))).join(daily, "_day", "left")
+    bounded = faults.where(F.col("ends_at").isNotNull())
+    daily = bounded.withColumn("_day", F.explode(blocks_between(minute("starts_at"), F.greatest(minute("starts_at"), minute("ends_at"))))).groupBy(
+        "_day").agg(F.collect_list(effect).alias("_dated"))
+    lasting = faults.where(F.col("ends_at").isNull()).agg(F.collect_list(effect).alias("f")).scalar()
+    joined = tx.withColumn("_day", block_of(minute("created_at"))).join(daily, "_day", "left").withColumn("_faults", F.when(
+        F.col("_dated").isNull(), lasting).otherwise(F.concat("_dated", lasting))).drop("_dated")
     dims = " AND ".join(f"(f.{d} IS NULL OR f.{d} = {d})" for d in DIMS)
     active = F.expr(
-        "filter(coalesce(_faults, array()), f -> f.starts_at <= created_at"
-        f" AND (f.ends_at IS NULL OR created_at < f.ends_at) AND {dims})"
+        "array_sort(filter(_faults, f -> f.starts_at <= created_at"
+        f" AND (f.ends_at IS NULL OR created_at < f.ends_at) AND {dims}), (a, b) -> int(sign(a.place - b.place)))"
     )
     return joined.withColumn("_active", active).withColumns({
         "fault_ids": F.expr("transform(_active, f -> f.fault_id)"),

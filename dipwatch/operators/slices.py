@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dipwatch.constants import DIMS, FREE_DIMS, MEASURES, ROOT_DIMS
+from dipwatch.constants import DIMS, FREE_DIMS, MEASURES
 from dipwatch.functions.cells import inside_but_not, matches, project_to_masks
 from dipwatch.functions.minutes import block_of, blocks_between
 from dipwatch.functions.stats import rate
@@ -16,9 +16,9 @@ def slice_sums(rollup: DataFrame) -> DataFrame:
 
     Four grouping sets in one pass: the root, its providers, its card issuers
     and, where there is a choice of method, its methods. ``split`` names the
-    set; card issuers carry ``payment_method`` CARD. The rows are placed by
-    (bucket, root, split) up front: the sums and the sibling windows that follow
-    both accept that placement, so the two share one shuffle.
+    set; card issuers carry ``payment_method`` CARD. The copies are summed on
+    the map side before anything moves; the sibling windows that follow then
+    shuffle only the sums.
     """
     tagged = rollup.withColumn(
         "split",
@@ -38,7 +38,6 @@ def slice_sums(rollup: DataFrame) -> DataFrame:
         tagged.withColumn("provider_id", F.when(split == "provider", F.col("provider_id")))
         .withColumn("issuer_id", F.when(split == "issuer", F.col("issuer_id")))
         .withColumn("payment_method", F.when(split.isin("issuer", "method"), F.col("payment_method")))
-        .repartition("bucket", *ROOT_DIMS, "split")
         .groupBy("bucket", "minute", "split", *DIMS)
         .agg(F.sum("attempts").alias("attempts"), F.sum("approved").alias("approved"))
     )
