@@ -530,8 +530,8 @@ ORACLE.update({
         " TIMESTAMP '2026-08-30 12:30:00') AS d FROM labelled)"
     ),
     "q43_silent_cells": sql(
-        f"SELECT {key_sql('a.')} AS cell_key, 'silent' AS kind FROM ({GRID}) a WHERE NOT EXISTS (SELECT 1 FROM declines b WHERE decline_code = '61'"
-        f" AND {DIM_EQ}) UNION ALL SELECT DISTINCT {key_sql('a.')}, 'undeclared' FROM declines a WHERE decline_code = '61' AND NOT EXISTS (SELECT 1"
+        f"SELECT {key_sql('a.')} AS cell_key, 'silent' AS kind FROM ({GRID}) a WHERE NOT EXISTS (SELECT 1 FROM rollup b WHERE"
+        f" {DIM_EQ}) UNION ALL SELECT DISTINCT {key_sql('a.')}, 'undeclared' FROM rollup a WHERE NOT EXISTS (SELECT 1"
         f" FROM ({GRID}) b WHERE b.provider_id <> 'adyen' AND {DIM_EQ})"
     ),
     "q44_fx_dated": (
@@ -589,8 +589,7 @@ ORACLE.update({
         " x.payment_method) AND (c.issuer_id IS NULL OR c.issuer_id = x.issuer_id) GROUP BY c.request_id, s.bucket"
     ),
     "q55_impact_slice": impact_sql(
-        f"SELECT {MINUTE} || '@' || {key_sql()} AS request_id, {DIMS}, bucket, bucket - INTERVAL 9 MINUTE AS started_at, 0.95::DOUBLE AS e FROM slices"
-        " WHERE split = 'issuer'"),
+        f"SELECT {MINUTE} || '@' || {key_sql()} AS request_id, {DIMS}, bucket, bucket - INTERVAL 9 MINUTE AS started_at, 0.95::DOUBLE AS e FROM slices"),
     "q56_slice_validity": (
         "WITH a AS (SELECT CASE l_partkey % 5 WHEN 0 THEN 'BR_STORE_01' WHEN 1 THEN 'MX_STORE_01' WHEN 2 THEN 'AR_STORE_01' WHEN 4 THEN '' END AS m,"
         " CASE l_suppkey % 5 WHEN 0 THEN 'BR' WHEN 1 THEN 'MX' WHEN 2 THEN 'AR' WHEN 4 THEN 'US' END AS c, CASE l_orderkey % 4 WHEN 0 THEN 'CARD'"
@@ -662,8 +661,7 @@ TEXT["sliced"] = (
     " (PARTITION BY a.cell_key ORDER BY a.bucket RANGE BETWEEN INTERVAL 120 MINUTE PRECEDING AND INTERVAL 1 MINUTE PRECEDING)"
 )
 TEXT["thin"] = (
-    "SELECT bucket, provider_id, CAST(sum(CASE WHEN country = 'BR' THEN declines ELSE 0 END) AS DOUBLE) / sum(declines) AS rate FROM declines"
-    " WHERE decline_code = '61' GROUP BY bucket, provider_id"
+    "SELECT bucket, provider_id, CAST(sum(approved) AS DOUBLE) / sum(attempts) AS rate FROM rollup GROUP BY bucket, provider_id"
 )
 NAMES += ["lat", "sliced", "thin"]
 HEAVY |= {"lat", "sliced", "thin"}
@@ -696,8 +694,8 @@ _ASKED = f"SELECT {MINUTE} || '@' || {key_sql()} AS request_id, * FROM slices"
 
 def _asked_mix() -> str:
     head = sql(
-        "SELECT a.request_id, d.decline_code AS code, d.declines, date_diff('minute', d.bucket, a.bucket) AS age FROM (" + _ASKED + " WHERE split <>"
-        " 'root') a LEFT JOIN declines d ON d.merchant_id = a.merchant_id AND d.country = a.country AND (a.provider_id IS NULL OR a.provider_id ="
+        "SELECT a.request_id, d.decline_code AS code, d.declines, date_diff('minute', d.bucket, a.bucket) AS age FROM (" + _ASKED +
+        ") a LEFT JOIN declines d ON d.merchant_id = a.merchant_id AND d.country = a.country AND (a.provider_id IS NULL OR a.provider_id ="
         " d.provider_id) AND (a.payment_method IS NULL OR a.payment_method = d.payment_method) AND (a.issuer_id IS NULL OR a.issuer_id ="
         " d.issuer_id) AND d.bucket BETWEEN a.bucket - INTERVAL 374 MINUTE AND a.bucket"
     )
@@ -719,9 +717,10 @@ ORACLE["q54_onset_slice"] = sql(
     "SELECT request_id, coalesce(min(sb) FILTER (g IS NULL OR sb > g), max(b)) AS started_at, count(*) FILTER ((g IS NULL OR sb > g) AND sn >= 30) > 0"
     " AS started_at_exact, greatest(count(*) FILTER (g IS NULL OR sb > g), 1) AS minutes FROM (SELECT a.request_id, a.bucket AS b, s.bucket AS sb,"
     " coalesce(x.n, 0) AS sn, max(CASE WHEN x.n >= 30 AND CAST(x.k AS DOUBLE) / x.n >= CAST(0.9 AS DOUBLE) - CAST(3.0 AS DOUBLE) / 100 THEN s.bucket END)"
-    f" OVER (PARTITION BY a.request_id) AS g FROM ({_ASKED} WHERE split = 'provider') a JOIN spine s ON s.bucket BETWEEN a.bucket - INTERVAL 120 MINUTE"
-    " AND a.bucket LEFT JOIN slices x ON x.bucket = s.bucket AND x.split = 'provider' AND x.merchant_id = a.merchant_id AND x.country = a.country AND"
-    " x.provider_id = a.provider_id) GROUP BY request_id"
+    f" OVER (PARTITION BY a.request_id) AS g FROM ({_ASKED}) a JOIN spine s ON s.bucket BETWEEN a.bucket - INTERVAL 120 MINUTE"
+    " AND a.bucket LEFT JOIN slices x ON x.bucket = s.bucket AND x.split = a.split AND x.merchant_id = a.merchant_id AND x.country = a.country AND"
+    " x.provider_id IS NOT DISTINCT FROM a.provider_id AND x.payment_method IS NOT DISTINCT FROM a.payment_method AND x.issuer_id IS NOT DISTINCT FROM"
+    " a.issuer_id) GROUP BY request_id"
 )
 _PEELED = " UNION ALL ".join(f"SELECT pid, {r} AS peel_no, key, explained FROM causal{r}" for r in (1, 2, 3))
 ORACLE["q51_residual_verdict"] = sql(

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from dipwatch import catalogs as C
 from dipwatch.constants import DIMS, FREE_DIMS, RECENT_BUCKETS, ROOT_DIMS
 from dipwatch.functions.cells import cell_key, compatible, same_cell, specificity
-from dipwatch.functions.minutes import bucket_of, calendar
+from dipwatch.functions.minutes import block_of, blocks_between, bucket_of, calendar
 from dipwatch.functions.stats import DROP, rate, with_verdict
 from dipwatch.operators import audit, evidence as E, faults, incidents as I, mix, readings as R, report, requests as Q
 from dipwatch.operators import search, series as S, slices
@@ -228,12 +228,9 @@ def q08_conversion_series(d):
 
 @query
 def q09_rate_carried_forward(d):
-    thin = d.declines().where("decline_code = '61'").groupBy("bucket", "provider_id").agg(
-        F.sum("declines").alias("attempts"), F.sum(F.when(F.col("country") == "BR", F.col("declines")).otherwise(0)).alias("approved")
-    )
-    thin = stage(thin, "thin")
-    last = S.latest_rates(thin).select("provider_id", F.col("rate").alias("latest_rate"))
-    return rounded(S.carried_rates(thin, RECENT_BUCKETS).join(last, "provider_id", "left"), "rate", "latest_rate")
+    series = stage(d.rollup().groupBy("bucket", "provider_id").agg(F.sum("attempts").alias("attempts"), F.sum("approved").alias("approved")), "series")
+    last = S.latest_rates(series).select("provider_id", F.col("rate").alias("latest_rate"))
+    return rounded(S.carried_rates(series, RECENT_BUCKETS).join(last, "provider_id", "left"), "rate", "latest_rate")
 
 
 # --- detection ------------------------------------------------------------
@@ -558,7 +555,7 @@ def q42_fault_labels(d):
 @query
 def q43_silent_cells(d):
     grid = faults.cell_grid(C.merchant_countries(d.spark), d.coverage, C.issuer_countries(d.spark))
-    seen = d.declines().where("decline_code = '61'").withColumn("attempts", F.col("declines"))
+    seen = d.rollup()
     silent = faults.silent_cells(grid, seen).select(cell_key().alias("cell_key"), F.lit("silent").alias("kind"))
     extra = faults.undeclared_cells(grid.where("provider_id <> 'adyen'"), seen).select(cell_key().alias("cell_key"), F.lit("undeclared").alias("kind"))
     return silent.unionByName(extra)
@@ -703,7 +700,7 @@ def q52_history_slice(d):
 @query
 def q53_mix_slice(d):
     r, dec = d.both()
-    cells = slices.slice_sums(r).where("split <> 'root'").select("bucket", "minute", *DIMS)
+    cells = slices.slice_sums(r).select("bucket", "minute", *DIMS)
     asked = stage(cells.withColumn("request_id", F.concat_ws("@", F.col("minute").cast("string"), cell_key())), "asked")
     totals = mix.window_totals(dec, asked)
     top = mix.shift_arrays(mix.decline_shifts(dec, asked, d.catalog)).select(
@@ -715,7 +712,7 @@ def q53_mix_slice(d):
 @query
 def q54_onset_slice(d):
     r = d.rollup()
-    cells = slices.slice_sums(r).where("split = 'provider'").select(
+    cells = slices.slice_sums(r).select(
         F.concat_ws("@", F.col("minute").cast("string"), cell_key()).alias("request_id"), "minute", *DIMS,
         F.lit(0.9).alias("expected"), F.lit(3.0).alias("delta_pp"),
     )
@@ -726,7 +723,7 @@ def q54_onset_slice(d):
 @query
 def q55_impact_slice(d):
     r = d.rollup()
-    cells = slices.slice_sums(r).where("split = 'issuer'").select(
+    cells = slices.slice_sums(r).select(
         F.concat_ws("@", F.col("minute").cast("string"), cell_key()).alias("request_id"), "minute", *DIMS,
         (F.col("minute") - 9).alias("started_minute"), F.lit(0.95).alias("expected"),
     )
@@ -801,7 +798,11 @@ def q62_live_candidates(d):
         "incident_id", "started_at", "detected_at", *[F.col(x).alias(f"live_{x}") for x in DIMS], specificity().alias("fixed")
     )
     signals = promoted(streaks(R.confident(read))).select("bucket", "cell_key", *DIMS)
-    on = [signals[x] == runs[f"live_{x}"] for x in ROOT_DIMS]
+    # Both sides carry days, so a root's drops meet only the runs of their day.
+    minute = lambda c: F.expr(f"unix_seconds({c}) div 60")
+    runs = runs.withColumn("block", F.explode(blocks_between(minute("started_at"), minute("detected_at") + 3)))
+    signals = signals.withColumn("day_block", block_of(minute("bucket")))
+    on = [F.col("day_block") == F.col("block"), *[signals[x] == runs[f"live_{x}"] for x in ROOT_DIMS]]
     on += [F.col("started_at") < F.col("bucket"), F.col("bucket") <= F.col("detected_at") + F.expr("INTERVAL 3 MINUTES")]
     joined = signals.join(runs, [*on, compatible("", "live_", FREE_DIMS)], "inner")
     best = F.max_by("incident_id", F.struct("fixed", "detected_at", "incident_id"))
