@@ -6,10 +6,10 @@ fixed number of segments of the hash range, more than such a pair can differ in,
 The contents of a segment name a tile: (band, segment, contents). Only documents of one tile are compared: first by a bitmap of their
 hashes, whose differing bits bound the overlap from above, then by intersecting the sorted arrays.
 
-A tile is not expanded into pairs. Its least member (hub) is compared with the others; tiles whose members are then in one component
-are done. In the rest, four times as many further members become hubs in each round, until no tile holds two components among its
-members that were not hubs: every pair of a tile is then either compared or inside one component, so no link that joins components is
-lost. Equal sets are one node throughout, so exact copies make no pairs.
+A tile is not expanded into pairs. One member (hub) is compared with the others; tiles whose other members are then in one component
+are done. In the rest, members of different components are joined under the bitmap's bound as a condition, so only pairs that may
+link leave the join. Every pair of a tile is then either compared or inside one component, so no link that joins components is lost.
+Equal sets are one node throughout, so exact copies make no pairs.
 
 Segments that are empty would make large tiles of unrelated documents. Each band has ``SPARE`` further segments; a document with no
 more empty segments than that leaves them out, and still shares a segment that is not empty with each of its links.
@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from dipwatch.llm.components import components
 from dipwatch.llm.frames import split_by_ids
@@ -37,7 +36,6 @@ PERCENT = 90
 SPARE = 2
 GROWTH = 1.5
 BITMAP = 1024
-HUB_GROWTH = 4
 
 
 def differences(a: int, b: int) -> int:
@@ -134,26 +132,35 @@ def _exact(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those (a, b) of ``pairs`` that link: bitmaps first, then the sorted arrays of the documents that are left."""
-    nodes = sets.filter(F.size("bitmap") > 0).groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
-    nodes = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
-    nodes = stage(nodes, "nodes")
-    x = nodes.select(F.col("node").alias("a"), F.col("n").alias("nx"), F.col("bitmap").alias("bx"))
-    y = nodes.select(F.col("node").alias("b"), F.col("n").alias("ny"), F.col("bitmap").alias("by"))
-    apart = F.aggregate(F.zip_with("bx", "by", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
-    bound = F.shiftright(F.col("nx") + F.col("ny") - apart, 1)
-    near = pairs.join(x, "a").join(y, "b").filter(
-        (F.lit(100) * bound >= F.lit(PERCENT) * (F.col("nx") + F.col("ny") - bound))).select("a", "b")
-    # A hub may be in very many pairs: its array is copied to a few hundred pairs each.
-    near = stage(near, "near")
-    hubs = near.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("copies"))
+def _apart(x: str, y: str):
+    """Bits in which two bitmaps differ; the bitmaps are arrays of longs."""
+    out = F.lit(0)
+    for i in range(BITMAP // 64):
+        out = out + F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i]))
+    return out
+
+
+def _near():
+    """Bitmaps and sizes (nx, bx; ny, by) allow the overlap that a link needs."""
+    bound = F.shiftright(F.col("nx") + F.col("ny") - _apart("bx", "by"), 1)
+    return F.lit(100) * bound >= F.lit(PERCENT) * (F.col("nx") + F.col("ny") - bound)
+
+
+def _nodes(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Size, bitmap and one document of each node of ``wanted``."""
+    known = sets.filter(F.size("bitmap") > 0).join(wanted, "node", "left_semi")
+    return known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
+
+
+def _linked(near: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those (a, b) of ``near`` that link, by their sorted arrays; only documents in ``near`` are read for them."""
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = stage(nodes.join(wanted, "node", "left_semi").select("doc_id"), "ids")
+    ids = _nodes(sets, wanted).select("doc_id")
     likely, _ = split_by_ids(docs, ids)
     arrays = scan(likely, ["doc_id", "text"], _arrays, "node long, items binary")
     arrays = stage(arrays.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")), "arrays")
+    # A hub may be in very many pairs: its array is copied to a few hundred pairs each.
+    hubs = near.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("copies"))
     dealt = near.join(hubs, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
     dealt = dealt.select("a", "b", "part").join(arrays.select(F.col("node").alias("b"), F.col("items").alias("y_items")), "b")
     copied = arrays.join(hubs, arrays["node"] == hubs["a"]).select(
@@ -166,30 +173,42 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
         *members.columns, F.coalesce("label", "node").alias("label"))
 
 
+def _tiles_and_hubs(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tile, node) of tiles with two nodes at least, and their (tile, hub).
+
+    The hub is the member whose tiles are fullest together: among near copies, the text that the others derive from.
+    """
+    named = sets.select("node", F.explode("tiles").alias("tile"))
+    full = named.groupBy("tile").agg(F.min("node").alias("l"), F.max("node").alias("h"), F.count("*").alias("c")).filter("l <> h")
+    members = stage(named.join(full.select("tile", "c"), "tile").distinct(), "members")
+    score = members.groupBy("node").agg(F.sum("c").alias("s"))
+    hubs = members.join(score, "node").groupBy("tile").agg(F.max_by("node", F.struct("s", "node")).alias("hub"))
+    return members.select("tile", "node"), stage(hubs, "hubs")
+
+
 def joined_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node of each document), and the components' (node, label) for nodes that are not their own label."""
     sets = stage(scan(docs, ["doc_id", "text"], _describe,
                       "doc_id long, n long, node long, bitmap array<long>, tiles array<long>"), "sets")
-    named = sets.select("node", F.explode("tiles").alias("tile"))
-    hubs = named.groupBy("tile").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("tile", "hub")
-    members = stage(named.join(hubs, "tile").filter("node <> hub").select("tile", "hub", "node").distinct(), "members")
-    links = stage(_linked(members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, docs), "links")
+    members, hubs = _tiles_and_hubs(sets)
+    others = members.join(hubs, "tile").filter("node <> hub")
+    pairs = stage(others.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    nodes = stage(_nodes(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "nodes")
+    x = nodes.select(F.col("node").alias("a"), F.col("n").alias("nx"), F.col("bitmap").alias("bx"))
+    y = nodes.select(F.col("node").alias("b"), F.col("n").alias("ny"), F.col("bitmap").alias("by"))
+    near = stage(pairs.join(y, "b").join(x, (pairs["a"] == x["a"]) & _near()).select(pairs["a"], "b"), "near")
+    links = stage(_linked(near, sets, docs), "links")
     labels = components(links)
-    # What is left: tiles with two components among the members that were not hubs. Tiles of the same members are one.
-    rest = _open_tiles(members.select("tile", "node"), labels)
-    rest = rest.join(_distinct_tiles(rest), "tile", "left_semi")
-    take = 1
-    while True:
-        rest = stage(rest, "rest")
-        if rest.isEmpty():
-            return sets.select("doc_id", "n", "node"), labels
-        ranked = rest.withColumn("place", F.row_number().over(Window.partitionBy("tile").orderBy("node")))
-        first = ranked.filter(F.col("place") <= take).select("tile", F.col("node").alias("a"), F.col("label").alias("la"), F.col("place").alias("pa"))
-        pairs = first.join(ranked, "tile").filter("place > pa AND label <> la").select("a", F.col("node").alias("b")).distinct()
-        links = stage(links.unionAll(_linked(stage(pairs, "pairs"), sets, docs)), "links")
-        labels = components(links)
-        rest = _open_tiles(ranked.filter(F.col("place") > take).select("tile", "node"), labels)
-        take *= HUB_GROWTH
+    rest = stage(_open_tiles(others.select("tile", "node"), labels), "rest")
+    if rest.isEmpty():
+        return sets.select("doc_id", "n", "node"), labels
+    # All that is left to compare; a pair leaves the join only if its bitmaps may hold a link.
+    rest = rest.join(_distinct_tiles(rest), "tile", "left_semi").join(nodes.drop("doc_id"), "node")
+    p = rest.select("tile", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("nx"), F.col("bitmap").alias("bx"))
+    q = rest.select("tile", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("ny"), F.col("bitmap").alias("by"))
+    close = p.join(q, (p["tile"] == q["tile"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _near())
+    more = _linked(stage(close.select("a", "b").distinct(), "close"), sets, docs)
+    return sets.select("doc_id", "n", "node"), components(stage(links.unionAll(more), "links"))
 
 
 def _open_tiles(members: DataFrame, labels: DataFrame) -> DataFrame:
