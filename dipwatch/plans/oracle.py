@@ -349,6 +349,14 @@ SIGNALS = (
     " streak AS consecutive_windows, first_bucket FROM streaks WHERE streak >= 3"
 )
 ROLLUP_OUT = "SELECT * FROM rollup"
+QUARANTINE = (
+    "SELECT outcome, rules, count(*) AS entries FROM (SELECT CASE WHEN t % 101 = 0 THEN 'missing_payload' WHEN t % 103 = 1 THEN"
+    " 'bad_json' WHEN rules <> '' THEN 'schema' ELSE 'clean' END AS outcome, CASE WHEN t % 101 = 0 OR t % 103 = 1 THEN '' ELSE rules"
+    " END AS rules FROM (SELECT t, CASE WHEN f1 OR f2 THEN concat_ws(',', CASE WHEN f1 THEN 'amountMinor' END, CASE WHEN f2 THEN"
+    " 'merchantId' END) ELSE concat_ws(',', CASE WHEN c1 THEN 'decline_iff_code' END, CASE WHEN c2 THEN 'pix_only_br' END) END AS rules"
+    " FROM (SELECT transaction_id AS t, transaction_id % 107 = 2 AS f1, transaction_id % 127 = 5 AS f2, transaction_id % 109 = 3 AND ok AS c1,"
+    " transaction_id % 113 = 4 AND payment_method = 'CARD' AND country <> 'BR' AS c2 FROM tx))) GROUP BY outcome, rules"
+)
 PROVIDER_SERIES = (
     "SELECT bucket, provider_id, CAST(sum(attempts) AS BIGINT) AS attempts, CAST(sum(approved) AS BIGINT) AS approved FROM rollup"
     f" WHERE bucket >= {SINCE} GROUP BY bucket, provider_id"
@@ -370,14 +378,7 @@ ORACLE: dict[str, str] = {
     "q01_minute_rollup": sql(ROLLUP_OUT),
     "q02_decline_rollup": sql("SELECT * FROM declines"),
     "q03_rollup_merge": sql(ROLLUP_OUT),
-    "q04_quarantine_counts": sql(
-        "SELECT outcome, rules, count(*) AS entries FROM (SELECT CASE WHEN t % 101 = 0 THEN 'missing_payload' WHEN t % 103 = 1 THEN"
-        " 'bad_json' WHEN rules <> '' THEN 'schema' ELSE 'clean' END AS outcome, CASE WHEN t % 101 = 0 OR t % 103 = 1 THEN '' ELSE rules"
-        " END AS rules FROM (SELECT t, CASE WHEN f1 OR f2 THEN concat_ws(',', CASE WHEN f1 THEN 'amountMinor' END, CASE WHEN f2 THEN"
-        " 'merchantId' END) ELSE concat_ws(',', CASE WHEN c1 THEN 'decline_iff_code' END, CASE WHEN c2 THEN 'pix_only_br' END) END AS rules"
-        " FROM (SELECT transaction_id AS t, transaction_id % 107 = 2 AS f1, transaction_id % 127 = 5 AS f2, transaction_id % 109 = 3 AND ok AS c1,"
-        " transaction_id % 113 = 4 AND payment_method = 'CARD' AND country <> 'BR' AS c2 FROM tx))) GROUP BY outcome, rules"
-    ),
+    "q04_quarantine_counts": sql(QUARANTINE),
     "q05_retention_keep": sql(
         "SELECT bucket, count(*) AS attempts FROM tx WHERE bucket >= (SELECT max(bucket) + INTERVAL 65 SECOND - INTERVAL 15 MINUTE FROM tx_raw)"
         " AND bucket <= date_trunc('minute', (SELECT max(bucket) + INTERVAL 65 SECOND - INTERVAL 10 SECOND FROM tx_raw)) - INTERVAL 1 MINUTE"
@@ -749,3 +750,7 @@ ORACLE["q73_closed_merchants"] = sql("SELECT DISTINCT merchant_id FROM episodes
 ORACLE["q74_conversion_without_country"] = sql(
     f"SELECT {MINUTE} || '@' || merchant_id || '@' || provider_id AS request_id, CAST(sum(attempts) AS BIGINT) AS attempts, CAST(sum(approved) AS"
     " BIGINT) AS approved FROM rollup GROUP BY bucket, merchant_id, provider_id")
+# Every payload came twice: a clean one is one fact, a bad one is set aside each time.
+ORACLE["q75_payload_ingest"] = sql(
+    "SELECT CASE WHEN outcome = 'clean' THEN 'fact' ELSE outcome END AS outcome, CAST(sum(entries) * CASE WHEN outcome = 'clean' THEN 1 ELSE 2 END AS"
+    f" BIGINT) AS entries FROM ({QUARANTINE}) GROUP BY outcome")
