@@ -235,6 +235,7 @@ def recall(found: DataFrame, limit: int = RECALL_LIMIT) -> DataFrame:
         "fingerprint", F.col("incident_id").alias("similar_id"), F.col("started_at").alias("similar_started_at"),
         F.col("resolved_at").alias("similar_resolved_at"), F.col("detected_at").alias("similar_detected_at"),
         F.col("dominant_decline").alias("similar_decline"), F.col("cost_usd_minor").alias("similar_cost"),
+        (F.col("causal_dimension") if "causal_dimension" in found.columns else F.lit(None).cast("string")).alias("similar_dimension"),
     )
     joined = found.select("incident_id", "fingerprint").join(past, "fingerprint", "inner").where(
         F.col("incident_id") != F.col("similar_id")
@@ -249,7 +250,7 @@ def recall(found: DataFrame, limit: int = RECALL_LIMIT) -> DataFrame:
         F.lit(" USD minor units."),
     )
     return joined.withColumn("place", F.row_number().over(mine)).where(F.col("place") <= limit).select(
-        "incident_id", "fingerprint", "place", "similar_id", summary.alias("summary")
+        "incident_id", "fingerprint", "place", "similar_id", "similar_dimension", "similar_decline", summary.alias("summary")
     )
 
 

@@ -124,12 +124,13 @@ def test_recall_lists_and_predicates(spark):
     rows = [(f"i{n}", "F", "resolved" if n else "open", n, None if n == 0 else n + 3) for n in range(6)] + [("x", "G", "resolved", 1, 4)]
     df = spark.createDataFrame(rows, "incident_id string, fingerprint string, status string, at int, over int").withColumns({
         "detected_at": F.timestamp_seconds(F.col("at") * 60), "started_at": F.timestamp_seconds(F.col("at") * 60),
-        "resolved_at": F.timestamp_seconds(F.col("over") * 60), "dominant_decline": F.lit("05"), "cost_usd_minor": F.lit(7),
+        "resolved_at": F.timestamp_seconds(F.col("over") * 60), "dominant_decline": F.lit("05"), "cost_usd_minor": F.lit(7), "causal_dimension": F.lit("issuer"),
     })
     got = {(r.incident_id, r.place): r.similar_id for r in recall(df).collect()}
     assert [got[("i0", p)] for p in (1, 2, 3)] == ["i5", "i4", "i3"]
     assert [got[("i5", p)] for p in (1, 2, 3)] == ["i4", "i3", "i2"]
     assert not any(i == "x" for i, _ in got)
+    assert {(r.similar_dimension, r.similar_decline) for r in recall(df).collect()} == {("issuer", "05")}
     assert (active(df).count(), closed(df).count(), live_candidates(df).count(), unresolved(df, 50).count()) == (1, 6, 1, 1)
     seen = spark.createDataFrame([("f", 1, 1, "old"), ("f", 1, 2, "new"), ("f", 2, 3, "other")], "fingerprint string, bucket int, arrival int, v string")
     assert [r.v for r in latest_evidence(seen, 9).collect()] == ["other", "new"] and latest_evidence(seen).count() == 2
