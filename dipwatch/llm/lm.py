@@ -30,7 +30,7 @@ from dipwatch.llm.toxicity import remainder
 from dipwatch.llm.words import scan
 from dipwatch.session import stage
 
-#: Bytes of text a hash part; parts at least.
+#: Bytes of text a hash part, and a task that hands on a whole table of numbers; parts at least.
 PART_BYTES, LEAST_PARTS = 32 << 20, 32
 FREQUENT = 2e-6
 ROUNDS = 3
@@ -152,7 +152,7 @@ def _class_totals(vocabulary: DataFrame, classes: np.ndarray) -> tuple[np.ndarra
     return n, v
 
 
-def trained_weights(train: DataFrame, classes: np.ndarray) -> np.ndarray:
+def trained_weights(train: DataFrame, classes: np.ndarray, tasks: int) -> np.ndarray:
     """Weights after one distributed update for each part of the training documents."""
     weights = np.zeros((1 << M.TABLE_BITS, M.CLASSES), np.float32)
     context = train.sparkSession.sparkContext
@@ -177,7 +177,7 @@ def trained_weights(train: DataFrame, classes: np.ndarray) -> np.ndarray:
             step.rest = rest
             return step
 
-        part = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn)
+        part = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn).coalesce(tasks)
         changes = _blocks_summed(scan(part, ["text"], make, "block int, salt int, data binary"), "f4").collect()
         weights = weights.copy()
         for row in changes:
@@ -276,14 +276,16 @@ def op8_lm_scores(docs: DataFrame) -> DataFrame:
     train = docs.filter("NOT held_out")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(LEAST_PARTS, size // PART_BYTES)
-    counted = stage(scan(train, ["text"], _counter(parts), "part int, salt int, words binary, counts binary, kinds binary"), "counted")
+    # A task hands on tables of fixed size, so it should have read far more than that.
+    tasks = max(spark.sparkContext.defaultParallelism, size // PART_BYTES)
+    counted = stage(scan(train.coalesce(tasks), ["text"], _counter(parts), "part int, salt int, words binary, counts binary, kinds binary"), "counted")
     vocabulary = stage(_vocabulary(counted), "vocabulary")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     met = np.zeros((64, M.KINDS // 64, 2 * M.CONTEXT), np.int64)
     for row in _blocks_summed(counted.filter("part < 0").select(F.col("part").alias("block"), "salt", F.col("words").alias("data")), "i8").collect():
         met[-1 - row["block"]] = np.frombuffer(row["data"], np.int64).reshape(met.shape[1:])
     classes = M.cluster(met.reshape(M.KINDS, -1))
-    weights = trained_weights(train, classes)
+    weights = trained_weights(train, classes, tasks)
     in_class, kinds = _class_totals(vocabulary, classes)
     frequent, counts = _frequent(vocabulary, max(1.0, FREQUENT * total))
     sent = spark.sparkContext.broadcast((weights, classes, frequent, counts, np.log10(in_class + SMOOTH * (kinds + 1))))

@@ -17,7 +17,7 @@ from dipwatch.llm.words import words_of
 KINDS = 1 << 13
 CONTEXT = 32
 CLASSES = 16
-TABLE_BITS = 16
+TABLE_BITS = 15
 FEATURES = 5
 BATCH = 8192
 RATE = 0.25
