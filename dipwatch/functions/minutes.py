@@ -44,30 +44,19 @@ def with_trailing(rows: DataFrame, keys: list[str], lookback: int, outputs: dict
 
 
 def calendar(rows: DataFrame, block: int = BLOCK_MIN) -> DataFrame:
-    """The processed minutes, one row per day: ``(block, minutes, before, after)``.
+    """The processed minutes, one row per day: ``(block, minutes, before)``.
 
     ``minutes`` are the day's distinct buckets (at most 1440), ``before`` those
-    of the day before, ``after`` the next three existing ones. The table has
-    one row per day, so the unpartitioned window below stays tiny however
-    large the fact is.
+    of the day before, which an equi-join on the block brings in.
     """
     days = (
         rows.select("minute").distinct()
         .groupBy(block_of(F.col("minute"), block).alias("block"))
         .agg(F.array_sort(F.collect_list("minute")).alias("minutes"))
     )
-    ordered = Window.orderBy("block")
-    lagged = days.withColumn(
-        "before",
-        F.when(F.lag("block").over(ordered) == F.col("block") - 1, F.lag("minutes").over(ordered)),
-    ).withColumn(
-        "after",
-        F.slice(F.flatten(F.collect_list(F.slice("minutes", 1, 3)).over(ordered.rowsBetween(1, 3))), 1, 3),
-    )
+    earlier = days.select((F.col("block") + 1).alias("block"), F.col("minutes").alias("before"))
     empty = F.array().cast("array<bigint>")
-    return lagged.select(
-        "block", "minutes", F.coalesce("before", empty).alias("before"), F.coalesce("after", empty).alias("after")
-    )
+    return days.join(earlier, "block", "left").select("block", "minutes", F.coalesce("before", empty).alias("before"))
 
 
 def trail(minute: Column, lookback: int) -> Column:
@@ -76,10 +65,3 @@ def trail(minute: Column, lookback: int) -> Column:
         F.concat(F.col("before"), F.col("minutes")),
         lambda m: (m >= minute - F.lit(lookback)) & (m <= minute),
     )
-
-
-def first_at_or_after(minute: Column) -> Column:
-    """First processed minute not before ``minute`` (which lies in the row's day)."""
-    return F.try_element_at(
-        F.filter(F.concat(F.col("minutes"), F.col("after")), lambda m: m >= minute), F.lit(1)
-    )

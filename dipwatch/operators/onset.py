@@ -55,5 +55,5 @@ def with_onset(collected: DataFrame, calendar: DataFrame, expected: str = "expec
         .withColumn("started_at_exact", long_enough & (run_thick == F.size("_run")))
         .withColumn("evidence_minutes", F.col("_run"))
         .withColumn("run_thick", run_thick)
-        .drop("block", "minutes", "before", "after", "_trail", "_thick", "_limit", "_last_good", "_run")
+        .drop("block", "minutes", "before", "_trail", "_thick", "_limit", "_last_good", "_run")
     )
