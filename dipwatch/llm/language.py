@@ -25,6 +25,8 @@ FIT_WINDOWS = 24_000
 WINDOW = 64
 HIDDEN = 8
 BATCH, STEPS, RATE = 256, 350, 0.02
+#: A chunk's states of one step fit in a core's cache.
+CHUNK = 1 << 17
 UNDETERMINED = "und"
 #: Byte 0 fills up windows; a gate that stays shut leaves the state as it is.
 SHUT = np.float32(-40)
@@ -188,7 +190,7 @@ def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
 
         return step
 
-    return scan(docs, ["doc_id", "text"], make, "doc_id long, lang_pred string, score double")
+    return scan(docs, ["doc_id", "text"], make, "doc_id long, lang_pred string, score double", CHUNK)
 
 
 def op9_language(docs: DataFrame) -> DataFrame:

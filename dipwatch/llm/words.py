@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 19
+SLICE_ROWS = 1024
 BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -132,20 +133,23 @@ def chunks(texts: list[bytes | None], size: int = CHUNK_BYTES) -> Iterator[tuple
         yield start, len(texts)
 
 
-def scan(docs: DataFrame, columns: list[str], make: Callable, schema: str) -> DataFrame:
-    """Run ``make()`` -> function(dict of columns as lists) -> Arrow table or batch or None over chunks of rows of ``docs``.
+def scan(docs: DataFrame, columns: list[str], make: Callable, schema: str, chunk: int = CHUNK_BYTES) -> DataFrame:
+    """Run ``make()`` -> function(dict of columns as lists) -> Arrow table or batch or None over chunks of rows of ``docs``,
+    of about ``chunk`` bytes of text.
 
     ``text`` and ``html`` arrive as UTF-8 bytes. ``make`` is called once a task.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            whole = batch.to_pydict()
-            by = next((c for c in ("text", "html") if c in whole), None)
-            spans = chunks(whole[by]) if by else [(0, batch.num_rows)]
-            for a, b in spans:
-                if a < b and (out := step({c: v[a:b] for c, v in whole.items()})) is not None:
-                    yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+            # Few rows at a time become Python values.
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                whole = batch.slice(at, SLICE_ROWS).to_pydict()
+                by = next((c for c in ("text", "html") if c in whole), None)
+                spans = chunks(whole[by], chunk) if by else [(0, len(whole[columns[0]]))]
+                for a, b in spans:
+                    if a < b and (out := step({c: v[a:b] for c, v in whole.items()})) is not None:
+                        yield from out.to_batches() if isinstance(out, pa.Table) else [out]
         if (last := getattr(step, "rest", None)) and (out := last()) is not None:
             yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
