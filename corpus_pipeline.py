@@ -4,7 +4,7 @@ Each stage is (spark, docs, sf_dir) -> DataFrame, works on all rows that the one
 the next. All but the last return the columns of ``documents``.
 
 1. toxicity: documents that the classifier rejects go; labels join by id and only train it.
-2. jaccard: of each group of documents linked by word shingles, the one of the least id stays.
+2. jaccard: of each group of documents linked by shingles of five words (Jaccard of at least 0.8), the one of the least id stays.
 3. decontaminate: documents that hold a passage of a benchmark item go (``drop_over=0``: no share of hit words is tolerated).
 4. mix: rows are repeated or left out until each source has its budget of words, in whole documents.
 5. shard: equal texts together, shards of near equal bytes; adds shard and slot.
@@ -35,7 +35,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs)
+    return one_of_each(docs, words=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures, then exact sorted-array intersection.
 
-A document's set holds the hashes of its distinct word shingles. Documents link when ``100 * intersection >= 90 * union``, thus when
-they differ in at most (a + b) / 19 shingles. Sizes are cut into overlapping bands in which any linked pair meets; a band has a
-fixed number of segments of the hash range, more than such a pair can differ in, so a linked pair agrees in all of some segment.
+A document's set holds the hashes of its distinct shingles of ``words`` words. Documents link when
+``100 * intersection >= percent * union``, thus when they differ in at most (a + b) * (100 - percent) / (100 + percent) shingles. Sizes
+are cut into overlapping bands in which any linked pair meets; a band has a fixed number of segments of the hash range, more than such
+a pair can differ in, so a linked pair agrees in all of some segment.
 The contents of a segment name a tile: (band, segment, contents). Only documents of one tile are compared: first by a bitmap of their
 hashes, whose differing bits bound the overlap from above, then by intersecting the sorted arrays.
 
@@ -11,8 +12,9 @@ are done. In the rest, members of different components are joined under the bitm
 link leave the join. Every pair of a tile is then either compared or inside one component, so no link that joins components is lost.
 Equal sets are one node throughout, so exact copies make no pairs.
 
-Segments that are empty would make large tiles of unrelated documents. Each band has ``SPARE`` further segments; a document with no
-more empty segments than that leaves them out, and still shares a segment that is not empty with each of its links.
+Segments that are empty would make large tiles of unrelated documents. Each band has further segments (``spare``); a document with no
+more empty segments than that leaves them out, and still shares a segment that is not empty with each of its links. The lower the
+percentage, the more segments there are for a size and the fewer shingles in each, so ``spare`` grows with them.
 
 Defined results: null and empty texts have the empty set and link with nothing; a null id forms no component name, so its component
 is that of its links or null; repeated rows have equal sets and so one component; extra columns are ignored.
@@ -20,6 +22,8 @@ is that of its links or null; repeated rows have equal sets and so one component
 
 from __future__ import annotations
 
+from functools import lru_cache, partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,39 +34,40 @@ from dipwatch.llm.frames import split_by_ids
 from dipwatch.llm.words import mix, scan, shingles, words_of
 from dipwatch.session import stage
 
+#: Fixed values of op5's contract: words a shingle, and of 100 parts of the union those that links have in common at least.
 WORDS = 3
-#: Links need at least this many of 100 parts of the union in common.
 PERCENT = 90
+#: Spare segments from ``PERCENT`` up.
 SPARE = 2
 GROWTH = 1.5
 BITMAP = 1024
 
 
-def differences(a: int, b: int) -> int:
+def differences(a: int, b: int, percent: int = PERCENT) -> int:
     """Most shingles in which two linked sets of these sizes differ."""
-    return (a + b) * (100 - PERCENT) // (100 + PERCENT)
+    return (a + b) * (100 - percent) // (100 + percent)
 
 
-def bands(largest: int) -> list[tuple[int, int, int]]:
-    """(least size, most, segments); sizes below the first can only link with equal sets or with those in it."""
-    low = next(n for n in range(1, 1000) if differences(n, n + 1))+1
+@lru_cache
+def bands(largest: int, percent: int = PERCENT) -> list[tuple[int, int, int, int]]:
+    """(least size, most, segments, spare); sizes below the first can only link with equal sets or with those in it."""
+    low = next(n for n in range(1, 1000) if differences(n, n + 1, percent)) + 1
     out = []
     while low <= largest or not out:
         high = max(low, int(low * GROWTH) - 1)
-        out.append((low, high, differences(high, high) + 1 + SPARE))
+        differ = differences(high, high, percent)
+        spare = SPARE + differ * max(0, PERCENT - percent) // 80
+        out.append((low, high, differ + 1 + spare, spare))
         low = high + 1
     return out
 
 
-_BANDS = bands(1 << 40)
-
-
-def tiles(array: np.ndarray, sums: np.ndarray) -> np.ndarray:
+def tiles(array: np.ndarray, sums: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Names of the tiles of a sorted set; ``sums`` are running sums of the mixed hashes, from 0."""
     n, out = len(array), []
-    for index, (low, high, count) in enumerate(_BANDS):
+    for index, (low, high, count, spare) in enumerate(bands(1 << 40, percent)):
         # The smaller of a linked pair may lie below the band of the larger.
-        if n * 100 < low * PERCENT:
+        if n * 100 < low * percent:
             break
         if n > high:
             continue
@@ -72,13 +77,13 @@ def tiles(array: np.ndarray, sums: np.ndarray) -> np.ndarray:
         content = sums[at[1:]] - sums[at[:-1]]
         full = at[1:] > at[:-1]
         names = mix(content + mix(np.arange(count, dtype=np.uint64) + np.uint64((index + 1) << 40)))
-        out.append(names[full] if count - full.sum() <= SPARE else names)
+        out.append(names[full] if count - full.sum() <= spare else names)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _sets(texts: list) -> list[np.ndarray]:
+def _sets(texts: list, words: int) -> list[np.ndarray]:
     w = words_of(texts)
-    values, offsets = shingles(w.hashes(), w.first, WORDS)
+    values, offsets = shingles(w.hashes(), w.first, words)
     return [np.unique(values[offsets[i]:offsets[i + 1]]) for i in range(len(texts))]
 
 
@@ -93,16 +98,16 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def _describe():
+def _describe(words: int, percent: int):
     def step(rows: dict) -> pa.Table:
         n, nodes, bitmaps, names = [], [], [], []
-        for array in _sets(rows["text"]):
+        for array in _sets(rows["text"], words):
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(array))])
             n.append(len(array))
             nodes.append(_name(array, int(sums[-1])) if len(array) else 0)
             bits = np.zeros(BITMAP, bool)
             bits[(array & np.uint64(BITMAP - 1)).astype(np.int64)] = True
-            found = tiles(array, sums)
+            found = tiles(array, sums, percent)
             bitmaps.append(np.packbits(bits).view(np.uint64) if len(found) else np.zeros(0, np.uint64))
             names.append(found)
         return pa.table({
@@ -112,23 +117,23 @@ def _describe():
     return step
 
 
-def _arrays():
+def _arrays(words: int):
     def step(rows: dict) -> pa.Table:
-        sets = _sets(rows["text"])
+        sets = _sets(rows["text"], words)
         nodes = [_name(s, int(mix(s).sum(dtype=np.uint64))) if len(s) else 0 for s in sets]
         return pa.table({"node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "items": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     return step
 
 
-def _exact(batches):
+def _exact(batches, percent: int):
     for batch in batches:
         keep = []
         for x, y in zip(batch.column("x_items"), batch.column("y_items")):
             x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
             at = np.searchsorted(x, y)
             common = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-            keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+            keep.append(100 * common >= percent * (len(x) + len(y) - common))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -140,10 +145,10 @@ def _apart(x: str, y: str):
     return out
 
 
-def _near():
+def _near(percent: int):
     """Bitmaps and sizes (nx, bx; ny, by) allow the overlap that a link needs."""
     bound = F.shiftright(F.col("nx") + F.col("ny") - _apart("bx", "by"), 1)
-    return F.lit(100) * bound >= F.lit(PERCENT) * (F.col("nx") + F.col("ny") - bound)
+    return F.lit(100) * bound >= F.lit(percent) * (F.col("nx") + F.col("ny") - bound)
 
 
 def _nodes(sets: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -152,12 +157,12 @@ def _nodes(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     return known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
 
 
-def _linked(near: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+def _linked(near: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those (a, b) of ``near`` that link, by their sorted arrays; only documents in ``near`` are read for them."""
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = _nodes(sets, wanted).select("doc_id")
     likely, _ = split_by_ids(docs, ids)
-    arrays = scan(likely, ["doc_id", "text"], _arrays, "node long, items binary")
+    arrays = scan(likely, ["doc_id", "text"], partial(_arrays, words), "node long, items binary")
     arrays = stage(arrays.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")), "arrays")
     # A hub may be in very many pairs: its array is copied to a few hundred pairs each.
     hubs = near.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("copies"))
@@ -165,7 +170,8 @@ def _linked(near: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     dealt = dealt.select("a", "b", "part").join(arrays.select(F.col("node").alias("b"), F.col("items").alias("y_items")), "b")
     copied = arrays.join(hubs, arrays["node"] == hubs["a"]).select(
         "a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"), F.col("items").alias("x_items"))
-    return dealt.join(copied, ["a", "part"]).select("a", "b", "x_items", "y_items").mapInArrow(_exact, "a long, b long")
+    return dealt.join(copied, ["a", "part"]).select("a", "b", "x_items", "y_items").mapInArrow(
+        partial(_exact, percent=percent), "a long, b long")
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -186,9 +192,9 @@ def _tiles_and_hubs(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members.select("tile", "node"), stage(hubs, "hubs")
 
 
-def joined_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def joined_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node of each document), and the components' (node, label) for nodes that are not their own label."""
-    sets = stage(scan(docs, ["doc_id", "text"], _describe,
+    sets = stage(scan(docs, ["doc_id", "text"], partial(_describe, words, percent),
                       "doc_id long, n long, node long, bitmap array<long>, tiles array<long>"), "sets")
     members, hubs = _tiles_and_hubs(sets)
     others = members.join(hubs, "tile").filter("node <> hub")
@@ -196,8 +202,8 @@ def joined_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = stage(_nodes(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "nodes")
     x = nodes.select(F.col("node").alias("a"), F.col("n").alias("nx"), F.col("bitmap").alias("bx"))
     y = nodes.select(F.col("node").alias("b"), F.col("n").alias("ny"), F.col("bitmap").alias("by"))
-    near = stage(pairs.join(y, "b").join(x, (pairs["a"] == x["a"]) & _near()).select(pairs["a"], "b"), "near")
-    links = stage(_linked(near, sets, docs), "links")
+    near = stage(pairs.join(y, "b").join(x, (pairs["a"] == x["a"]) & _near(percent)).select(pairs["a"], "b"), "near")
+    links = stage(_linked(near, sets, docs, words, percent), "links")
     labels = components(links)
     rest = stage(_open_tiles(others.select("tile", "node"), labels), "rest")
     if rest.isEmpty():
@@ -206,8 +212,8 @@ def joined_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = rest.join(_distinct_tiles(rest), "tile", "left_semi").join(nodes.drop("doc_id"), "node")
     p = rest.select("tile", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("nx"), F.col("bitmap").alias("bx"))
     q = rest.select("tile", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("ny"), F.col("bitmap").alias("by"))
-    close = p.join(q, (p["tile"] == q["tile"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _near())
-    more = _linked(stage(close.select("a", "b").distinct(), "close"), sets, docs)
+    close = p.join(q, (p["tile"] == q["tile"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _near(percent))
+    more = _linked(stage(close.select("a", "b").distinct(), "close"), sets, docs, words, percent)
     return sets.select("doc_id", "n", "node"), components(stage(links.unionAll(more), "links"))
 
 
@@ -222,9 +228,9 @@ def _distinct_tiles(members: DataFrame) -> DataFrame:
     return same.groupBy("s", "c").agg(F.min("tile").alias("tile")).select("tile")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
-    rows, labels = joined_sets(docs)
+    rows, labels = joined_sets(docs, words, percent)
     rows = rows.join(labels.withColumnRenamed("node", "_n"), (F.col("node") == F.col("_n")) & (F.col("n") > 0), "left").select(
         "doc_id", "n", F.coalesce("label", "node").alias("label"))
     rows = stage(rows, "labelled")
@@ -237,9 +243,9 @@ def op5_jaccard_join(docs: DataFrame) -> DataFrame:
     return jaccard_components(docs)
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """All rows but those linked to a document of a smaller id; of rows that agree in every column one stays."""
-    found = stage(jaccard_components(docs), "components")
+    found = stage(jaccard_components(docs, words, percent), "components")
     gone = found.filter("doc_id <> component_id").select("doc_id", F.lit(True).alias("_gone"))
     twice = found.groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(False).alias("_gone"))
     marked = stage(gone.unionAll(twice).groupBy("doc_id").agg(F.max("_gone").alias("_gone")), "gone")

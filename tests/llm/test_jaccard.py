@@ -122,3 +122,61 @@ def test_one_document_of_each_group_stays(spark):
     names = [tuple(r) for r in docs.select("doc_id", "text").distinct().collect()]
     gone = {d for d, _, c in _brute([tuple(r) for r in docs.select("doc_id", "text").collect()]) if d != c}
     assert rows_of(kept.select("doc_id", "text")) == sorted((r for r in names if r[0] not in gone), key=repr)
+
+
+def _linked_rows(rows, words, percent):
+    """Components of (doc_id, text) by all pairs."""
+    sets = []
+    for _, text in rows:
+        w = WORD.findall((text or "").lower())
+        sets.append({tuple(w[i:i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set()))
+    least = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common and 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                a, b = least[i], least[j]
+                least = [min(a, b) if x in (a, b) else x for x in least]
+    return least
+
+
+def test_the_pipelines_stage_links_by_five_words_and_four_fifths(spark):
+    import corpus_pipeline
+
+    draw, rows = random.Random(9), []
+    for size in (5, 8, 9, 10, 14, 30, 60, 150, 400):
+        base = [f"v{draw.randrange(10**6)}" for _ in range(size)]
+        for edits in (0, 0, 1, 1, 2, 2, 3, 5, 8, 12):
+            text = list(base)
+            for _ in range(edits):
+                text[draw.randrange(size)] = f"e{draw.randrange(10**6)}"
+            rows.append((len(rows), " ".join(text), "en", "a", 1))
+    # One run of ten words of 150 replaced: 132 of 160 shingles of five words are common, 136 of 160 of three.
+    base = [f"w{i}" for i in range(150)]
+    rows += [(1000, " ".join(base), "en", "a", 1), (1001, " ".join(base[:70] + [f"x{i}" for i in range(10)] + base[80:]), "en", "a", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = {r["doc_id"] for r in corpus_pipeline.jaccard(spark, docs, SF).collect()}
+    least = _linked_rows([(r[0], r[1]) for r in rows], 5, 80)
+    assert kept == {rows[i][0] for i in set(least)} and 1000 in kept and 1001 not in kept
+
+
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_linked_sets_share_a_tile_at_other_percentages(percent):
+    draw = np.random.Generator(np.random.PCG64(2))
+
+    def names(s):
+        return set(J.tiles(s, np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s))]), percent).tolist())
+
+    tried = 0
+    for _ in range(600):
+        n = int(draw.integers(5, 900))
+        values = np.unique(draw.integers(0, 1 << 63, 2 * n, dtype=np.uint64) * np.uint64(2))
+        most = n * (100 - percent) // 100 + 1
+        a, b = np.sort(values[draw.permutation(len(values))[:n]]), None
+        rest = np.setdiff1d(values, a)
+        b = np.sort(np.concatenate([draw.permutation(a)[int(draw.integers(0, most)):], rest[:int(draw.integers(0, most))]]))
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= percent * (n + len(b) - common) and len(a) + len(b) > common * 2:
+            tried += 1
+            assert names(a) & names(b)
+    assert tried > 50
