@@ -152,9 +152,27 @@ def _class_totals(vocabulary: DataFrame, classes: np.ndarray) -> tuple[np.ndarra
     return n, v
 
 
-def trained_weights(train: DataFrame, classes: np.ndarray, tasks: int) -> np.ndarray:
+#: A touched row of the table: its place, the change and the number of tasks that touched it.
+_CHANGE = np.dtype([("row", "i4"), ("delta", "f4", (M.CLASSES,)), ("tasks", "f4")])
+
+
+def _changes_summed(rows: DataFrame) -> DataFrame:
+    """(block, salt, data) -> (block, data): changes of touched rows, summed by row."""
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        all_rows = np.concatenate([np.frombuffer(d, _CHANGE) for d in group["data"]])
+        all_rows = all_rows[np.argsort(all_rows["row"], kind="stable")]
+        begin = np.flatnonzero(np.diff(all_rows["row"], prepend=-1))
+        total = all_rows[begin]
+        total["delta"], total["tasks"] = np.add.reduceat(all_rows["delta"], begin), np.add.reduceat(all_rows["tasks"], begin)
+        return pd.DataFrame({"block": [group["block"].iloc[0]], "data": [total.tobytes()]})
+
+    once = rows.groupBy("block", "salt").applyInPandas(add, "block int, data binary")
+    return once.groupBy("block").applyInPandas(add, "block int, data binary")
+
+
+def trained_weights(train: DataFrame, classes: np.ndarray, tasks: int, bits: int) -> np.ndarray:
     """Weights after one distributed update for each part of the training documents."""
-    weights = np.zeros((1 << M.TABLE_BITS, M.CLASSES), np.float32)
+    weights = np.zeros((1 << bits, M.CLASSES), np.float32)
     context = train.sparkSession.sparkContext
     for turn in range(ROUNDS):
         sent = context.broadcast((weights, classes))
@@ -169,20 +187,22 @@ def trained_weights(train: DataFrame, classes: np.ndarray, tasks: int) -> np.nda
             def rest() -> pa.Table | None:
                 if not touched.any():
                     return None
-                delta = np.concatenate([own - start, touched[:, None].astype(np.float32)], 1)
-                blocks = [i for i in range(len(delta) // BLOCK_ROWS) if touched[i * BLOCK_ROWS:(i + 1) * BLOCK_ROWS].any()]
+                changed = np.zeros(int(touched.sum()), _CHANGE)
+                changed["row"] = np.flatnonzero(touched)
+                changed["delta"], changed["tasks"] = (own - start)[touched], 1
+                blocks, at = np.unique(changed["row"] // BLOCK_ROWS, return_index=True)
                 return pa.table({"block": pa.array(blocks, pa.int32()), "salt": pa.array([_salt()] * len(blocks), pa.int32()),
-                                 "data": pa.array([delta[i * BLOCK_ROWS:(i + 1) * BLOCK_ROWS].tobytes() for i in blocks], pa.binary())})
+                                 "data": pa.array([x.tobytes() for x in np.split(changed, at[1:])], pa.binary())})
 
             step.rest = rest
             return step
 
         part = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn).coalesce(tasks)
-        changes = _blocks_summed(scan(part, ["text"], make, "block int, salt int, data binary"), "f4").collect()
+        changes = _changes_summed(scan(part, ["text"], make, "block int, salt int, data binary")).collect()
         weights = weights.copy()
         for row in changes:
-            d = np.frombuffer(row["data"], np.float32).reshape(BLOCK_ROWS, -1)
-            weights[row["block"] * BLOCK_ROWS:(row["block"] + 1) * BLOCK_ROWS] += d[:, :-1] / np.maximum(1, d[:, -1:])
+            d = np.frombuffer(row["data"], _CHANGE)
+            weights[d["row"]] += d["delta"] / d["tasks"][:, None]
     return weights
 
 
@@ -285,7 +305,7 @@ def op8_lm_scores(docs: DataFrame) -> DataFrame:
     for row in _blocks_summed(counted.filter("part < 0").select(F.col("part").alias("block"), "salt", F.col("words").alias("data")), "i8").collect():
         met[-1 - row["block"]] = np.frombuffer(row["data"], np.int64).reshape(met.shape[1:])
     classes = M.cluster(met.reshape(M.KINDS, -1))
-    weights = trained_weights(train, classes, tasks)
+    weights = trained_weights(train, classes, tasks, M.table_bits(total))
     in_class, kinds = _class_totals(vocabulary, classes)
     frequent, counts = _frequent(vocabulary, max(1.0, FREQUENT * total))
     sent = spark.sparkContext.broadcast((weights, classes, frequent, counts, np.log10(in_class + SMOOTH * (kinds + 1))))

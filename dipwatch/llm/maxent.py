@@ -17,7 +17,8 @@ from dipwatch.llm.words import words_of
 KINDS = 1 << 13
 CONTEXT = 32
 CLASSES = 16
-TABLE_BITS = 15
+#: Table rows at least, as a power of two; beyond, one for so many training tokens at most.
+TABLE_BITS, TOKENS_A_ROW = 16, 4096
 FEATURES = 5
 BATCH = 8192
 RATE = 0.25
@@ -84,8 +85,13 @@ def cluster(counts: np.ndarray, rounds: int = 25) -> np.ndarray:
     return near.astype(np.int64)
 
 
-def history(t: Tokens, classes: np.ndarray) -> np.ndarray:
-    """Table rows of each token's features, FEATURES x tokens. Places before the text hold zeros."""
+def table_bits(tokens: int) -> int:
+    """Size of the table, as a power of two, for so many training tokens."""
+    return max(TABLE_BITS, (max(0, tokens - 1) // TOKENS_A_ROW).bit_length())
+
+
+def history(t: Tokens, classes: np.ndarray, bits: int = TABLE_BITS) -> np.ndarray:
+    """Rows of each token's features in a table of ``2 ** bits``, FEATURES x tokens. Places before the text hold zeros."""
     n = len(t.hashes)
     own = classes[t.kinds]
 
@@ -97,12 +103,16 @@ def history(t: Tokens, classes: np.ndarray) -> np.ndarray:
 
     h1, h2, h3 = (back(t.hashes, i) for i in (1, 2, 3))
     c = sum((back(own, i) + (t.place >= i)).astype(np.uint64) << np.uint64(6 * i) for i in (1, 2, 3))
-    shift = np.uint64(64 - TABLE_BITS)
+    shift = np.uint64(64 - bits)
     return np.stack([
         h1 * _ODD[0] + _ODD[5] >> shift, (h1 * _ODD[1] ^ h2 * _ODD[2]) * _ODD[5] >> shift, h2 * _ODD[3] + _ODD[4] >> shift,
         h3 * _ODD[4] + _ODD[3] >> shift, (c + np.uint64(1)) * _ODD[0] * _ODD[2] >> shift]).astype(np.int64)
 
 
+def _bits(weights: np.ndarray) -> int:
+    return len(weights).bit_length() - 1
+
+
 def log_shares(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Natural log of P(class | history), tokens x classes."""
     z = weights[rows[0]]
@@ -114,14 +124,14 @@ def log_shares(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def update(weights: np.ndarray, squares: np.ndarray, touched: np.ndarray, t: Tokens, classes: np.ndarray) -> None:
     """Adaptive gradient steps over mini-batches of the tokens, in place."""
-    rows, own = history(t, classes), classes[t.kinds]
+    rows, own = history(t, classes, _bits(weights)), classes[t.kinds]
     for a in range(0, len(own), BATCH):
         part, y = rows[:, a:a + BATCH], own[a:a + BATCH]
         g = np.exp(log_shares(weights, part))
         g[np.arange(len(y)), y] -= 1
         for r in part:
             # Sixteen bits are sorted by radix.
-            order = np.argsort(r.astype(np.uint16), kind="stable")
+            order = np.argsort(r.astype(np.uint16) if len(weights) <= 1 << 16 else r, kind="stable")
             at = r[order]
             begin = np.flatnonzero(np.diff(at, prepend=-1))
             use = at[begin]
@@ -133,7 +143,7 @@ def update(weights: np.ndarray, squares: np.ndarray, touched: np.ndarray, t: Tok
 
 def class_scores(weights: np.ndarray, t: Tokens, classes: np.ndarray) -> np.ndarray:
     """log10 P(class of the token | history) of each token."""
-    rows, own = history(t, classes), classes[t.kinds]
+    rows, own = history(t, classes, _bits(weights)), classes[t.kinds]
     out = np.empty(len(own))
     for a in range(0, len(own), BATCH):
         part = log_shares(weights, rows[:, a:a + BATCH])

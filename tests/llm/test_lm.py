@@ -75,3 +75,14 @@ def test_history_stays_inside_a_text():
     assert t.first.tolist() == [0, 4, 5, 9] and t.place.tolist() == [0, 1, 2, 3, 0, 0, 1, 2, 3]
     rows = M.history(t, np.zeros(M.KINDS, np.int64))
     assert (rows[:, 0] == rows[:, 4]).all() and (rows[:, 0] == rows[:, 5]).all()
+
+
+def test_the_table_grows_with_the_training_tokens(spark, monkeypatch):
+    assert [M.table_bits(n) for n in (0, 1 << 20, 1 << 28, 1 << 30, 1 << 32)] == [16, 16, 16, 18, 20]
+    t = M.tokens_of([" ".join(f"w{i}" for i in range(30_000)).encode()])
+    classes = np.zeros(M.KINDS, np.int64)
+    rows = [len(np.unique(M.history(t, classes, bits)[0])) for bits in (15, 16, 18)]
+    assert rows[0] < rows[1] < rows[2]
+    docs = spark.createDataFrame([(i, f"a{i % 50} b{i % 7} c") for i in range(400)], "doc_id long, text string")
+    weights = lm.trained_weights(docs.repartition(3), classes, 3, 18)
+    assert weights.shape == (1 << 18, M.CLASSES) and np.isfinite(weights).all() and weights.any()
