@@ -74,4 +74,33 @@ SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
 FROM dw LEFT JOIN nw USING (rid) LEFT JOIN ni USING (rid)
 """
 
-ORACLE = {"op2_mix_sources": OP2, "op5_jaccard_join": OP5, "op10_contamination": OP10}
+_OP11_ROUND = """
+a{n} AS MATERIALIZED (
+  SELECT row, arg_min(j, [d, j]) AS j, min(d) AS d FROM (
+    SELECT row, j, list_sum(list_transform(list_zip(p, c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT AS d FROM v, c{n})
+  GROUP BY row),
+c{m} AS MATERIALIZED (
+  SELECT c.j, coalesce(s.c, c.c) AS c FROM c{n} c LEFT JOIN (
+    SELECT j, list(x ORDER BY dim) AS c FROM (
+      SELECT j, dim, ((sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*))::BIGINT AS x
+      FROM (SELECT a.j, unnest(v.p) AS x, generate_subscripts(v.p, 1) AS dim FROM a{n} a JOIN v USING (row)) GROUP BY j, dim)
+    GROUP BY j) s USING (j)),"""
+
+OP11 = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS p
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, vec_id, p) - 1 AS j, p AS c FROM (
+    SELECT sha256('3:' || vec_id) AS h, vec_id, p FROM v ORDER BY 1, 2, 3 LIMIT 8)),""" + "".join(
+    _OP11_ROUND.format(n=n, m=n + 1) for n in range(10)) + """
+a10 AS (
+  SELECT row, arg_min(j, [d, j]) AS j, min(d) AS d FROM (
+    SELECT row, j, list_sum(list_transform(list_zip(p, c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT AS d FROM v, c10)
+  GROUP BY row)
+SELECT v.vec_id, a10.j::INTEGER AS cluster, a10.d::BIGINT AS distance, (sum(a10.d) OVER (PARTITION BY a10.j))::BIGINT AS cluster_inertia,
+       (sum(a10.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c10.c, ',')) AS centroid_sha256
+FROM a10 JOIN v USING (row) JOIN c10 ON a10.j = c10.j
+"""
+
+ORACLE = {"op2_mix_sources": OP2, "op5_jaccard_join": OP5, "op10_contamination": OP10, "op11_centroids": OP11}

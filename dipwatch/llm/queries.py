@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dipwatch.llm import decontamination, extraction, fingerprints, jaccard, language, lm, mixing, sharding, toxicity, urls
+from dipwatch.llm import (
+    centroids, decontamination, extraction, fingerprints, jaccard, language, lm, mixing, periodic, sharding, token_files, toxicity, urls,
+)
 from dipwatch.llm.frames import table
 from dipwatch.llm.oracle import ORACLE  # noqa: F401
 from dipwatch.session import prepare
@@ -30,4 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scores": _over("documents")(lm.op8_lm_scores),
     "op9_language": _over("documents")(language.op9_language),
     "op10_contamination": _over("documents", "benchmark")(decontamination.op10_contamination),
+    "op11_centroids": _over("embeddings")(centroids.op11_centroids),
+    "op12_periodic_runs": _over("documents")(periodic.op12_periodic_runs),
+    "op13_token_planes": _over("documents")(token_files.op13_token_planes),
 }
