@@ -178,14 +178,14 @@ def _round(batches: Iterator[pa.RecordBatch], move: Move, first: bool, dimension
 
 def _totals(state: DataFrame, k: int, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
     """(k x dimensions + 2 numbers summed over tasks, greatest upper bound of each cluster)."""
-    sums = state.filter("cluster < 0").select("cluster", F.posexplode("moved").alias("at", "x")).groupBy("cluster", "at").agg(
-        F.sum("x").alias("x"), F.lit(0.0).alias("u"))
+    summed = F.array(*[F.sum(F.col("moved")[i]) for i in range(dimensions + 2)])
+    sums = state.filter("cluster < 0").groupBy("cluster").agg(summed.alias("x"), F.lit(0.0).alias("u"))
     radii = state.filter("cluster >= 0").groupBy("cluster").agg(F.max("upper").alias("u")).select(
-        "cluster", F.lit(-1).alias("at"), F.lit(0).cast("long").alias("x"), "u")
+        "cluster", F.lit(None).cast("array<long>").alias("x"), "u")
     total, radius = np.zeros((k, dimensions + 2), np.int64), np.zeros(k)
     for r in sums.unionAll(radii).collect():
         if r["cluster"] < 0:
-            total[-1 - r["cluster"], r["at"]] = r["x"]
+            total[-1 - r["cluster"]] = r["x"]
         else:
             radius[r["cluster"]] = r["u"]
     return total, radius
