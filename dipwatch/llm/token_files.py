@@ -15,19 +15,22 @@ file of its own. Only files named in the manifest, a table of one row a file, be
 behind is never read. Reading: one task a file, block by block. A file's first position comes from a running sum over the manifest.
 
 Words cut at ASCII white space are encoded one by one and remembered: the tokenizer drops white space, and none of its steps looks
-across it, so the ids of a text are those of its words in turn (held against whole texts in the tests). The memory of a task forgets
+across it, so the ids of a text are those of its words in turn (held against whole texts in the tests). The memory of a worker forgets
 all when it is full, which costs work only.
 
-Defined results: null and empty texts have the end id only; null ids come first, rows of one id follow in the order of a hash of their
-ids; repeated rows are all kept; very long texts span blocks; an empty table makes no documents; extra columns are ignored.
+Defined results: null and empty texts have the end id only; null ids come first, rows of one id follow in the order of a hash of
+them; repeated rows are all kept; very long texts span blocks; an empty table makes no documents; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import os
+import re
+import string
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -47,8 +50,11 @@ LEVEL = 3
 #: Fixed values of op13's contract.
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 20
+_ENDED = re.compile(rb"(.*[A-Za-z])([!-&(-/:-@\[-`{-~]+)", re.S)
+_LETTERS = re.compile(b"[a-z]+")
 _TAIL = struct.Struct("<QQIBB4s")
+_LEAST = -(1 << 63)
 
 
 def split_planes(ids: np.ndarray, planes: int, bits: int) -> list[bytes]:
@@ -185,36 +191,130 @@ def opened(path: str, write: bool = False):
     return where.open_output_stream(name), 0
 
 
-def _tokenizer(vocabulary: str) -> Callable[[list[str]], list[list[int]]]:
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    known = Tokenizer.from_file(vocabulary)
-    return lambda texts: [e.ids for e in known.encode_batch_fast(texts, add_special_tokens=False)]
-
-
-def _encoded(vocabulary: str, end: int | None, remembered: int = REMEMBERED):
-    """make() for ``scan``: doc_id and its ids as 32-bit little-endian bytes."""
-    tail = b"" if end is None else struct.pack("<I", end)
-
+class WordEncoder:
+    """Ids of words as little-endian bytes, remembered until ``remembered`` words are held.
+
+    A new word is brought to lower case in A-Z where the tokenizer does so itself, and ASCII marks at its end, after an ASCII letter, are a
+    part of their own, as the tokenizer cuts there: fewer different parts are left. Parts of a-z alone that the tokenizer neither
+    changes nor cuts go to its model at once. The others go through all of it, many as one text with a mark between them whose id divides
+    the result. Which of these hold is asked of the tokenizer at the start; words with a special token in them are encoded as they are.
+    """
+
+    def __init__(self, vocabulary: str, remembered: int = REMEMBERED):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.remembered = Tokenizer.from_file(vocabulary), remembered
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, added)) if added else b"(?!)")
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.known: dict[bytes, bytes] = {}
+        letters = string.ascii_lowercase
+        pairs = [x + y for x in letters for y in letters] + [letters]
+        cut, normal = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+        seen = (lambda w: normal.normalize_str(w)) if normal else (lambda w: w)
+        self.direct = cut is not None and all(seen(w) == w and [p for p, _ in cut.pre_tokenize_str(w)] == [w] for w in pairs)
+        self.lowers = all(seen(x.upper()) == x for x in letters)
+        self.parted = cut is not None and all(
+            [p for p, _ in cut.pre_tokenize_str(seen(f"q{m}"))] == ["q", seen(m)] for m in string.punctuation if m != "'")
+        self.mark = next((m for m in "~^|@" if len(self._ids([m])[0]) == 1), None) if cut is not None else None
+        self.mark_id = self._ids([self.mark])[0][0] if self.mark else None
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _bytes(self, ids) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _whole(self, words: list[bytes]) -> Iterator[bytes]:
+        return map(self._bytes, self._ids([w.decode("utf-8", "replace") for w in words]))
+
+    def _together(self, words: list[bytes]) -> Iterator[bytes]:
+        """Ids of words without the mark."""
+        text = f" {self.mark} ".join([w.decode("utf-8", "replace") for w in words])
+        ids = np.array(self._ids([text])[0], self.kind)
+        ends = np.flatnonzero(ids == self.mark_id)
+        if len(ends) != len(words) - 1:
+            return self._whole(words)
+        return (part.tobytes() if i == 0 else part[1:].tobytes() for i, part in enumerate(np.split(ids, ends)))
+
+    def learn(self, words: list[bytes]) -> None:
+        parts: dict[bytes, tuple[bytes, bytes]] = {}
+        whole, plain, rest = set(), set(), set()
+        for w in words:
+            if self.special.search(w):
+                whole.add(w)
+                continue
+            head, tail = w.lower() if self.lowers else w, b""
+            if self.parted and (m := _ENDED.fullmatch(head)):
+                head, tail = m.groups()
+            parts[w] = head, tail
+            for x in (head, tail):
+                if x not in self.known:
+                    (plain if self.direct and _LETTERS.fullmatch(x) else rest).add(x)
+        for x in plain:
+            self.known[x] = self._bytes([t.id for t in self.tokenizer.model.tokenize(x.decode())])
+        if self.mark is None:
+            whole |= rest
+        else:
+            mark = self.mark.encode()
+            whole |= {x for x in rest if mark in x}
+            rest = [x for x in rest if mark not in x]
+            for i in range(0, len(rest), 2048):
+                self.known.update(zip(rest[i:i + 2048], self._together(rest[i:i + 2048])))
+        whole = list(whole)
+        for i in range(0, len(whole), 2048):
+            self.known.update(zip(whole[i:i + 2048], self._whole(whole[i:i + 2048])))
+        for w, (head, tail) in parts.items():
+            self.known[w] = self.known[head] + self.known[tail]
+
+    def texts(self, texts: list[bytes | None]) -> list[bytes]:
+        lines = [(t or b"").split() for t in texts]
+        if len(self.known) > self.remembered:
+            self.known.clear()
+        new: set[bytes] = set()
+        found = []
+        for line in lines:
+            ids = list(map(self.known.get, line))
+            found.append(ids)
+            if None in ids:
+                new.update([w for w, x in zip(line, ids) if x is None])
+        if new:
+            self.learn(list(new))
+            found = [list(map(self.known.get, line)) if None in ids else ids for line, ids in zip(lines, found)]
+        return [b"".join(ids) for ids in found]
+
+
+#: A word encoder a worker process and vocabulary: what one task learnt serves the next.
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
+
+
+def _encoder(vocabulary: str, remembered: int) -> WordEncoder:
+    if (vocabulary, remembered) not in _ENCODERS:
+        _ENCODERS[vocabulary, remembered] = WordEncoder(vocabulary, remembered)
+    return _ENCODERS[vocabulary, remembered]
+
+
+def _part(doc_ids: list[int | None], ties: list[int], bounds: np.ndarray) -> np.ndarray:
+    """Ranges of ascending doc_id; an id that is a bound, perhaps of several ranges, is dealt to those beside it by tie."""
+    keys = np.array([_LEAST if d is None else d for d in doc_ids], np.int64)
+    low, high = np.searchsorted(bounds, keys, "left"), np.searchsorted(bounds, keys, "right")
+    share = np.array(ties, np.int64) / 2.0 ** 64 + 0.5
+    return (low + np.minimum(high - low, (share * (high - low + 1)).astype(np.int64))).astype(np.int32)
+
+
+def _encoded(vocabulary: str, end: int | None, bounds: np.ndarray, remembered: int = REMEMBERED):
+    """make() for ``scan``: rows of ``encoded``."""
     def make():
-        encode, known = _tokenizer(vocabulary), {}
+        encoder = _encoder(vocabulary, remembered)
+        tail = b"" if end is None else encoder._bytes([end])
+        width = np.dtype(encoder.kind).itemsize
 
         def step(rows: dict) -> pa.RecordBatch:
-            words = [(t or b"").split() for t in rows["text"]]
-            new = list({w for line in words for w in line if w not in known})
-            if len(known) + len(new) > remembered:
-                known.clear()
-                new = list({w for line in words for w in line})
-            for i in range(0, len(new), 4096):
-                part = new[i:i + 4096]
-                for w, ids in zip(part, encode([w.decode("utf-8", "replace") for w in part])):
-                    known[w] = struct.pack(f"<{len(ids)}I", *ids)
-            out = [b"".join([known[w] for w in line]) + tail for line in words]
+            out = [ids + tail for ids in encoder.texts(rows["text"])]
             return pa.RecordBatch.from_arrays(
-                [pa.array(rows["doc_id"], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "ids"])
+                [pa.array(rows["doc_id"], pa.int64()), pa.array(_part(rows["doc_id"], rows["tie"], bounds)), pa.array(rows["tie"], pa.int64()),
+                 pa.array([width] * len(out), pa.int8()), pa.array(out, pa.binary())], ["doc_id", "part", "tie", "width", "ids"])
 
         return step
 
@@ -222,9 +322,18 @@ def _encoded(vocabulary: str, end: int | None, remembered: int = REMEMBERED):
 
 
 def encoded(docs: DataFrame, vocabulary: str, end: int | None = END_ID) -> DataFrame:
-    """doc_id, ids (binary, 32-bit little-endian) of every row; ``vocabulary`` is a tokenizer file that every worker reaches."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return scan(rows, ["doc_id", "text"], _encoded(vocabulary, end), "doc_id long, ids binary")
+    """doc_id, ids (binary, little-endian, of ``width`` bytes each), the range of doc_ids that a row is in (part) and its order among
+    rows of one id (tie). ``vocabulary`` is a tokenizer file that every worker reaches.
+
+    Ranges have about as many rows each; only their bounds, a number each, pass through the driver.
+    """
+    count = partitions(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text", F.monotonically_increasing_id()).alias("tie"), "text")
+    keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("key"))
+    found = keys.approxQuantile("key", [i / count for i in range(1, count)], 0.2 / count) if count > 1 else []
+    bounds = np.array([max(_LEAST, min(x, 2.0 ** 63 - 1024)) for x in found], np.float64).astype(np.int64)
+    return scan(rows, ["doc_id", "tie", "text"], _encoded(vocabulary, end, bounds),
+                "doc_id long, part int, tie long, width tinyint, ids binary")
 
 
 def _write(batches: Iterator[pa.RecordBatch], path: str, planes: int, bits: int, block: int) -> Iterator[pa.RecordBatch]:
@@ -235,7 +344,8 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, planes: int, bits: int,
                 part, name = batch.column("part")[i].as_py(), f"{path}/{uuid.uuid4().hex}.planes"
                 sink, _ = opened(name, write=True)
                 writer = PlaneWriter(sink, planes, bits, block)
-            writer.add(batch.column("doc_id")[i].as_py(), np.frombuffer(batch.column("ids")[i].as_py(), "<u4"))
+            kind = f"<u{batch.column('width')[i].as_py()}"
+            writer.add(batch.column("doc_id")[i].as_py(), np.frombuffer(batch.column("ids")[i].as_py(), kind))
     if writer is not None:
         size = writer.close()
         sink.close()
@@ -245,14 +355,12 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, planes: int, bits: int,
 
 
 def write_planes(ids: DataFrame, path: str, planes: int = 16, bits: int = 1, block: int = BLOCK) -> DataFrame:
-    """Write (doc_id, ids) rows to files under ``path`` in ascending doc_id order and return the manifest:
+    """Write the rows of ``encoded`` to files under ``path`` in ascending doc_id order and return the manifest:
     part, file, docs, ids, bytes and ``base``, the number of ids in the files before."""
-    held = stage(ids.select("doc_id", "ids", F.xxhash64("ids").alias("tie"), F.monotonically_increasing_id().alias("row")), "ids")
-    order = [F.asc_nulls_first("doc_id"), "tie", "row"]
-    ranged = held.repartitionByRange(partitions(ids.sparkSession), *order).sortWithinPartitions(*order)
-    named = ranged.select(F.spark_partition_id().alias("part"), "doc_id", "ids")
-    files = stage(named.mapInArrow(partial(_write, path=path, planes=planes, bits=bits, block=block),
-                                   "part int, file string, docs long, ids long, bytes long"), "manifest")
+    ranged = ids.repartitionById(partitions(ids.sparkSession), "part").sortWithinPartitions(
+        "part", F.asc_nulls_first("doc_id"), "tie")
+    files = stage(ranged.mapInArrow(partial(_write, path=path, planes=planes, bits=bits, block=block),
+                                    "part int, file string, docs long, ids long, bytes long"), "manifest")
     # One row a file, so the running sum is short.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))

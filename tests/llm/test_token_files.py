@@ -71,12 +71,15 @@ def test_ids_beyond_the_planes_are_refused():
 def test_words_in_turn_are_the_whole_text(tokenizer):
     draw = random.Random(5)
     parts = ["It's", "we'LL", "ÅNGSTRÖM", "été", "́x", "Σας", "İx", "12ab3", "<|endoftext|>", "a<|startoftext|>b", " ", " x",
-             "\x1cy", "\x85", "日本語", "🙂👍", "...", "\u0000", "don't've", "ﬁ", "ẛ̣", "'s"]
+             "\x1cy", "\x85", "日本語", "🙂👍", "...", "Word.", "WORD!?", "a~b", "~", "x'~", "K\u0301.", "e.\u0301", "q'.", "don't.", "\u0000", "don't've", "ﬁ", "ẛ̣", "'s"]
     texts = ["".join(draw.choice(parts) + draw.choice([" ", "\n", "\t", "", "\r\n", "  "]) for _ in range(40)) for _ in range(200)]
-    step = T._encoded(T.default_vocabulary(), None, remembered=50)()
-    got = step({"doc_id": list(range(len(texts))), "text": [t.encode() for t in texts]}).column("ids").to_pylist()
+    step = T._encoded(T.default_vocabulary(), None, np.zeros(0, np.int64), remembered=50)()
+    got = []
+    for i in range(0, len(texts), 20):
+        part = [t.encode() for t in texts[i:i + 20]]
+        got += step({"doc_id": list(range(len(part))), "tie": [0] * len(part), "text": part}).column("ids").to_pylist()
     for text, ids in zip(texts, got):
-        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_whole_table_against_brute_force(spark, tokenizer):
@@ -101,13 +104,25 @@ def test_edges(spark, tokenizer, tmp_path):
 
 
 def test_only_files_of_the_manifest_count(spark, tmp_path):
-    ids = spark.createDataFrame([(1, bytearray(b"\x05\0\0\0"))], "doc_id long, ids binary")
+    ids = spark.createDataFrame([(1, 0, 0, 4, bytearray(b"\x05\0\0\0"))], "doc_id long, part int, tie long, width tinyint, ids binary")
     first = T.write_planes(ids, str(tmp_path / "x"))
     T.write_planes(ids, str(tmp_path / "x"))
     assert len(list((tmp_path / "x").iterdir())) == 2
     assert [(r["doc_id"], r["start"], bytes(r["ids"])) for r in T.read_planes(first).collect()] == [(1, 0, b"\x05\0\0\0")]
 
 
+def test_parts_ascend_and_divide_a_hot_id():
+    draw = np.random.default_rng(1)
+    bounds = np.array([5, 9, 9, 9, 30])
+    ids = [None, -4, 5, 6, 8, 10, 30, 31] + [9] * 4000
+    ties = draw.integers(-(1 << 63), (1 << 63) - 1, len(ids)).tolist()
+    parts = T._part(ids, ties, bounds)
+    assert parts[[0, 1]].tolist() == [0, 0] and parts[2] in (0, 1) and parts[[3, 4, 5]].tolist() == [1, 1, 4] and parts[7] == 5
+    assert (np.bincount(parts[8:])[1:5] > 800).all() and len(np.bincount(parts[8:])) == 5
+    rows = sorted(zip(ids, ties, parts.tolist()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [r[2] for r in rows] == sorted(r[2] for r in rows)
+
+
 def test_empty_table(spark):
     got = T.op13_token_planes(data.no_docs(spark))
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() == 0
