@@ -28,8 +28,10 @@ import os
 import re
 import string
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -208,6 +210,7 @@ class WordEncoder:
         added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile(b"|".join(map(re.escape, added)) if added else b"(?!)")
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
         self.known: dict[bytes, bytes] = {}
         letters = string.ascii_lowercase
         pairs = [x + y for x in letters for y in letters] + [letters]
@@ -224,7 +227,10 @@ class WordEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _bytes(self, ids) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        made = array(self.code, ids)
+        if sys.byteorder == "big":
+            made.byteswap()
+        return made.tobytes()
 
     def _whole(self, words: list[bytes]) -> Iterator[bytes]:
         return map(self._bytes, self._ids([w.decode("utf-8", "replace") for w in words]))
@@ -236,37 +242,41 @@ class WordEncoder:
         ends = np.flatnonzero(ids == self.mark_id)
         if len(ends) != len(words) - 1:
             return self._whole(words)
-        return (part.tobytes() if i == 0 else part[1:].tobytes() for i, part in enumerate(np.split(ids, ends)))
+        data, size = ids.tobytes(), ids.itemsize
+        ends = (ends * size).tolist()
+        return (data[a:b] for a, b in zip([0] + [e + size for e in ends], ends + [len(data)]))
 
     def learn(self, words: list[bytes]) -> None:
-        parts: dict[bytes, tuple[bytes, bytes]] = {}
-        whole, plain, rest = set(), set(), set()
+        known, ended, special = self.known, _ENDED.fullmatch if self.parted else lambda w: None, self.special.search
+        made, heads, tails, whole = [], [], [], []
         for w in words:
-            if self.special.search(w):
-                whole.add(w)
+            if special(w):
+                whole.append(w)
                 continue
-            head, tail = w.lower() if self.lowers else w, b""
-            if self.parted and (m := _ENDED.fullmatch(head)):
-                head, tail = m.groups()
-            parts[w] = head, tail
-            for x in (head, tail):
-                if x not in self.known:
-                    (plain if self.direct and _LETTERS.fullmatch(x) else rest).add(x)
-        for x in plain:
-            self.known[x] = self._bytes([t.id for t in self.tokenizer.model.tokenize(x.decode())])
+            head = w.lower() if self.lowers else w
+            m = ended(head)
+            made.append(w)
+            heads.append(m[1] if m else head)
+            tails.append(m[2] if m else b"")
+        new = set(heads).union(tails).difference(known)
+        if self.direct:
+            plain = [x for x in new if x.isalpha() and _LETTERS.fullmatch(x)]
+            new.difference_update(plain)
+            model, pack = self.tokenizer.model.tokenize, self._bytes
+            for x in plain:
+                known[x] = pack([t.id for t in model(x.decode())])
         if self.mark is None:
-            whole |= rest
+            whole += new
         else:
             mark = self.mark.encode()
-            whole |= {x for x in rest if mark in x}
-            rest = [x for x in rest if mark not in x]
+            whole += [x for x in new if mark in x]
+            rest = [x for x in new if mark not in x]
             for i in range(0, len(rest), 2048):
-                self.known.update(zip(rest[i:i + 2048], self._together(rest[i:i + 2048])))
-        whole = list(whole)
+                known.update(zip(rest[i:i + 2048], self._together(rest[i:i + 2048])))
         for i in range(0, len(whole), 2048):
-            self.known.update(zip(whole[i:i + 2048], self._whole(whole[i:i + 2048])))
-        for w, (head, tail) in parts.items():
-            self.known[w] = self.known[head] + self.known[tail]
+            known.update(zip(whole[i:i + 2048], self._whole(whole[i:i + 2048])))
+        for w, head, tail in zip(made, heads, tails):
+            known[w] = known[head] + known[tail] if tail else known[head]
 
     def texts(self, texts: list[bytes | None]) -> list[bytes]:
         lines = [(t or b"").split() for t in texts]
@@ -339,13 +349,12 @@ def encoded(docs: DataFrame, vocabulary: str, end: int | None = END_ID) -> DataF
 def _write(batches: Iterator[pa.RecordBatch], path: str, planes: int, bits: int, block: int) -> Iterator[pa.RecordBatch]:
     writer, part, name = None, 0, ""
     for batch in batches:
-        for i in range(batch.num_rows):
-            if writer is None:
-                part, name = batch.column("part")[i].as_py(), f"{path}/{uuid.uuid4().hex}.planes"
-                sink, _ = opened(name, write=True)
-                writer = PlaneWriter(sink, planes, bits, block)
-            kind = f"<u{batch.column('width')[i].as_py()}"
-            writer.add(batch.column("doc_id")[i].as_py(), np.frombuffer(batch.column("ids")[i].as_py(), kind))
+        if writer is None and batch.num_rows:
+            part, name = batch.column("part")[0].as_py(), f"{path}/{uuid.uuid4().hex}.planes"
+            sink, _ = opened(name, write=True)
+            writer = PlaneWriter(sink, planes, bits, block)
+        for doc_id, width, ids in zip(batch.column("doc_id").to_pylist(), batch.column("width").to_pylist(), batch.column("ids")):
+            writer.add(doc_id, np.frombuffer(ids.as_buffer(), f"<u{width}"))
     if writer is not None:
         size = writer.close()
         sink.close()
