@@ -14,13 +14,13 @@ from tests.llm.data import SCHEMA, SF, clashing, edge_docs, no_docs, rows_of
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def _set(text):
+def _set(text, words=3):
     w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-    return {tuple(w[i:i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+    return {tuple(w[i:i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
 
 
-def _brute(rows):
-    sets = [_set(t) for _, t in rows]
+def _brute(rows, words=3, percent=90):
+    sets = [_set(t, words) for _, t in rows]
     up = list(range(len(rows)))
 
     def root(i):
@@ -32,7 +32,7 @@ def _brute(rows):
         for j in range(i):
             if sets[i] and sets[j]:
                 common = len(sets[i] & sets[j])
-                if 100 * common >= 90 * (len(sets[i]) + len(sets[j]) - common):
+                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
                     up[root(i)] = root(j)
     least = {}
     for i, (doc, _) in enumerate(rows):
