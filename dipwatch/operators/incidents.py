@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,13 +12,17 @@ from pyspark.sql import Window
 
 from dipwatch.constants import FREE_DIMS, RECALL_LIMIT, RESOLVE_AFTER_QUIET_MIN, ROOT_DIMS
 from dipwatch.functions.cells import cell_key, compatible, specificity
-from dipwatch.functions.minutes import bucket_of
+from dipwatch.functions.minutes import block_of, bucket_of
+from dipwatch.session import stage
 
 LOG_SCHEMA = (
     "merchant_id string, country string, minute long, seq long, incident_id string, action string,"
     " request_id string, provider_id string, payment_method string, issuer_id string"
 )
+SESSION_LOG = LOG_SCHEMA + ", session long"
 RESTORE, TICK = -1, 1
+#: Session of what an earlier run left.
+EARLIER = -1
 
 
 def live_incidents(log: DataFrame) -> DataFrame:
@@ -32,8 +37,28 @@ def live_incidents(log: DataFrame) -> DataFrame:
     )
 
 
+def evidence_sessions(evidence: DataFrame) -> DataFrame:
+    """Every minute of a root with evidence, and its session: the first minute of the stretch without a quiet spell it is in.
+
+    A spell is quiet if all incidents last seen before it are due within it, so that evidence after it meets none of them, but for
+    those that became inconclusive. Whether a minute begins a session shows in the minutes just before it (an equi-join); the
+    running maximum of beginnings is taken within days first and then over one row a day, so no task holds a root's whole history.
+    """
+    minutes = evidence.select(*ROOT_DIMS, "minute").distinct()
+    after = minutes.select(*ROOT_DIMS, F.explode(F.sequence(F.col("minute") + 1, F.col("minute") + RESOLVE_AFTER_QUIET_MIN)).alias("minute"))
+    joined = minutes.join(after.distinct().withColumn("_near", F.lit(True)), [*ROOT_DIMS, "minute"], "left")
+    begun = joined.select(
+        *ROOT_DIMS, "minute", F.when(F.col("_near").isNull(), F.col("minute")).alias("_start"), block_of(F.col("minute")).alias("_day"))
+    inside = Window.partitionBy(*ROOT_DIMS, "_day").orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)
+    begun = begun.withColumn("_own", F.max("_start").over(inside))
+    days = begun.groupBy(*ROOT_DIMS, "_day").agg(F.max("_start").alias("_last"))
+    earlier = Window.partitionBy(*ROOT_DIMS).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_carried", F.max("_last").over(earlier)).drop("_last")
+    return begun.join(days, [*ROOT_DIMS, "_day"]).select(*ROOT_DIMS, "minute", F.coalesce("_own", "_carried").alias("session"))
+
+
 def fold_events(evidence: DataFrame, gaps: DataFrame, first, last, live: DataFrame | None = None) -> DataFrame:
-    """Everything the fold reads, in one table.
+    """Everything the fold reads, in one table, with the session of each row.
 
     The clock runs over every minute of ``[first, last]``, with traffic or
     without. An incident last seen at minute m can only change by itself at
@@ -43,30 +68,33 @@ def fold_events(evidence: DataFrame, gaps: DataFrame, first, last, live: DataFra
     incidents of an earlier run; their rows come first.
     """
     order = Window.partitionBy("bucket", *ROOT_DIMS).orderBy(F.desc("priority_score"), "cell_key")
+    sessions = evidence_sessions(evidence)
     shown = evidence.select(
         *ROOT_DIMS, "minute", F.lit(0).alias("kind"), F.row_number().over(order).cast("long").alias("ord"), "request_id",
         *FREE_DIMS,
         F.sha2(F.concat_ws("|", "merchant_id", "country", F.col("minute").cast("string"), "cell_key"), 256).alias("new_id"),
         F.array().cast("array<string>").alias("gap_cells"),
-    )
-    watched = evidence.select(*ROOT_DIMS, "minute")
+    ).join(sessions, [*ROOT_DIMS, "minute"])
+    watched = sessions
     if live is not None:
-        watched = watched.unionByName(live.select(*ROOT_DIMS, "minute"))
+        watched = watched.unionByName(live.select(*ROOT_DIMS, "minute", F.lit(EARLIER).cast("bigint").alias("session")))
     tick = F.greatest(F.col("minute") + RESOLVE_AFTER_QUIET_MIN, F.lit(first)).cast("bigint")
-    due = watched.select(*ROOT_DIMS, tick.alias("minute")).where(F.col("minute") <= F.lit(last)).distinct()
+    due = watched.select(*ROOT_DIMS, "session", tick.alias("minute")).where(F.col("minute") <= F.lit(last)).groupBy(*ROOT_DIMS, "minute").agg(
+        F.max("session").alias("session"))
     thin = gaps.groupBy(*ROOT_DIMS, "minute").agg(F.collect_set("cell_key").alias("gap_cells"))
     ticks = due.join(thin, [*ROOT_DIMS, "minute"], "left").select(
         *ROOT_DIMS, "minute", F.lit(TICK).alias("kind"), F.lit(0).cast("long").alias("ord"),
         F.lit(None).cast("string").alias("request_id"), *[F.lit(None).cast("string").alias(d) for d in FREE_DIMS],
         F.lit(None).cast("string").alias("new_id"),
-        F.coalesce("gap_cells", F.array().cast("array<string>")).alias("gap_cells"),
+        F.coalesce("gap_cells", F.array().cast("array<string>")).alias("gap_cells"), "session",
     )
-    events = shown.unionByName(ticks)
+    events = shown.select(*ticks.columns).unionByName(ticks)
     if live is None:
         return events
     return events.unionByName(live.select(
         *ROOT_DIMS, "minute", F.lit(RESTORE).alias("kind"), F.lit(0).cast("long").alias("ord"), F.col("status").alias("request_id"),
         *FREE_DIMS, F.col("incident_id").alias("new_id"), F.array().cast("array<string>").alias("gap_cells"),
+        F.lit(EARLIER).cast("bigint").alias("session"),
     ))
 
 
@@ -86,63 +114,127 @@ def _fixed(cell) -> int:
     return sum(v is not None for v in cell)
 
 
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk the ordered events of each root, holding only its unresolved incidents."""
-    root, live, seq = None, [], 0
-    names = [part.split()[0] for part in LOG_SCHEMA.split(",")]
-    for batch in batches:
-        log = []
-        for e in batch.astype(object).where(batch.notna(), None).itertuples(index=False):
-            if (e.merchant_id, e.country) != root:
-                root, live, seq = (e.merchant_id, e.country), [], 0
-            minute = int(e.minute)
+class Walk:
+    """The rules of one root: its unresolved incidents and, in ``log``, what happened to them. Events come in order."""
+
+    def __init__(self, root, live: list[dict] | None = None, seq: int = 0):
+        self.root, self.live, self.seq, self.log = root, live or [], seq, []
+
+    def note(self, incident: dict, minute: int, action: str, request_id: str | None = None) -> None:
+        self.seq += 1
+        self.log.append((*self.root, minute, self.seq, incident["id"], action, request_id, *incident["cell"]))
+
+    def evidence(self, minute: int, cell: tuple, request_id: str, new_id: str) -> None:
+        fits = [i for i in self.live if _agree(i["cell"], cell)]
+        best = max(fits, key=lambda i: (_fixed(i["cell"]), i["seen"]), default=None)
+        if best is None:
+            best = {"id": new_id, "cell": cell, "seen": minute, "status": "open"}
+            self.live.append(best)
+            self.note(best, minute, "opened", request_id)
+            return
+        best["seen"], best["status"] = minute, "monitoring"
+        if _fixed(best["cell"]) > _fixed(cell):
+            self.note(best, minute, "refreshed", request_id)
+        else:
+            best["cell"] = cell
+            self.note(best, minute, "updated", request_id)
+
+    def tick(self, minute: int, thin: set[str]) -> None:
+        for incident in list(self.live):
+            if incident["status"] == "inconclusive" or minute - incident["seen"] < RESOLVE_AFTER_QUIET_MIN:
+                continue
+            if _key(self.root, incident["cell"]) in thin:
+                incident["status"] = "inconclusive"
+                self.note(incident, minute, "inconclusive")
+            else:
+                self.live.remove(incident)
+                self.note(incident, minute, "resolved")
 
-            def note(incident, action, request_id=None):
-                nonlocal seq
-                seq += 1
-                log.append((*root, minute, seq, incident["id"], action, request_id, *incident["cell"]))
 
-            if e.kind == TICK:
-                thin = set(e.gap_cells)
-                for incident in list(live):
-                    if incident["status"] == "inconclusive" or minute - incident["seen"] < RESOLVE_AFTER_QUIET_MIN:
-                        continue
-                    if _key(root, incident["cell"]) in thin:
-                        incident["status"] = "inconclusive"
-                        note(incident, "inconclusive")
-                    else:
-                        live.remove(incident)
-                        note(incident, "resolved")
+def _fold(batches: Iterator[pd.DataFrame], chained: bool) -> Iterator[pd.DataFrame]:
+    """Walk ordered events, holding only unresolved incidents.
+
+    Each session is on its own, or (``chained``) the sessions of a root follow each other; then those that meet no incident of
+    an earlier one are passed over, unless they are marked as leaving some themselves.
+    """
+    names = [part.split()[0] for part in SESSION_LOG.split(",")]
+    walk, session, over = Walk(None), None, False
+    for batch in batches:
+        out = []
+        for e in batch.astype(object).where(batch.notna(), None).itertuples(index=False):
+            root, minute = (e.merchant_id, e.country), int(e.minute)
+            if root != walk.root or not chained and e.session != session:
+                walk, session, over = Walk(root), None, False
+            if session is None or e.session > session:
+                session = e.session
+                over = chained and not walk.live and not e.marked
+            if over:
                 continue
             cell = (e.provider_id, e.payment_method, e.issuer_id)
-            if e.kind == RESTORE:
-                live.append({"id": e.new_id, "cell": cell, "seen": minute, "status": e.request_id})
-                continue
-            fits = [i for i in live if _agree(i["cell"], cell)]
-            best = max(fits, key=lambda i: (_fixed(i["cell"]), i["seen"]), default=None)
-            if best is None:
-                best = {"id": e.new_id, "cell": cell, "seen": minute, "status": "open"}
-                live.append(best)
-                note(best, "opened", e.request_id)
-                continue
-            best["seen"], best["status"] = minute, "monitoring"
-            if _fixed(best["cell"]) > _fixed(cell):
-                note(best, "refreshed", e.request_id)
+            if e.kind == TICK:
+                walk.tick(minute, set(e.gap_cells))
+            elif e.kind == RESTORE:
+                walk.live.append({"id": e.new_id, "cell": cell, "seen": minute, "status": e.request_id})
             else:
-                best["cell"] = cell
-                note(best, "updated", e.request_id)
-        yield pd.DataFrame(log, columns=names)
+                walk.evidence(minute, cell, e.request_id, e.new_id)
+            out += [(*row, session) for row in walk.log]
+            walk.log.clear()
+        yield pd.DataFrame(out, columns=names)
+
+
+def _plain_sessions(events: DataFrame) -> DataFrame:
+    """Sessions with evidence of one cell only need no walk: the first row opens, the others update, and the last tick ends it."""
+    by = [*ROOT_DIMS, "session"]
+    order = Window.partitionBy(*by).orderBy("minute", "kind", "ord")
+    ends = Window.partitionBy(*by).orderBy("minute", "kind", "ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cell = [F.first(d).over(ends).alias(d) for d in FREE_DIMS]
+    rows = events.select(
+        *by, "minute", "kind", "request_id", "gap_cells", F.row_number().over(order).cast("long").alias("seq"),
+        F.first("new_id").over(ends).alias("incident_id"), F.max(F.when(F.col("kind") == 0, F.col("minute"))).over(ends).alias("_seen"), *cell,
+    )
+    key = cell_key()
+    shown = F.col("kind") == 0
+    action = (
+        F.when(shown & (F.col("seq") == 1), "opened").when(shown, "updated")
+        .when(F.array_contains("gap_cells", key), "inconclusive").otherwise("resolved")
+    )
+    return rows.where(shown | (F.col("minute") >= F.col("_seen") + RESOLVE_AFTER_QUIET_MIN)).withColumn("action", action).select(
+        *[part.split()[0] for part in SESSION_LOG.split(",")])
+
+
+def _ordered(events: DataFrame, *by: str) -> DataFrame:
+    return events.repartition(*by).sortWithinPartitions(*by, "minute", "kind", "ord")
 
 
 def incident_log(evidence: DataFrame, gaps: DataFrame, first, last, live: DataFrame | None = None) -> DataFrame:
     """What happened to every incident in the minutes ``[first, last]``, one row per event.
 
-    The rules are sequential per root. A root's events stream through its task
-    in order; memory holds the unresolved incidents only, never the group.
+    The rules are sequential per root, but only from one quiet spell to the next. So a root's history is cut into sessions, each
+    on its own: those of a single cell by windows, the others by walking their events in order. An incident that became inconclusive
+    stays live over a quiet spell; of the roots with such a one, the sessions from there on are walked again in turn, and
+    those that meet a live incident replace what was found for them alone. Events stream through a task; memory holds unresolved
+    incidents only. With ``live``, the incidents of an earlier run (a micro-batch), the few minutes of each root are walked in turn.
     """
     events = fold_events(evidence, gaps, first, last, live)
-    ordered = events.repartition(*ROOT_DIMS).sortWithinPartitions(*ROOT_DIMS, "minute", "kind", "ord")
-    return ordered.mapInPandas(_fold, LOG_SCHEMA)
+    out = [part.split()[0] for part in LOG_SCHEMA.split(",")]
+    if live is not None:
+        marked = events.withColumn("marked", F.lit(True))
+        return _ordered(marked, *ROOT_DIMS).mapInPandas(partial(_fold, chained=True), SESSION_LOG).select(*out)
+    by = [*ROOT_DIMS, "session"]
+    events = stage(events, "events")
+    cells = F.struct(*[F.coalesce(d, F.lit("")) for d in FREE_DIMS])
+    plain = events.where("kind = 0").groupBy(*by).agg((F.min(cells) == F.max(cells)).alias("plain")).where("plain").select(*by)
+    walked = _ordered(events.join(plain, by, "left_anti").withColumn("marked", F.lit(True)), *by)
+    alone = stage(_plain_sessions(events.join(plain, by, "left_semi")).unionByName(
+        walked.mapInPandas(partial(_fold, chained=False), SESSION_LOG)), "alone")
+    ended = alone.groupBy(*by, "incident_id").agg(F.max_by("action", F.struct("minute", "seq")).alias("action"))
+    left = ended.where("action = 'inconclusive'").select(*by).distinct().withColumn("marked", F.lit(True))
+    since = left.groupBy(*ROOT_DIMS).agg(F.min("session").alias("since"))
+    later = events.join(since, list(ROOT_DIMS)).where(F.col("session") >= F.col("since")).drop("since")
+    later = later.join(left, by, "left").withColumn("marked", F.coalesce("marked", F.lit(False)))
+    again = stage(_ordered(later, *ROOT_DIMS).mapInPandas(partial(_fold, chained=True), SESSION_LOG), "again")
+    kept = alone.join(again.select(*by).distinct(), by, "left_anti")
+    return kept.unionByName(again).select(*out)
 
 
 MEASURED = ["fingerprint", "dominant_decline", "ci", "started_at", "started_at_exact", "expected_rate", "observed_rate",

@@ -4,7 +4,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from dipwatch.functions.cells import cell_key
-from dipwatch.operators.incidents import (active, closed, incident_log, latest_evidence, live_candidates, live_incidents, recall, stored_evidence,
+from dipwatch.operators.incidents import (active, closed, evidence_sessions, incident_log, latest_evidence, live_candidates, live_incidents, recall, stored_evidence,
                                           transitions, unresolved)
 from tests.grids import NOON, cell, frame, key
 
@@ -63,6 +63,8 @@ def by_hand(evidence, gaps, spine):
     """Brute force over every minute."""
     shown, thin, out, live = defaultdict(list), defaultdict(set), [], []
     for i, (m, p, c) in enumerate(evidence):
+        if c is None:
+            continue
         shown[m].append((-p, key(**c), c, f"{m}/{i}"))
     for m, c in gaps:
         thin[m].add(key(**c))
@@ -74,7 +76,8 @@ def by_hand(evidence, gaps, spine):
                 live.append({"c": c, "seen": now, "state": "open"})
                 out.append((now, "opened", key(**c)))
                 continue
-            x = sorted(fits, key=lambda x: (len(x["c"]), x["seen"]))[-1]
+            # Of equals, the one opened first.
+            x = max(fits, key=lambda x: (len(x["c"]), x["seen"]))
             x["seen"], x["state"] = now, "monitoring"
             if len(x["c"]) <= len(c):
                 x["c"] = c
@@ -103,6 +106,37 @@ def test_fold_equals_brute_force(spark):
     assert len({a for _, a, _ in by_hand(evidence, gaps, spine)}) == 5
 
 
+def test_sessions_end_at_quiet_spells_and_cross_midnight(spark):
+    day = NOON // 1440 * 1440 + 1440
+    minutes = [day - 9, day - 5, day - 2, day + 1, day + 5, day + 2000, day + 2003, day + 2007]
+    ev, *_ = tables(spark, [(m, 1, ITAU) for m in minutes], [], [NOON])
+    got = {r.minute - day: r.session - day for r in evidence_sessions(ev).collect()}
+    assert got == {-9: -9, -5: -5, -2: -5, 1: -5, 5: 5, 2000: 2000, 2003: 2000, 2007: 2007}
+
+
+def test_fold_of_many_sessions_and_roots_equals_brute_force(spark):
+    """Most sessions stand alone; inconclusive incidents reach over quiet spells of days, some for ever."""
+    rng = random.Random(11)
+    mx = dict(merchant_id="MX_STORE_01", country="MX")
+    pools = {"BR": [BR, ITAU, NUBANK, dict(BR, provider_id="stripe")], "MX": [mx, dict(mx, provider_id="stripe"), dict(mx, payment_method="CARD")]}
+    spine = range(NOON, NOON + 6000)
+    evidence, gaps = [], []
+    for country, pool in pools.items():
+        at = NOON
+        while at < NOON + 5900:
+            some = rng.sample(pool, rng.choice([1, 1, 2, 3]))
+            for m in range(at, at + rng.randrange(1, 9)):
+                evidence += [(m, rng.random(), c) for c in some if rng.random() < 0.7]
+            at += rng.choice([4, 5, 6, 12, 40, 700])
+        gaps += [(m, c) for m in spine for c in pool if rng.random() < (0.03 if country == "BR" else 0.4)]
+    log = log_of(spark, evidence, gaps, [min(spine), max(spine)]).withColumn("key", cell_key())
+    want = [r for country in pools for r in by_hand([e if e[2]["country"] == country else (e[0], e[1], None) for e in evidence],
+                                                    [g for g in gaps if g[1]["country"] == country], spine)]
+    assert sorted((r.minute, r.action, r.key) for r in log.collect()) == sorted(want)
+    first = log.groupBy("incident_id").agg(F.min("minute").alias("a"), F.max("minute").alias("b"), F.max(F.col("action") == "inconclusive").alias("c"))
+    assert first.where("c AND b > a + 30").count() > 3
+
+
 def test_agent_object_is_not_overwritten(spark):
     log = log_of(spark, [(NOON, 1, ITAU), (NOON + 1, 1, ITAU), (NOON + 2, 1, ITAU)])
     one = log.select("incident_id").first().incident_id
