@@ -312,6 +312,45 @@ def search_round(r: int) -> list[tuple[str, str]]:
 for _round in (1, 2, 3):
     CTES += search_round(_round)
 
+# The incident fold: a list of unresolved incidents per root, carried from event to event.
+_LIVE = "STRUCT(id VARCHAR, p VARCHAR, m VARCHAR, i VARCHAR, seen BIGINT, status VARCHAR)[]"
+_SAID = "STRUCT(act VARCHAR, id VARCHAR, p VARCHAR, m VARCHAR, i VARCHAR)[]"
+_FIXED = "(({0}p IS NOT NULL)::INT + ({0}m IS NOT NULL)::INT + ({0}i IS NOT NULL)::INT)"
+_AGREE = " AND ".join(f"(x.{d} IS NULL OR e.{d} IS NULL OR x.{d} = e.{d})" for d in "pmi")
+_DUE = "(x.status <> 'inconclusive' AND e.minute - x.seen >= 3)"
+_THIN = ("list_contains(e.thin, concat_ws('|', 'country=' || e.country, 'issuerId=' || x.i, 'merchantId=' || e.merchant_id,"
+         " 'paymentMethod=' || x.m, 'providerId=' || x.p))")
+CTES += [
+    ("shown",
+     "SELECT merchant_id, country, minute, 0 AS kind, row_number() OVER (PARTITION BY merchant_id, country, minute"
+     " ORDER BY attempts * e - approved DESC, cell_key) AS ord, provider_id AS p, payment_method AS m, issuer_id AS i, request_id,"
+     " sha256(concat_ws('|', merchant_id, country, minute::VARCHAR, cell_key)) AS id, CAST([] AS VARCHAR[]) AS thin FROM confirmed"),
+    ("thinned",
+     "SELECT merchant_id, country, epoch(bucket)::BIGINT // 60 AS minute, list(cell_key) AS thin FROM readings WHERE kind = 'gap' GROUP BY ALL"),
+    ("events_in_order",
+     "SELECT *, row_number() OVER (PARTITION BY merchant_id, country ORDER BY minute, kind, ord) AS rn FROM (SELECT * FROM shown UNION ALL"
+     " SELECT t.merchant_id, t.country, t.minute, 1, 0, NULL, NULL, NULL, NULL, NULL, coalesce(g.thin, CAST([] AS VARCHAR[])) FROM"
+     " (SELECT DISTINCT merchant_id, country, minute + 3 AS minute FROM shown WHERE minute + 3 <= (SELECT max(epoch(bucket)::BIGINT // 60)"
+     " FROM rollup)) t LEFT JOIN thinned g USING (merchant_id, country, minute))"),
+    ("folded",
+     f"SELECT DISTINCT merchant_id, country, 0::BIGINT AS rn, 0::BIGINT AS minute, NULL::VARCHAR AS request_id, CAST([] AS {_LIVE}) AS live,"
+     f" CAST([] AS {_SAID}) AS said FROM shown UNION ALL SELECT merchant_id, country, rn, minute, request_id, CAST(CASE"
+     " WHEN kind = 0 AND best IS NULL THEN list_append(live, {'id': id, 'p': p, 'm': m, 'i': i, 'seen': minute, 'status': 'open'})"
+     " WHEN kind = 0 THEN list_transform(live, lambda x, j: CASE WHEN j <> best THEN x ELSE {'id': x.id, 'p': CASE WHEN finer THEN x.p ELSE p END,"
+     " 'm': CASE WHEN finer THEN x.m ELSE m END, 'i': CASE WHEN finer THEN x.i ELSE i END, 'seen': minute, 'status': 'monitoring'} END)"
+     f" ELSE list_transform(list_filter(live, lambda x: NOT ({_DUE} AND NOT {_THIN})), lambda x: CASE WHEN NOT {_DUE} THEN x ELSE {{'id': x.id,"
+     f" 'p': x.p, 'm': x.m, 'i': x.i, 'seen': x.seen, 'status': 'inconclusive'}} END) END AS {_LIVE}), CAST(CASE"
+     " WHEN kind = 0 AND best IS NULL THEN [{'act': 'opened', 'id': id, 'p': p, 'm': m, 'i': i}]"
+     " WHEN kind = 0 AND finer THEN [{'act': 'refreshed', 'id': live[best].id, 'p': live[best].p, 'm': live[best].m, 'i': live[best].i}]"
+     " WHEN kind = 0 THEN [{'act': 'updated', 'id': live[best].id, 'p': p, 'm': m, 'i': i}]"
+     f" ELSE list_transform(list_filter(live, lambda x: {_DUE}), lambda x: {{'act': CASE WHEN {_THIN} THEN 'inconclusive' ELSE 'resolved' END,"
+     f" 'id': x.id, 'p': x.p, 'm': x.m, 'i': x.i}}) END AS {_SAID}) FROM (SELECT *, {_FIXED.format('live[best].')} > {_FIXED.format('')} AS finer"
+     " FROM (SELECT e.*, f.live, list_sort(list_filter(list_transform(f.live, lambda x, j: {'f': -" + _FIXED.format("x.") + ", 's': -x.seen, 'j': j,"
+     f" 'fits': {_AGREE}}}), lambda y: y.fits))[1].j AS best FROM folded f JOIN events_in_order e ON e.merchant_id = f.merchant_id"
+     " AND e.country = f.country AND e.rn = f.rn + 1) e) e"),
+]
+HEAVY |= {"events_in_order", "shown", "thinned"}
+
 NAMES = [n for n, _ in CTES]
 TEXT = dict(CTES)
 
@@ -754,3 +793,9 @@ ORACLE["q74_conversion_without_country"] = sql(
 ORACLE["q75_payload_ingest"] = sql(
     "SELECT CASE WHEN outcome = 'clean' THEN 'fact' ELSE outcome END AS outcome, CAST(sum(entries) * CASE WHEN outcome = 'clean' THEN 1 ELSE 2 END AS"
     f" BIGINT) AS entries FROM ({QUARANTINE}) GROUP BY outcome")
+INCIDENT_LOG = sql(
+    "SELECT merchant_id, country, minute, s.id AS incident_id, s.act AS action, CASE WHEN s.act IN ('opened', 'updated', 'refreshed')"
+    " THEN request_id END AS request_id, s.p AS provider_id, s.m AS payment_method, s.i AS issuer_id"
+    " FROM (SELECT merchant_id, country, minute, request_id, unnest(said) AS s FROM folded)"
+).replace("WITH ", "WITH RECURSIVE ", 1)
+ORACLE |= {"q76_stream_incidents": INCIDENT_LOG, "q77_incident_log": INCIDENT_LOG}

@@ -20,7 +20,7 @@ from dipwatch.plans import diagnose as G
 from dipwatch.session import prepare, stage, stage_path
 from dipwatch.sources import raw, tables
 from dipwatch.sources.payments import WRITE_ORDER, as_payments, payments, raw_payments, with_transaction_id
-from dipwatch.streaming import ingest, persistence
+from dipwatch.streaming import incident_stream, ingest, persistence
 
 PLACES = 8
 
@@ -936,3 +936,49 @@ def q75_payload_ingest(d):
     facts = d.spark.read.parquet(f"{base}/store/facts").select(F.lit("fact").alias("outcome"))
     aside = d.spark.read.parquet(f"{base}/store/quarantine").select(F.col("reject_reason").alias("outcome"))
     return facts.unionAll(aside).groupBy("outcome").agg(F.count(F.lit(1)).alias("entries"))
+
+
+# --- incidents of every confirmed drop -------------------------------------
+
+def _drops(d) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
+    """Every confirmed drop as evidence on its own cell, the gaps, and the minutes that the clock runs over."""
+    rollup = d.rollup()
+    readings = stage(d.readings(rollup), "readings")
+    confirmed = promoted(streaks(R.confident(readings)))
+    shown = confirmed.select(
+        "bucket", "minute", *DIMS, "cell_key", F.concat_ws("@", F.col("minute").cast("string"), "cell_key").alias("request_id"),
+        (F.col("attempts") * F.col("expected") - F.col("approved")).alias("priority_score"),
+    )
+    thin = R.gaps(readings)
+    first, last = rollup.agg(F.min("minute"), F.max("minute")).first()
+    return stage(shown, "drops"), stage(thin, "gaps"), (first, last)
+
+
+LOG_OUT = (*ROOT_DIMS, "minute", "incident_id", "action", "request_id", *FREE_DIMS)
+
+
+@query
+def q76_stream_incidents(d):
+    """Incidents as a stream: files of ten minutes, each second one after its successor, within a watermark of half an hour."""
+    shown, thin, (first, last) = _drops(d)
+    base, delay = stage_path(d.spark, "incidents"), 30
+    rows = incident_stream.stream_rows(shown, thin)
+    part = F.floor((F.unix_seconds("bucket") / 60 - first) / 10)
+    # The order of arrival is that of the folders: one write, one file a stretch of time.
+    rows.withColumn("arrival", (part + F.when(part % 2 == 0, 2).otherwise(0) * 1.0).cast("long")).repartition("arrival").write.partitionBy(
+        "arrival").parquet(f"{base}/rows")
+    stretches = sorted(r.arrival for r in d.spark.read.parquet(f"{base}/rows").select("arrival").distinct().collect())
+    schema = rows.schema
+    for at in stretches:
+        d.spark.read.schema(schema).parquet(f"{base}/rows/arrival={at}").write.mode("append").parquet(f"{base}/in")
+    incident_stream.clock_row(d.spark, last + delay).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = d.spark.readStream.schema(incident_stream.ROWS).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    incident_stream.run_incidents(stream, base, f"{delay} minutes")
+    return d.spark.read.schema(I.LOG_SCHEMA).parquet(f"{base}/log").select(*LOG_OUT)
+
+
+@query
+def q77_incident_log(d):
+    """The same incidents by the batch fold over sessions."""
+    shown, thin, span = _drops(d)
+    return I.incident_log(shown, thin, *span).select(*LOG_OUT)
