@@ -355,17 +355,19 @@ NAMES = [n for n, _ in CTES]
 TEXT = dict(CTES)
 
 
-def sql(final: str) -> str:
-    """``final`` with the common table expressions it needs, in dependency order."""
+def sql(final: str, more: list[tuple[str, str]] | None = None) -> str:
+    """``final`` with the common table expressions it needs, of these and ``more``, in dependency order."""
     import re
 
+    text, names = TEXT | dict(more or []), NAMES + [n for n, _ in more or []]
     needed, todo = set(), [final]
     while todo:
         words = set(re.findall(r"[A-Za-z_][A-Za-z_0-9]*", todo.pop()))
-        for name in words & TEXT.keys() - needed:
+        for name in words & text.keys() - needed:
             needed.add(name)
-            todo.append(TEXT[name])
-    parts = [f"{n} AS {'MATERIALIZED ' if n in HEAVY else ''}({TEXT[n]})" for n in NAMES if n in needed]
+            todo.append(text[name])
+    heavy = HEAVY | {n for n, t in more or [] if n not in t}
+    parts = [f"{n} AS {'MATERIALIZED ' if n in heavy else ''}({text[n]})" for n in names if n in needed]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + final
 
 
@@ -500,9 +502,13 @@ ORACLE: dict[str, str] = {
 
 
 def impact_sql(asked: str, extra: str = "") -> str:
+    return sql(impact_body(asked, extra))
+
+
+def impact_body(asked: str, extra: str = "") -> str:
     """``asked``: request_id, dims, bucket, started_at, e."""
     _, high = wilson_sql("k", "n", "1.96")
-    return sql(
+    return (
         "SELECT request_id, dur AS duration_min, lost AS lost_approvals, tu AS avg_ticket_usd_minor, lost * tu AS cost_usd_minor,"
         f" {extra} lost * tl AS cost_local_minor, CAST(round(CAST(lost * tu AS DOUBLE) / dur) AS BIGINT) AS cost_usd_per_min,"
         " round(CAST(lost * tu AS DOUBLE) / dur, 8) AS priority_score FROM (SELECT *, CAST(round(n * greatest(0.0, e -"

@@ -9,6 +9,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from dipwatch.plans.oracle import ORACLE
+from dipwatch.plans.oracle_diagnosis import DIAGNOSIS_SQL
 from tests.compare import connect, spark_rows, sql_rows
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -21,7 +22,7 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE))
+@pytest.mark.parametrize("name", sorted(ORACLE | DIAGNOSIS_SQL))
 def test_query_equals_sql(spark, con, name):
     assert spark_rows(queries()[name](spark, FOLDER)) == sql_rows(con, oracle_sql()[name])
 
