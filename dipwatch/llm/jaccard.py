@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from dipwatch.llm.components import components
 from dipwatch.llm.frames import split_by_ids
@@ -179,14 +180,23 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
         *members.columns, F.coalesce("label", "node").alias("label"))
 
 
+def _one_a_node(sets: DataFrame) -> DataFrame:
+    """node, tiles: one row for each node with tiles. Only rows whose node may occur twice, by a bitmap of bounded size, are moved."""
+    tiled = sets.filter(F.size("tiles") > 0).select("node", "tiles")
+    twice = tiled.groupBy("node").count().filter("count > 1").select("node")
+    likely, clear = split_by_ids(tiled, twice, "node")
+    return clear.unionAll(likely.groupBy("node").agg(F.first("tiles").alias("tiles")))
+
+
 def _tiles_and_hubs(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tile, node) of tiles with two nodes at least, and their (tile, hub).
 
-    The hub is the member whose tiles are fullest together: among near copies, the text that the others derive from.
+    Tiles move once: a window over a tile, which streams and spills, tells whether it has a second node. The hub is the member whose
+    tiles are fullest together: among near copies, the text that the others derive from.
     """
-    named = sets.select("node", F.explode("tiles").alias("tile"))
-    full = named.groupBy("tile").agg(F.min("node").alias("l"), F.max("node").alias("h"), F.count("*").alias("c")).filter("l <> h")
-    members = stage(named.join(full.select("tile", "c"), "tile").distinct(), "members")
+    named = _one_a_node(sets).select("node", F.explode("tiles").alias("tile"))
+    whole = Window.partitionBy("tile")
+    members = stage(named.withColumn("c", F.count("*").over(whole)).filter("c > 1"), "members")
     score = members.groupBy("node").agg(F.sum("c").alias("s"))
     hubs = members.join(score, "node").groupBy("tile").agg(F.max_by("node", F.struct("s", "node")).alias("hub"))
     return members.select("tile", "node"), stage(hubs, "hubs")
