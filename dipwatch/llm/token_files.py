@@ -53,8 +53,7 @@ LEVEL = 3
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 REMEMBERED = 1 << 20
-_ENDED = re.compile(rb"(.*[A-Za-z])([!-&(-/:-@\[-`{-~]+)", re.S)
-_LETTERS = re.compile(b"[a-z]+")
+_MARKS = string.punctuation.replace("'", "").encode()
 _TAIL = struct.Struct("<QQIBB4s")
 _LEAST = -(1 << 63)
 
@@ -247,20 +246,28 @@ class WordEncoder:
         return (data[a:b] for a, b in zip([0] + [e + size for e in ends], ends + [len(data)]))
 
     def learn(self, words: list[bytes]) -> None:
-        known, ended, special = self.known, _ENDED.fullmatch if self.parted else lambda w: None, self.special.search
+        known, lowers, parted = self.known, self.lowers, self.parted
         made, heads, tails, whole = [], [], [], []
+        if self.special.search(b" ".join(words)):
+            whole = [w for w in words if self.special.search(w)]
+            words = set(words).difference(whole)
+        new: set[bytes] = set()
         for w in words:
-            if special(w):
-                whole.append(w)
-                continue
-            head = w.lower() if self.lowers else w
-            m = ended(head)
-            made.append(w)
-            heads.append(m[1] if m else head)
-            tails.append(m[2] if m else b"")
-        new = set(heads).union(tails).difference(known)
+            head, tail = w.lower() if lowers else w, b""
+            if parted:
+                bare = head.rstrip(_MARKS)
+                if len(bare) < len(head) and bare[-1:].isalpha():
+                    head, tail = bare, head[len(bare):]
+                    new.add(tail)
+            new.add(head)
+            if tail or head != w:
+                made.append(w)
+                heads.append(head)
+                tails.append(tail)
+        new.difference_update(known)
         if self.direct:
-            plain = [x for x in new if x.isalpha() and _LETTERS.fullmatch(x)]
+            # bytes.isalpha and islower know ASCII only.
+            plain = [x for x in new if x.isalpha() and x.islower()]
             new.difference_update(plain)
             model, pack = self.tokenizer.model.tokenize, self._bytes
             for x in plain:
