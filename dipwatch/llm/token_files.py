@@ -52,7 +52,7 @@ LEVEL = 3
 #: Fixed values of op13's contract.
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 21
 _MARKS = string.punctuation.replace("'", "").encode()
 _TAIL = struct.Struct("<QQIBB4s")
 _LEAST = -(1 << 63)
