@@ -55,7 +55,7 @@ def test_edges_through_every_stage(spark):
 
 def test_registered():
     entry = importlib.import_module("__spark_entry__")
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in entry.queries() if q.startswith("op")} and "pipeline" in entry.queries()
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in entry.queries() if q.startswith("op")} and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -85,6 +86,130 @@ def test_shares_against_brute_force(spark):
         assert r["verdict"] == ("block" if (b + U.STRENGTH * host) / (k + U.STRENGTH) >= U.REJECT else "allow")
 
 
+def _z(b, k, ob, ok):
+    if not k or not ok:
+        return None
+    p, gap = (b + ob) / (k + ok), abs(b / k - ob / ok)
+    spread = (p * (1 - p) * (1 / k + 1 / ok)) ** 0.5
+    return 0.0 if gap == 0 else gap / spread if spread else None
+
+
+def _grow(rows, template, out):
+    """Templates of (rest, shape, bad, known) below a node, by recursion."""
+    rests = [r[0] for r in rows]
+    b, k = sum(r[2] for r in rows), sum(r[3] for r in rows)
+    common = 0
+    while all(len(r) > common and r[common] == rests[0][common] for r in rests):
+        common += 1
+    template = template + rests[0][:common]
+    if len(set(rests)) == 1 or b in (0, k):
+        for r in rows:
+            out[r[1]] = template + (() if len(set(rests)) == 1 else ("**",))
+        return
+    kids = {}
+    for rest, *other in rows:
+        kids.setdefault(rest[common] if len(rest) > common else "", []).append((rest[common + 1:], *other))
+    counts = {s: (sum(r[2] for r in c), sum(r[3] for r in c)) for s, c in kids.items()}
+    differ = {s: c for s, c in counts.items() if (_z(*c, b - c[0], k - c[1]) or 0) >= U.SIGNIFICANT}
+    name = {}
+    for worse in (True, False):
+        side = sorted((c[0] / c[1], *c) for s, c in differ.items() if (c[0] * k > b * c[1]) == worse)
+        groups = []
+        for i, (_, x, y) in enumerate(side):
+            z = _z(x, y, *side[i - 1][1:]) if i else None
+            if z is None or z >= U.SIGNIFICANT:
+                groups.append(set())
+            groups[-1].add((x, y))
+        for g in groups:
+            own = sorted(s for s, c in differ.items() if c in g and (c[0] * k > b * c[1]) == worse)
+            name |= {s: own[0] if len(own) == 1 and own[0] != "*" else f"{own[0]}#{len(own)}" for s in own}
+    below = {}
+    for s, c in kids.items():
+        below.setdefault(name.get(s, "*"), []).extend(c)
+    for n, c in below.items():
+        _grow(c, template + (n,), out)
+
+
+def _brute_verdicts(pages, labels):
+    """page_id: (verdict, template) of pages without a curated rule, from urls and labels alone."""
+    bad = {}
+    for d, q, t in labels:
+        if d is not None and not (q is None and t is None):
+            bad[d] = max(bad.get(d, 0), int(q == 0 or t == 1))
+    seen, counts = {}, {}
+    for i, url in pages:
+        host, path = _parts(url)
+        shape = tuple("*" if re.match(U.VARIABLE, s) else s for s in path.split("/") if s)
+        doc = re.search(r"/([0-9]{1,18})(?:\.[A-Za-z]+)?/?$", path)
+        known = bad.get(int(doc[1])) if doc else None
+        seen[i] = (host, path, shape)
+        c = counts.setdefault(host, {}).setdefault(shape, [0, 0])
+        c[0] += known or 0
+        c[1] += known is not None
+    tb, tk = (sum(c[j] for h in counts.values() for c in h.values()) for j in (0, 1))
+    out = {}
+    for host, shapes in counts.items():
+        of, sums = {}, {}
+        _grow([(s, s, *c) for s, c in shapes.items()], (), of)
+        for s, t in of.items():
+            old = sums.get(t, (0, 0))
+            sums[t] = (old[0] + shapes[s][0], old[1] + shapes[s][1])
+        hb, hk = (sum(c[j] for c in shapes.values()) for j in (0, 1))
+        base = (hb + U.STRENGTH * (tb / tk if tk else 0)) / (hk + U.STRENGTH)
+        out[host] = {s: ("block" if host and (sums[t][0] + U.STRENGTH * base) / (sums[t][1] + U.STRENGTH) >= U.REJECT else "allow",
+                         host + "/" + "/".join(t)) for s, t in of.items()}
+    return {i: out[h][s] for i, (h, p, s) in seen.items() if _rule(h, p)[0] is None}
+
+
+def _large_site():
+    """Forty sections, one bad, one in which a deep part is bad; the same sections seven levels down; names, ends and very long paths."""
+    draw, pages, labels = random.Random(5), [], []
+
+    def add(url, bad):
+        n = len(pages)
+        pages.append((n, url.format(n)))
+        if bad is not None:
+            labels.append((n, 1 - bad, 0))
+
+    for deep, host in (("", "w.site.io"), ("a/b/c/d/e/f/", "v.site.io"), ("x/" * 300, "u.site.io")):
+        for section in range(40):
+            for _ in range(30):
+                add(f"https://{host}/{deep}s{section:02d}/{{}}", int(section == 33))
+        for part, bad in (("good", 0), ("worse", 1), ("worst", 1), ("half", None)):
+            for _ in range(40):
+                add(f"https://{host}/{deep}s07/q/{part}/{{}}", draw.randrange(2) if bad is None else bad)
+        add(f"https://{host}/{deep}s07", None)
+        add(f"https://{host}/{deep}s07/q/*/{{}}", 1)
+    for _ in range(400):
+        add(f"https://t.site.io/{'/'.join(draw.choice('pqr') for _ in range(draw.randrange(6)))}/{{}}", int(draw.random() < 0.4))
+        add(f"https://t.site.io/{draw.choice('pqr')}/n{draw.randrange(300)}", None)
+    return pages, labels
+
+
+@pytest.mark.parametrize("name", ["large", "small", "given"])
+def test_whole_tree_against_brute_force(spark, name):
+    if name == "large":
+        pages, labels = _large_site()
+        frames = spark.createDataFrame([(i, u, None, "x", "x") for i, u in pages], PAGES), spark.createDataFrame(labels, LABELS)
+    else:
+        frames = _site(spark) if name == "small" else tuple(spark.read.parquet(f"{SF}/{t}.parquet") for t in ("pages", "labels"))
+        pages = [(r["page_id"], r["url"]) for r in frames[0].collect()]
+        labels = [(r["doc_id"], r["quality"], r["toxic"]) for r in frames[1].collect()]
+    want = _brute_verdicts(pages, labels)
+    got = {r["page_id"]: (r["verdict"], r["template"]) for r in U.op7_url_filter(*frames).collect() if r["rule"] is None}
+    assert {i: v for i, v in got.items() if i is not None} == {i: v for i, v in want.items() if i is not None}
+    if name == "large":
+        for host in ("w", "v", "u"):
+            of = {u: got[i][0] for i, u in pages if u.startswith(f"https://{host}.site.io/")}
+            assert {v for u, v in of.items() if "/s33/" in u or "/q/worse/" in u or "/q/worst/" in u} == {"block"}
+            assert {v for u, v in of.items() if "/s01/" in u or "/q/good/" in u} == {"allow"}
+
+
+def test_plan_has_no_nested_loop(spark):
+    plan = U.op7_url_filter(*_site(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], LABELS)
     assert U.op7_url_filter(spark.createDataFrame([], PAGES), none).count() == 0
