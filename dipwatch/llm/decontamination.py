@@ -5,8 +5,8 @@ are streamed through it; at each word it knows the longest run ending there that
 words, and whole items that are shorter, mark words as hit. Stretches in which some pair of neighbouring words occurs in no item
 are skipped beforehand, as no match crosses such a pair; in them the automaton would stand at its root.
 
-The automaton is sent to the tasks, so its size is checked: items are dealt into slices of at most ``SLICE_WORDS`` words (one item
-is never cut), each slice has an automaton and a pass of its own, and the hits of the passes are merged by document.
+The automaton is sent to the tasks, so its size is checked: items are dealt into slices of at most ``SLICE_WORDS`` words (longer
+items are cut with an overlap), each slice has an automaton and a pass of its own, and the hits of the passes are merged by document.
 
 Defined results: null text has no words; an item without words has no window and matches nothing; repeated documents are judged
 each by itself; an empty benchmark hits nothing; extra columns are ignored.
@@ -120,19 +120,23 @@ class Automaton:
         return spans, found
 
 
-def item_slices(bench: DataFrame, limit: int = SLICE_WORDS) -> list[list[tuple[int, np.ndarray]]]:
-    """Word hashes of the items, in slices of at most ``limit`` words; read item by item, one slice is one broadcast."""
+def item_slices(bench: DataFrame, limit: int = SLICE_WORDS, window: int = WINDOW) -> list[list[tuple[int, np.ndarray]]]:
+    """Word hashes of the items, in slices of at most ``limit`` words; read item by item, one slice is one broadcast.
+
+    A longer item is cut into pieces that overlap by ``window`` - 1 words, so that each of its windows lies in one piece.
+    """
     out: list[list[tuple[int, np.ndarray]]] = [[]]
     held = 0
     for row in bench.select("item_id", F.col("text").cast("binary").alias("text")).toLocalIterator():
         if row["text"]:
             h = words_of([bytes(row["text"])], ALPHANUMERIC).hashes()
-            if held and held + len(h) > limit:
-                out.append([])
-                held = 0
-            held += len(h)
-            if len(h):
-                out[-1].append((row["item_id"], h))
+            starts = range(0, len(h) - window + 1, max(1, limit - window + 1)) if len(h) > limit else range(min(1, len(h)))
+            for piece in (h[a:a + max(limit, window)] for a in starts):
+                if held and held + len(piece) > limit:
+                    out.append([])
+                    held = 0
+                held += len(piece)
+                out[-1].append((row["item_id"], piece))
     return out
 
 
@@ -222,7 +226,7 @@ def _arrow_hits(rows, n_words, hits) -> pa.Table:
 
 def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slice_words: int = SLICE_WORDS) -> DataFrame:
     """Words, hit words, items and hit spans (in words) of every document."""
-    slices = item_slices(bench, slice_words)
+    slices = item_slices(bench, slice_words, window)
     spark = docs.sparkSession
 
     def one(items) -> DataFrame:
@@ -276,39 +280,59 @@ def cut_text(data: bytes, starts: np.ndarray, ends: np.ndarray, spans: list[tupl
         out.append(data[at:int(starts[a])])
         at = int(ends[b - 1])
     out.append(data[at:])
-    return b"".join(out).decode("utf-8")
+    return b"".join(out).decode("utf-8", "replace")
 
 
-def decontaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, drop_over: float = 0.0) -> DataFrame:
+def decontaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, drop_over: float = 0.0, slice_words: int = SLICE_WORDS) -> DataFrame:
     """Documents after removal: one whose share of hit words exceeds ``drop_over`` goes, others lose the hit spans.
 
-    All columns stay; ``n_chars``, if there is one, follows the text.
+    All columns stay; ``n_chars``, if there is one, follows the text. With several slices, each pass hands the spans that it found on
+    with the row, and the last one judges and cuts the untouched text by all of them.
     """
-    slices = item_slices(bench)
+    slices = item_slices(bench, slice_words, window)
     names, kinds = docs.columns, dict(docs.dtypes)
+    held = "_spans"
+    while held in names:
+        held += "_"
     spark = docs.sparkSession
 
-    def emit(rows, w, found):
+    def hand_on(rows, w, found):
+        spans = [merge_spans([(x["a"], x["b"]) for x in old] + (found[i][0] if i in found else [])) for i, old in enumerate(rows[held])]
+        cols = rows | {held: [[{"a": a, "b": b} for a, b in s] for s in spans],
+                       "text": [None if t is None else t.decode("utf-8", "replace") for t in rows["text"]]}
+        return pa.table({c: pa.array(cols[c], types[c]) for c in [*names, held]})
+
+    def cut(rows, w, found):
         keep, text, begins = [], [], np.cumsum([0] + [len(t or b"") + 1 for t in rows["text"]])
+        changed = set()
         for i, t in enumerate(rows["text"]):
-            spans = merge_spans(found[i][0]) if i in found else []
+            spans = found[i][0] if i in found else []
+            spans = merge_spans(spans + [(x["a"], x["b"]) for x in rows[held][i]] if held in rows else spans)
             n = int(w.first[i + 1] - w.first[i])
             hit = sum(b - a for a, b in spans)
             if hit and hit > drop_over * n:
                 continue
             keep.append(i)
+            if spans:
+                changed.add(i)
             own = slice(int(w.first[i]), int(w.first[i + 1]))
-            text.append(None if t is None else t.decode("utf-8") if not spans else cut_text(t, w.starts[own] - begins[i], w.ends[own] - begins[i], spans))
+            text.append(None if t is None else t.decode("utf-8", "replace") if not spans
+                        else cut_text(t, w.starts[own] - begins[i], w.ends[own] - begins[i], spans))
         cols = {c: [rows[c][i] for i in keep] for c in names} | {"text": text}
         if "n_chars" in cols:
-            cols["n_chars"] = [len(t) if i in found and t is not None else rows["n_chars"][i] for i, t in zip(keep, text)]
-        return pa.table({c: pa.array(v, types[c]) for c, v in cols.items()})
+            cols["n_chars"] = [len(t) if i in changed and t is not None else rows["n_chars"][i] for i, t in zip(keep, text)]
+        return pa.table({c: pa.array(cols[c], types[c]) for c in names})
 
     from pyspark.sql.pandas.types import to_arrow_schema
+    if len(slices) > 1:
+        docs = docs.withColumn(held, F.array().cast("array<struct<a:bigint,b:bigint>>"))
+        kinds |= {held: "array<struct<a:bigint,b:bigint>>"}
     arrow = to_arrow_schema(docs.schema)
-    types = {c: arrow.field(c).type for c in names}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
-    for items in slices:
+    types = {c: arrow.field(c).type for c in docs.columns}
+    for at, items in enumerate(slices):
+        last = at == len(slices) - 1
         sent = spark.sparkContext.broadcast(items)
-        docs = scan(docs, names, lambda sent=sent: _matcher(sent.value, window, emit), schema)
+        columns = docs.columns
+        schema = ", ".join(f"`{c}` {kinds[c]}" for c in (names if last else columns))
+        docs = scan(docs, columns, lambda sent=sent, emit=cut if last else hand_on: _matcher(sent.value, window, emit), schema)
     return docs

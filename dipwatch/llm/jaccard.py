@@ -29,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import StructType
 
 from dipwatch.llm.components import components
 from dipwatch.llm.frames import split_by_ids
-from dipwatch.llm.words import mix, scan, shingles, words_of
+from dipwatch.llm.words import SLICE_ROWS, chunks, mix, scan, shingles, words_of
 from dipwatch.session import stage
 
 #: Fixed values of op5's contract: words a shingle, and of 100 parts of the union those that links have in common at least.
@@ -253,14 +254,48 @@ def op5_jaccard_join(docs: DataFrame) -> DataFrame:
     return jaccard_components(docs)
 
 
+def _with_nodes(docs: DataFrame, words: int) -> DataFrame:
+    """row (all columns of ``docs``), size and node of its set."""
+    def run(batches):
+        for batch in batches:
+            n, nodes = [], []
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                texts = batch.column("text").slice(at, SLICE_ROWS).to_pylist()
+                for a, b in chunks(texts):
+                    for array in _sets(texts[a:b], words):
+                        n.append(len(array))
+                        nodes.append(_name(array, int(mix(array).sum(dtype=np.uint64))) if len(array) else 0)
+            row = batch.schema.field("row")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(n, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64))],
+                schema=pa.schema([row, pa.field("n", pa.int64()), pa.field("node", pa.int64())]))
+
+    whole = docs.select(F.struct("*").alias("row"), F.col("text").cast("binary").alias("text"))
+    kind = whole.schema["row"].dataType
+    return whole.mapInArrow(run, StructType().add("row", kind).add("n", "long").add("node", "long"))
+
+
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """All rows but those linked to a document of a smaller id; of rows that agree in every column one stays."""
-    found = stage(jaccard_components(docs, words, percent), "components")
-    gone = found.filter("doc_id <> component_id").select("doc_id", F.lit(True).alias("_gone"))
-    twice = found.groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(False).alias("_gone"))
-    marked = stage(gone.unionAll(twice).groupBy("doc_id").agg(F.max("_gone").alias("_gone")), "gone")
+    """One row of each component: that of the least id, nulls last, then of the least hash of its text, then of its columns.
+
+    Rows without words are in no component and stay; of those that agree in every column one stays. Where ids are unique, rows are
+    decided on by id; rows that share an id or have none are named by their sets once more and decided on one by one.
+    """
+    sets, labels = joined_sets(docs, words, percent)
+    found = stage(_labelled(sets, labels), "components")
+    least = stage(found.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("least")), "least")
+    gone = found.filter("n > 0").join(least, "label").filter("doc_id <> least").select("doc_id", F.lit(True).alias("_gone"))
+    odd = found.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select("doc_id", F.lit(False).alias("_gone"))
+    marked = stage(gone.unionAll(odd).groupBy("doc_id").agg(F.min("_gone").alias("_gone")), "gone")
     likely, clear = split_by_ids(docs, marked)
-    judged = likely.join(marked.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    plain = judged.filter("_gone IS NULL").select(*docs.columns)
-    repeated = judged.filter("NOT _gone").select(*docs.columns).distinct()
-    return clear.unionAll(plain).unionAll(repeated)
+    # The mark's columns are kept apart from those of the rows.
+    mark = marked.select(F.struct("doc_id", "_gone").alias("_mark"))
+    judged = likely.select(F.struct("*").alias("row")).join(mark, F.col("row.doc_id").eqNullSafe(F.col("_mark.doc_id")), "left")
+    plain = judged.filter("_mark IS NULL").select("row.*")
+    named = stage(_with_nodes(judged.filter("NOT _mark._gone").select("row.*"), words), "odd")
+    label = found.filter("n > 0").select("node", "label").distinct()
+    first = named.filter("n > 0").join(label, "node").join(least, "label").filter(F.col("row.doc_id").eqNullSafe(F.col("least")))
+    order = F.struct(F.xxhash64("row.text"), F.to_json("row"))
+    kept = first.groupBy("label").agg(F.min_by("row", order).alias("row")).select("row.*")
+    wordless = named.filter("n = 0").select("row.*").distinct()
+    return clear.unionAll(plain).unionAll(kept).unionAll(wordless)

@@ -20,9 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dipwatch.llm.frames import split_by_ids
-from dipwatch.llm.words import ALPHANUMERIC, Words, scan, words_of
-from dipwatch.session import stage
+from dipwatch.llm.words import ALPHANUMERIC, SLICE_ROWS, Words, chunks, scan, words_of
 
 FIT_ROWS = 10_000
 BUCKETS = 1 << 20
@@ -181,8 +179,21 @@ def op4_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose id has no text that scores at the threshold; rows of a null id go by the score of any of them."""
-    model = fit(*labelled_sample(docs, labels))
-    bad = stage(scored(docs, model).filter(F.col("score") >= threshold).select(F.col("doc_id").alias("_bad")).distinct(), "toxic")
-    likely, clear = split_by_ids(docs, bad.withColumnRenamed("_bad", "doc_id"))
-    return clear.unionAll(likely.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti").select(*docs.columns))
+    """The rows of ``docs`` whose own text scores below the threshold, in one pass, whatever their id."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(*labelled_sample(docs, labels)))
+
+    def run(batches):
+        model = sent.value
+        for batch in batches:
+            keep = [np.zeros(0, bool)]
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                texts = batch.column("text").slice(at, SLICE_ROWS).cast(pa.binary()).to_pylist()
+                for a, b in chunks(texts):
+                    none = np.zeros(b - a)
+                    if model is not None:
+                        _, text, z = model.logits(words_of(texts[a:b], ALPHANUMERIC))
+                        np.add.at(none, text, -np.logaddexp(0, z))
+                    keep.append(-np.expm1(none) < threshold)
+            yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)

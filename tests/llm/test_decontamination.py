@@ -106,6 +106,37 @@ def test_removal(spark):
     assert row["n_chars"] == len(row["text"])
 
 
+def test_removal_does_not_depend_on_slices(spark):
+    docs, bench, rows, items = _case(spark)
+    docs = clashing(docs)
+    for share in (0.0, 0.3, 0.5, 0.9):
+        whole = rows_of(D.decontaminated(docs, bench, drop_over=share))
+        assert rows_of(D.decontaminated(docs, bench, drop_over=share, slice_words=30)) == whole
+        hit = {(d, n): h for d, n, h, *_ in _brute(rows, items)}
+        assert len(whole) == sum(h <= share * n for h, n in ((hit[(i, len(_words(t)))], len(_words(t))) for i, t in rows))
+    # 24 of 44 words are hit, 12 by an item of each of two slices: more than half of the untouched text.
+    one, two = (" ".join(f"{c}{i}" for i in range(12)) for c in "pq")
+    text = one + " " + " ".join(f"r{i}" for i in range(20)) + " " + two
+    docs = spark.createDataFrame([(1, text, "en", "a", len(text))], SCHEMA)
+    bench = spark.createDataFrame([(1, one), (2, two)], "item_id long, text string")
+    assert [D.decontaminated(docs, bench, drop_over=0.5, slice_words=n).count() for n in (200_000, 12)] == [0, 0]
+    assert D.decontaminated(docs, bench, drop_over=0.6, slice_words=12).first()["text"].split() == [f"r{i}" for i in range(20)]
+
+
+def test_items_longer_than_a_slice_are_cut_with_an_overlap(spark):
+    draw = random.Random(6)
+    long = [f"t{draw.randrange(50)}" for _ in range(500)]
+    items = [(1, " ".join(long)), (2, "t1 t2 t3")]
+    rows = [(i, "x " + " ".join(long[a:a + n]) + " y") for i, (a, n) in enumerate((draw.randrange(480), draw.randrange(8, 60)) for _ in range(60))]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    slices = D.item_slices(bench, 30)
+    assert len(slices) > 10 and all(sum(len(h) for _, h in s) <= 30 for s in slices)
+    found = D.hits(docs, bench, slice_words=30)
+    got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], D.items_digest(r["items"]), r["n_hit"] > 0) for r in found.collect()), key=repr)
+    assert got == _brute(rows, items)
+
+
 def test_edges(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = clashing(edge_docs(spark))

@@ -115,13 +115,45 @@ def test_empty_table(spark):
     assert J.one_of_each(no_docs(spark)).count() == 0
 
 
+def _check_kept(rows, kept, words=3, percent=90):
+    """Of each component one row, with its least id; of rows without words each different one."""
+    least, groups, wordless = _linked_rows(rows, words, percent), {}, set()
+    for i, row in enumerate(rows):
+        if _set(row[1], words):
+            groups.setdefault(least[i], []).append(row)
+        else:
+            wordless.add(row)
+    left = sorted(kept, key=repr)
+    for group in groups.values():
+        first = min((d for d, _ in group if d is not None), default=None)
+        found = [r for r in left if r in group and r[0] == first]
+        assert len(found) == 1, (group, found)
+        left.remove(found[0])
+    assert left == sorted(wordless, key=repr)
+
+
 def test_one_document_of_each_group_stays(spark):
     docs = clashing(edge_docs(spark))
     kept = J.one_of_each(docs)
     assert kept.columns == docs.columns
-    names = [tuple(r) for r in docs.select("doc_id", "text").distinct().collect()]
-    gone = {d for d, _, c in _brute([tuple(r) for r in docs.select("doc_id", "text").collect()]) if d != c}
-    assert rows_of(kept.select("doc_id", "text")) == sorted((r for r in names if r[0] not in gone), key=repr)
+    _check_kept([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in kept.select("doc_id", "text").collect()])
+
+
+def test_rows_that_share_an_id_or_have_none_are_decided_on_one_by_one(spark):
+    draw = random.Random(7)
+    base = [[f"z{draw.randrange(10**6)}" for _ in range(80)] for _ in range(6)]
+
+    def near(i):
+        return " ".join(base[i][:-1] + [f"e{draw.randrange(10**6)}"])
+
+    rows = [(1, near(0)), (2, near(0)), (2, near(1)), (None, near(0)), (None, near(2)), (None, near(2)), (None, near(3)), (9, near(4)), (9, near(4)),
+            (9, near(4)), (8, near(5)), (7, near(5)), (7, near(4)), (None, None), (None, ""), (3, None), (3, None), (3, " ")]
+    rows += [(2, rows[2][1]), (None, rows[6][1])]
+    docs = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], SCHEMA).repartition(4)
+    kept = [tuple(r) for r in J.one_of_each(docs, words=5, percent=80).select("doc_id", "text").collect()]
+    _check_kept(rows, kept, 5, 80)
+    again = J.one_of_each(docs.repartition(3), words=5, percent=80).select("doc_id", "text")
+    assert (2, rows[2][1]) in kept and rows_of(again) == sorted(kept, key=repr)
 
 
 def _linked_rows(rows, words, percent):

@@ -89,3 +89,16 @@ def test_rejected_documents_go(spark):
     bad = {r["doc_id"] for r in T.op4_toxicity(docs, labels).filter("predicted = 1").collect()}
     kept = {r["doc_id"] for r in T.without_toxic(docs, labels).collect()}
     assert kept == set(range(400)) - bad and len(bad) > 100
+
+
+def test_each_row_goes_by_its_own_text(spark):
+    texts, toxic = _made(400)
+    labels = spark.createDataFrame([(i, 1, int(y)) for i, y in enumerate(toxic)], LABELS)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, t.decode(), "en", "a", 1) for i, t in enumerate(texts)]
+    bad = {r["doc_id"] for r in T.op4_toxicity(spark.createDataFrame(rows, schema), labels).filter("predicted = 1").collect()}
+    ill, well = next(rows[i][1] for i in sorted(bad)), next(rows[i][1] for i in range(400) if i not in bad)
+    odd = [(5000, ill, "en", "a", 1), (5000, well, "en", "a", 1), (None, ill, "en", "a", 1), (None, well, "en", "a", 1), (None, None, None, None, None)]
+    kept = T.without_toxic(clashing(spark.createDataFrame(rows + odd, schema)), labels)
+    got = {(r["doc_id"], r["text"]) for r in kept.collect()}
+    assert got == {r[:2] for r in rows + odd if r[1] not in {rows[i][1] for i in bad}}
