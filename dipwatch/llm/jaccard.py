@@ -7,7 +7,7 @@ a pair can differ in, so a linked pair agrees in all of some segment.
 The contents of a segment name a tile: (band, segment, contents). Only documents of one tile are compared: first by a bitmap of their
 hashes, whose differing bits bound the overlap from above, then by intersecting the sorted arrays.
 
-A tile is not expanded into pairs. One member (hub) is compared with the others; tiles whose other members are then in one component
+A tile is not expanded into pairs. One member (hub) is compared with the others, but for those that are in its component already; tiles whose other members are then in one component
 are done. In the rest, members of different components are joined under the bitmap's bound as a condition, so only pairs that may
 link leave the join. Every pair of a tile is then either compared or inside one component, so no link that joins components is lost.
 Equal sets are one node throughout, so exact copies make no pairs.
@@ -214,8 +214,15 @@ def joined_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     x = nodes.select(F.col("node").alias("a"), F.col("n").alias("nx"), F.col("bitmap").alias("bx"))
     y = nodes.select(F.col("node").alias("b"), F.col("n").alias("ny"), F.col("bitmap").alias("by"))
     near = stage(pairs.join(y, "b").join(x, (pairs["a"] == x["a"]) & _near(percent)).select(pairs["a"], "b"), "near")
-    links = stage(_linked(near, sets, docs, words, percent), "links")
+    # Arrays are large: each node meets its most frequent hub first, then only hubs whose component it has not joined by that.
+    degree = near.groupBy("a").agg(F.count("*").alias("degree"))
+    best = stage(near.join(degree, "a").groupBy("b").agg(F.max_by("a", F.struct("degree", "a")).alias("a")).select("a", "b"), "best")
+    links = stage(_linked(best, sets, docs, words, percent), "links")
     labels = components(links)
+    left = stage(_across(near.join(best, ["a", "b"], "left_anti"), labels), "left")
+    if not left.isEmpty():
+        links = stage(links.unionAll(_linked(left, sets, docs, words, percent)), "links")
+        labels = components(links)
     rest = stage(_open_tiles(others.select("tile", "node"), labels), "rest")
     if rest.isEmpty():
         return sets.select("doc_id", "n", "node"), labels
@@ -228,6 +235,14 @@ def joined_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     return sets.select("doc_id", "n", "node"), components(stage(links.unionAll(more), "links"))
 
 
+def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components."""
+    x = labels.select(F.col("node").alias("_x"), F.col("label").alias("_lx"))
+    y = labels.select(F.col("node").alias("_y"), F.col("label").alias("_ly"))
+    out = pairs.join(x, F.col("a") == F.col("_x"), "left").join(y, F.col("b") == F.col("_y"), "left")
+    return out.filter(F.coalesce("_lx", "a") != F.coalesce("_ly", "b")).select("a", "b")
+
+
 def _open_tiles(members: DataFrame, labels: DataFrame) -> DataFrame:
     known = _labelled(members, labels)
     mixed = known.groupBy("tile").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("tile")
