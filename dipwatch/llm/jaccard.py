@@ -5,7 +5,8 @@ A document's set holds the hashes of its distinct shingles of ``words`` words. D
 are cut into overlapping bands in which any linked pair meets; a band has a fixed number of segments of the hash range, more than such
 a pair can differ in, so a linked pair agrees in all of some segment.
 The contents of a segment name a tile: (band, segment, contents). Only documents of one tile are compared: first by a bitmap of their
-hashes, whose differing bits bound the overlap from above, then by intersecting the sorted arrays.
+hashes, whose differing bits bound the overlap from above, then by intersecting the sorted arrays. A bitmap of fixed size is full for
+long documents, so those have a second one of two to four bits a shingle, which is moved for pairs that passed the first.
 
 A tile is not expanded into pairs. One member (hub) is compared with the others, but for those that are in its component already; tiles whose other members are then in one component
 are done. In the rest, members of different components are joined under the bitmap's bound as a condition, so only pairs that may
@@ -100,9 +101,18 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
+def _wide(array: np.ndarray) -> bytes:
+    """Bitmap of two to four bits a shingle; empty where that of fixed size does."""
+    if len(array) <= BITMAP // 2:
+        return b""
+    bits = np.zeros(1 << (2 * len(array) - 1).bit_length(), bool)
+    bits[(array & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
 def _describe(words: int, percent: int):
     def step(rows: dict) -> pa.Table:
-        n, nodes, bitmaps, names = [], [], [], []
+        n, nodes, bitmaps, wide, names = [], [], [], [], []
         for array in _sets(rows["text"], words):
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(array))])
             n.append(len(array))
@@ -111,10 +121,12 @@ def _describe(words: int, percent: int):
             bits[(array & np.uint64(BITMAP - 1)).astype(np.int64)] = True
             found = tiles(array, sums, percent)
             bitmaps.append(np.packbits(bits).view(np.uint64) if len(found) else np.zeros(0, np.uint64))
+            wide.append(_wide(array) if len(found) else b"")
             names.append(found)
         return pa.table({
             "doc_id": pa.array(rows["doc_id"], pa.int64()), "n": pa.array(n, pa.int64()),
-            "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "bitmap": _lists(bitmaps), "tiles": _lists(names)})
+            "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "bitmap": _lists(bitmaps), "wide": pa.array(wide, pa.binary()),
+            "tiles": _lists(names)})
 
     return step
 
@@ -153,10 +165,41 @@ def _near(percent: int):
     return F.lit(100) * bound >= F.lit(percent) * (F.col("nx") + F.col("ny") - bound)
 
 
+def _may_link(x: bytes | None, y: bytes | None, total: int, percent: int) -> bool:
+    """Wide bitmaps of sets of ``total`` shingles together allow the overlap that a link needs; without two of them nothing is said."""
+    if not x or not y:
+        return True
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(x) != len(y):
+        # Halves of the larger fall together, as the smaller has one low bit of the hash less.
+        if len(x) > len(y):
+            x = x[:len(x) // 2] | x[len(x) // 2:]
+        else:
+            y = y[:len(y) // 2] | y[len(y) // 2:]
+    bound = (total - int(np.bitwise_count(x ^ y).sum())) // 2
+    return 100 * bound >= percent * (total - bound)
+
+
+def _closer(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those (a, b) of ``pairs`` that the wide bitmaps of their nodes do not rule out."""
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("wx", "wy", "total")]
+            keep = [_may_link(x, y, total, percent) for x, y, total in zip(*columns)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    wide = nodes.filter("length(wide) > 0")
+    x = wide.select(F.col("node").alias("a"), F.col("n").alias("nx"), F.col("wide").alias("wx"))
+    y = wide.select(F.col("node").alias("b"), F.col("n").alias("ny"), F.col("wide").alias("wy"))
+    both = pairs.join(y, "b", "left").join(x, "a", "left").select("a", "b", "wx", "wy", (F.col("nx") + F.col("ny")).alias("total"))
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _nodes(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Size, bitmap and one document of each node of ``wanted``."""
+    """Size, bitmaps and one document of each node of ``wanted``."""
     known = sets.filter(F.size("bitmap") > 0).join(wanted, "node", "left_semi")
-    return known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
+    return known.groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "bitmap", "wide")])
 
 
 def _linked(near: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -206,14 +249,15 @@ def _tiles_and_hubs(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 def joined_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node of each document), and the components' (node, label) for nodes that are not their own label."""
     sets = stage(scan(docs, ["doc_id", "text"], partial(_describe, words, percent),
-                      "doc_id long, n long, node long, bitmap array<long>, tiles array<long>"), "sets")
+                      "doc_id long, n long, node long, bitmap array<long>, wide binary, tiles array<long>"), "sets")
     members, hubs = _tiles_and_hubs(sets)
     others = members.join(hubs, "tile").filter("node <> hub")
     pairs = stage(others.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     nodes = stage(_nodes(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "nodes")
     x = nodes.select(F.col("node").alias("a"), F.col("n").alias("nx"), F.col("bitmap").alias("bx"))
     y = nodes.select(F.col("node").alias("b"), F.col("n").alias("ny"), F.col("bitmap").alias("by"))
-    near = stage(pairs.join(y, "b").join(x, (pairs["a"] == x["a"]) & _near(percent)).select(pairs["a"], "b"), "near")
+    near = pairs.join(y, "b").join(x, (pairs["a"] == x["a"]) & _near(percent)).select(pairs["a"], "b")
+    near = stage(_closer(near, nodes, percent), "near")
     # Arrays are large: each node meets its most frequent hub first, then only hubs whose component it has not joined by that.
     degree = near.groupBy("a").agg(F.count("*").alias("degree"))
     best = stage(near.join(degree, "a").groupBy("b").agg(F.max_by("a", F.struct("degree", "a")).alias("a")).select("a", "b"), "best")
@@ -227,11 +271,12 @@ def joined_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     if rest.isEmpty():
         return sets.select("doc_id", "n", "node"), labels
     # All that is left to compare; a pair leaves the join only if its bitmaps may hold a link.
-    rest = rest.join(_distinct_tiles(rest), "tile", "left_semi").join(nodes.drop("doc_id"), "node")
+    rest = rest.join(_distinct_tiles(rest), "tile", "left_semi").join(nodes.select("node", "n", "bitmap"), "node")
     p = rest.select("tile", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("nx"), F.col("bitmap").alias("bx"))
     q = rest.select("tile", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("ny"), F.col("bitmap").alias("by"))
     close = p.join(q, (p["tile"] == q["tile"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _near(percent))
-    more = _linked(stage(close.select("a", "b").distinct(), "close"), sets, docs, words, percent)
+    close = stage(_closer(close.select("a", "b").distinct(), nodes, percent), "close")
+    more = _linked(close, sets, docs, words, percent)
     return sets.select("doc_id", "n", "node"), components(stage(links.unionAll(more), "links"))
 
 

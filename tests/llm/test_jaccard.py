@@ -91,6 +91,43 @@ def test_bitmap_bound_never_loses_a_link():
                     assert a + b - 2 * common <= J.differences(a, b)
 
 
+def test_wide_bitmaps_never_lose_a_link_and_tell_long_sets_apart():
+    draw = np.random.default_rng(5)
+    said = 0
+    for n in (513, 900, 1023, 1025, 4000, 30000):
+        for percent in (80, 90):
+            x = np.unique(draw.integers(0, 1 << 64, n, dtype=np.uint64))
+            for change in (0.02, 0.05, 0.1, 0.11, 0.2, 0.22, 0.25, 1.0):
+                kept = x[draw.random(len(x)) >= change]
+                for y in (kept, np.unique(np.concatenate([kept, draw.integers(0, 1 << 64, n - len(kept), dtype=np.uint64)]))):
+                    common = len(np.intersect1d(x, y))
+                    linked = 100 * common >= percent * (len(x) + len(y) - common)
+                    found = J._may_link(J._wide(x), J._wide(y), len(x) + len(y), percent)
+                    assert found or not linked
+                    assert found == J._may_link(J._wide(y), J._wide(x), len(x) + len(y), percent)
+                    said += change == 1.0 and len(y) > 512 and not found
+    assert said == 12
+    assert J._wide(np.arange(512, dtype=np.uint64)) == b""
+    assert J._may_link(b"", J._wide(np.arange(600, dtype=np.uint64)), 1112, 90)
+
+
+def test_long_texts_that_share_most_of_their_tiles(spark):
+    # Long texts: copies with few and with many edits, and others that have a long passage in common only.
+    draw, rows = random.Random(21), []
+    passage = [f"p{i}" for i in range(700)]
+    for family in range(4):
+        base = [f"f{family}x{i}" for i in range(900)] + passage
+        for edits in (0, 5, 12, 40, 60, 90):
+            text = list(base)
+            for at in draw.sample(range(900), edits):
+                text[at] = f"e{draw.randrange(10**9)}"
+            rows.append((len(rows), " ".join(text), "en", "a", 1))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for words, percent in ((3, 90), (5, 80)):
+        got = J.jaccard_components(docs, words, percent).collect()
+        assert sorted((tuple(r) for r in got), key=repr) == _brute([r[:2] for r in rows], words, percent)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7)]
     found = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
