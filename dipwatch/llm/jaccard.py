@@ -4,13 +4,14 @@ A document's set holds the hashes of its distinct shingles of ``words`` words. D
 ``100 * intersection >= percent * union``, thus when they differ in at most (a + b) * (100 - percent) / (100 + percent) shingles. Sizes
 are cut into overlapping bands in which any linked pair meets; a band has a fixed number of segments of the hash range, more than such
 a pair can differ in, so a linked pair agrees in all of some segment.
-The contents of a segment name a tile: (band, segment, contents). Only documents of one tile are compared: first by a bitmap of their
+The contents of a segment name a tile: (band, segment, contents). Linked pairs agree in more than one segment, so each document leaves
+its fullest tiles, one less than it has to share: phrases that many texts hold make no large tiles of unrelated documents. Only documents of one tile are compared: first by a bitmap of their
 hashes, whose differing bits bound the overlap from above, then by intersecting the sorted arrays. A bitmap of fixed size is full for
 long documents, so those have a second one of two to four bits a shingle, which is moved for pairs that passed the first.
 
 A tile is not expanded into pairs. One member (hub) is compared with the others, but for those that are in its component already; tiles whose other members are then in one component
 are done. In the rest, members of different components are joined under the bitmap's bound as a condition, so only pairs that may
-link leave the join. Every pair of a tile is then either compared or inside one component, so no link that joins components is lost.
+link leave the join, and nearly all from one of their tiles only. Every pair of a tile is then either compared or inside one component, so no link that joins components is lost.
 Equal sets are one node throughout, so exact copies make no pairs.
 
 Segments that are empty would make large tiles of unrelated documents. Each band has further segments (``spare``); a document with no
@@ -44,6 +45,8 @@ PERCENT = 90
 SPARE = 2
 GROWTH = 1.5
 BITMAP = 1024
+#: Tiles of a node before one that tell whether a pair has met: most pairs of near copies share nearly all.
+EARLIER = 8
 
 
 def differences(a: int, b: int, percent: int = PERCENT) -> int:
@@ -65,8 +68,12 @@ def bands(largest: int, percent: int = PERCENT) -> list[tuple[int, int, int, int
     return out
 
 
-def tiles(array: np.ndarray, sums: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Names of the tiles of a sorted set; ``sums`` are running sums of the mixed hashes, from 0."""
+def banded_tiles(array: np.ndarray, sums: np.ndarray, percent: int = PERCENT) -> list[tuple[int, np.ndarray]]:
+    """(need, names of tiles) of a sorted set for each band it is in; ``sums`` are running sums of the mixed hashes, from 0.
+
+    A set that links with this one and meets it in the band shares ``need`` of the names at least: the segments less the shingles in
+    which the two can differ, less those that are empty in both and left out.
+    """
     n, out = len(array), []
     for index, (low, high, count, spare) in enumerate(bands(1 << 40, percent)):
         # The smaller of a linked pair may lie below the band of the larger.
@@ -80,8 +87,16 @@ def tiles(array: np.ndarray, sums: np.ndarray, percent: int = PERCENT) -> np.nda
         content = sums[at[1:]] - sums[at[:-1]]
         full = at[1:] > at[:-1]
         names = mix(content + mix(np.arange(count, dtype=np.uint64) + np.uint64((index + 1) << 40)))
-        out.append(names[full] if count - full.sum() <= spare else names)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        empty = count - int(full.sum())
+        need = count - differences(n, min(high, n * 100 // percent), percent) - min(empty, spare)
+        out.append((need, names[full] if empty <= spare else names))
+    return out
+
+
+def tiles(array: np.ndarray, sums: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Names of the tiles of a sorted set, of all bands."""
+    found = banded_tiles(array, sums, percent)
+    return np.concatenate([names for _, names in found]) if found else np.zeros(0, np.uint64)
 
 
 def _sets(texts: list, words: int) -> list[np.ndarray]:
@@ -101,6 +116,13 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
+def _banded(rows: list[list[tuple[int, np.ndarray]]]) -> pa.ListArray:
+    """Lists of (need, names)."""
+    flat = [band for row in rows for band in row]
+    each = pa.StructArray.from_arrays([pa.array([need for need, _ in flat], pa.int32()), _lists([names for _, names in flat])], ["need", "names"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(row) for row in rows]).astype(np.int32)), each)
+
+
 def _wide(array: np.ndarray) -> bytes:
     """Bitmap of two to four bits a shingle; empty where that of fixed size does."""
     if len(array) <= BITMAP // 2:
@@ -119,14 +141,14 @@ def _describe(words: int, percent: int):
             nodes.append(_name(array, int(sums[-1])) if len(array) else 0)
             bits = np.zeros(BITMAP, bool)
             bits[(array & np.uint64(BITMAP - 1)).astype(np.int64)] = True
-            found = tiles(array, sums, percent)
+            found = banded_tiles(array, sums, percent)
             bitmaps.append(np.packbits(bits).view(np.uint64) if len(found) else np.zeros(0, np.uint64))
             wide.append(_wide(array) if len(found) else b"")
             names.append(found)
         return pa.table({
             "doc_id": pa.array(rows["doc_id"], pa.int64()), "n": pa.array(n, pa.int64()),
             "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "bitmap": _lists(bitmaps), "wide": pa.array(wide, pa.binary()),
-            "tiles": _lists(names)})
+            "tiles": _banded(names)})
 
     return step
 
@@ -233,23 +255,27 @@ def _one_a_node(sets: DataFrame) -> DataFrame:
 
 
 def _tiles_and_hubs(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tile, node) of tiles with two nodes at least, and their (tile, hub).
+    """(tile, node) of the tiles by which each node has to be found, and the (tile, hub) of those with two such nodes at least.
 
-    Tiles move once: a window over a tile, which streams and spills, tells whether it has a second node. The hub is the member whose
-    tiles are fullest together: among near copies, the text that the others derive from.
+    Tiles move once: a window over a tile, which streams and spills, tells its number of nodes. Links share ``need`` tiles of a band, so
+    a node leaves its fullest ``need - 1`` there: the emptiest of the shared ones has ``need - 1`` fuller ones beside it, and neither
+    side leaves it. The hub is the member whose tiles are fullest together: among near copies, the text that the others derive from.
     """
-    named = _one_a_node(sets).select("node", F.explode("tiles").alias("tile"))
-    whole = Window.partitionBy("tile")
-    members = stage(named.withColumn("c", F.count("*").over(whole)).filter("c > 1"), "members")
-    score = members.groupBy("node").agg(F.sum("c").alias("s"))
-    hubs = members.join(score, "node").groupBy("tile").agg(F.max_by("node", F.struct("s", "node")).alias("hub"))
-    return members.select("tile", "node"), stage(hubs, "hubs")
+    banded = _one_a_node(sets).select("node", F.posexplode("tiles").alias("band", "of"))
+    named = banded.select("node", "band", F.col("of.need").alias("need"), F.explode("of.names").alias("tile"))
+    shared = named.withColumn("c", F.count("*").over(Window.partitionBy("tile"))).filter("c > 1")
+    # One order for all nodes: by the tile's number of nodes, then by its name.
+    fullest = Window.partitionBy("node", "band").orderBy(F.desc("c"), F.desc("tile"))
+    ranked = shared.withColumns({"s": F.sum("c").over(Window.partitionBy("node")), "rank": F.row_number().over(fullest)})
+    members = stage(ranked.filter("rank >= need").select("tile", "node", "s"), "members")
+    hubs = members.groupBy("tile").agg(F.max_by("node", F.struct("s", "node")).alias("hub"), F.count("*").alias("c"))
+    return members.select("tile", "node"), stage(hubs.filter("c > 1").select("tile", "hub"), "hubs")
 
 
 def joined_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node of each document), and the components' (node, label) for nodes that are not their own label."""
     sets = stage(scan(docs, ["doc_id", "text"], partial(_describe, words, percent),
-                      "doc_id long, n long, node long, bitmap array<long>, wide binary, tiles array<long>"), "sets")
+                      "doc_id long, n long, node long, bitmap array<long>, wide binary, tiles array<struct<need:int,names:array<long>>>"), "sets")
     members, hubs = _tiles_and_hubs(sets)
     others = members.join(hubs, "tile").filter("node <> hub")
     pairs = stage(others.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
@@ -271,10 +297,13 @@ def joined_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     if rest.isEmpty():
         return sets.select("doc_id", "n", "node"), labels
     # All that is left to compare; a pair leaves the join only if its bitmaps may hold a link.
-    rest = rest.join(_distinct_tiles(rest), "tile", "left_semi").join(nodes.select("node", "n", "bitmap"), "node")
-    p = rest.select("tile", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("nx"), F.col("bitmap").alias("bx"))
-    q = rest.select("tile", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("ny"), F.col("bitmap").alias("by"))
-    close = p.join(q, (p["tile"] == q["tile"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _near(percent))
+    rest = _with_earlier(rest.join(_distinct_tiles(rest), "tile", "left_semi")).join(nodes.select("node", "n", "bitmap"), "node")
+    p = rest.select("tile", F.col("node").alias("a"), F.col("label").alias("la"), F.col("earlier").alias("ex"), F.col("n").alias("nx"),
+                    F.col("bitmap").alias("bx"))
+    q = rest.select("tile", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("earlier").alias("ey"), F.col("n").alias("ny"),
+                    F.col("bitmap").alias("by"))
+    close = p.join(q, (p["tile"] == q["tile"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
+                   & ~F.arrays_overlap("ex", "ey") & _near(percent))
     close = stage(_closer(close.select("a", "b").distinct(), nodes, percent), "close")
     more = _linked(close, sets, docs, words, percent)
     return sets.select("doc_id", "n", "node"), components(stage(links.unionAll(more), "links"))
@@ -299,6 +328,13 @@ def _distinct_tiles(members: DataFrame) -> DataFrame:
     return same.groupBy("s", "c").agg(F.min("tile").alias("tile")).select("tile")
 
 
+def _with_earlier(members: DataFrame) -> DataFrame:
+    """Add ``earlier``: the node's tiles just before this one, by name. A pair that has one of them in common meets there too, so it need
+    not leave the join here; the first tile that a pair has in common has no such one."""
+    before = Window.partitionBy("node").orderBy("tile").rowsBetween(-EARLIER, -1)
+    return members.withColumn("earlier", F.collect_list("tile").over(before))
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     rows, labels = joined_sets(docs, words, percent)

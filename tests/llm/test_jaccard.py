@@ -249,3 +249,56 @@ def test_linked_sets_share_a_tile_at_other_percentages(percent):
             tried += 1
             assert names(a) & names(b)
     assert tried > 50
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90, 95])
+def test_linked_sets_share_as_many_tiles_as_they_need(percent):
+    draw, tried, more = np.random.default_rng(8), 0, 0
+
+    def banded(s):
+        return J.banded_tiles(s, np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s))]), percent)
+
+    for _ in range(600):
+        n = int(draw.integers(5, 2000))
+        # Hashes of a part of the range only leave many segments empty.
+        top = 1 << (64 if draw.random() < 0.7 else 62)
+        values = np.unique(draw.integers(0, top, 2 * n, dtype=np.uint64))
+        most = n * (100 - percent) // 100 + 1
+        a = np.sort(values[draw.permutation(len(values))[:n]])
+        rest = np.setdiff1d(values, a)
+        b = np.sort(np.concatenate([draw.permutation(a)[int(draw.integers(0, most)):], rest[:int(draw.integers(0, most))]]))
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= percent * (n + len(b) - common) and len(a) + len(b) > common * 2:
+            tried += 1
+            shared = [(len(np.intersect1d(x, y)), max(p, q)) for p, x in banded(a) for q, y in banded(b)]
+            assert any(have >= need for have, need in shared)
+            more += any(have >= need > 1 for have, need in shared)
+    assert tried > 50 and more > 20
+
+
+def test_common_phrases_make_no_large_tiles(spark):
+    # Other texts with a few phrases in common: no link, and no tile in which all of them would meet.
+    draw, rows = random.Random(4), []
+    phrases = [" ".join(f"p{i}q{j}" for j in range(7)) for i in range(40)]
+    for i in range(150):
+        text = [f"t{i}x{j}" for j in range(300)]
+        for phrase in draw.sample(phrases, 4):
+            text.insert(draw.randrange(len(text)), phrase)
+        rows.append((i, " ".join(text), "en", "a", 1))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sets = J.scan(docs, ["doc_id", "text"], J.partial(J._describe, 5, 80),
+                  "doc_id long, n long, node long, bitmap array<long>, wide binary, tiles array<struct<need:int,names:array<long>>>")
+    named = [r["tile"] for r in sets.selectExpr("inline(tiles)").selectExpr("explode(names) AS tile").collect()]
+    assert len(named) - len(set(named)) > 200
+    members, hubs = J._tiles_and_hubs(J.stage(sets, "sets"))
+    assert members.join(hubs, "tile").count() < 10
+    assert rows_of(J.jaccard_components(docs, 5, 80)) == _brute([r[:2] for r in rows], 5, 80)
+
+
+def test_a_pair_with_many_tiles_in_common_leaves_the_join_once(spark):
+    rows = [(node, t * 7919 % 1009) for node in (1, 2, 3) for t in range(60) if node < 3 or t % 20 == 0]
+    members = J._with_earlier(spark.createDataFrame(rows, "node long, tile long"))
+    x, y = (members.selectExpr("tile", f"node AS {n}", f"earlier AS e{n}") for n in "ab")
+    met = x.join(y, "tile").filter("a < b AND NOT arrays_overlap(ea, eb)").select("a", "b").collect()
+    assert sorted(set(met)) == [(1, 2), (1, 3), (2, 3)]
+    assert met.count((1, 2)) == 1
