@@ -175,3 +175,23 @@ def test_formats(spark):
                      tier_of(F.lit(3000)), tier_of(F.lit(2999)),
                      minutes_since(F.timestamp_seconds(F.lit(0)), F.lit(False), F.timestamp_seconds(F.lit(120)))).first()
     assert list(got) == ["US$ 1.2k", "US$ 999", "US$ 1.0k", "−2.0pp", "+3.0pp", "critical", "warn", "ok", "≈ 2 min ago"]
+
+
+def test_payload_files_are_written_by_many_tasks_and_read_in_four_batches(spark, tmp_path, monkeypatch):
+    from dipwatch.plans import queries as Q
+
+    rows = [(i, i % 50 + 1, i % 10 + 1, 1, float(i % 90 + 1)) for i in range(1, 401)]
+    lines = spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_extendedprice double")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(Q, "stage_path", lambda spark, name: f"{tmp_path}/{name}")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        got = Q.QUERIES["q75_payload_ingest"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert len(list(tmp_path.glob("payload-ingest/in/*.txt"))) == 16
+    assert len(list(tmp_path.glob("payload-ingest/store/facts/batch_id=*"))) == 4
+    once = broken(spark, *[r.payload for r in Q.damaged_payloads(Q.payments(spark, str(tmp_path))).collect()])
+    facts = sum(reason is None for reason, _ in once)
+    assert {r.outcome: r.entries for r in got}["fact"] == facts and sum(r.entries for r in got) == facts + 2 * (400 - facts)
