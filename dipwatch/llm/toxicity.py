@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dipwatch.llm.frames import release
 from dipwatch.llm.words import ALPHANUMERIC, SLICE_ROWS, Words, chunks, scan, words_of
 
 FIT_ROWS = 10_000
@@ -144,6 +145,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) ->
     return [t or b"" for t in got.column("text").to_pylist()], np.array(got.column("toxic").to_pylist(), float)
 
 
+def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """The model; what the sample and the fit took of the driver's memory goes back to the system."""
+    model = fit(*labelled_sample(docs, labels))
+    release()
+    return model
+
+
 def scored(docs: DataFrame, model: Model | None, columns: list[str] | None = None) -> DataFrame:
     """doc_id, score, and the sentences that are toxic by themselves (byte span and score) of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -172,15 +180,14 @@ def scored(docs: DataFrame, model: Model | None, columns: list[str] | None = Non
 
 
 def op4_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    model = fit(*labelled_sample(docs, labels))
-    return scored(docs, model).select(
+    return scored(docs, fitted(docs, labels)).select(
         "doc_id", F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose own text scores below the threshold, in one pass, whatever their id."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(*labelled_sample(docs, labels)))
+    sent = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
 
     def run(batches):
         model = sent.value

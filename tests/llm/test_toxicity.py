@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dipwatch.llm import toxicity as T
 from dipwatch.llm.words import ALPHANUMERIC, words_of
@@ -102,3 +105,22 @@ def test_each_row_goes_by_its_own_text(spark):
     kept = T.without_toxic(clashing(spark.createDataFrame(rows + odd, schema)), labels)
     got = {(r["doc_id"], r["text"]) for r in kept.collect()}
     assert got == {r[:2] for r in rows + odd if r[1] not in {rows[i][1] for i in bad}}
+
+
+def _held() -> float:
+    """MB of this process's own memory."""
+    found = re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())
+    return sum(map(int, found)) / 1024
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="reads Linux's account of memory")
+def test_the_driver_keeps_nothing_of_the_fit(spark):
+    draw = F.sequence(F.lit(1), F.lit(400))
+    text = F.concat_ws(" ", F.transform(draw, lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("doc_id", i), F.lit(5000)).cast("string"))))
+    toxic = F.when(F.col("doc_id") % 5 == 0, F.lit(" vile.")).otherwise(F.lit(" mild."))
+    docs = spark.range(9000).select(F.col("id").alias("doc_id")).select("doc_id", F.concat(text, toxic).alias("text"))
+    labels = spark.range(9000).select(F.col("id").alias("doc_id"), (F.col("id") % 5 == 0).cast("int").alias("toxic"))
+    assert T.op4_toxicity(docs.filter("doc_id < 200"), labels.filter("doc_id < 200")).count() == 200
+    before = _held()
+    assert T.op4_toxicity(docs, labels).count() == 9000
+    assert _held() - before < 25
