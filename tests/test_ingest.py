@@ -10,6 +10,7 @@ from dipwatch.operators.report import minutes_since, money, signed_pp, tier_of
 from dipwatch.operators.requests import invalid_reason
 from dipwatch.operators.rollup import keep_since, minute_rollup
 from dipwatch.session import stage_path
+from dipwatch.sources import raw
 from dipwatch.sources.raw import known_only, parse_events, parsed
 from dipwatch.streaming.ingest import PAYMENT_ORDER, Store, bucket_plan, deduplicated, ingest_batch, payload_stream, run_available, stored_rollup
 
@@ -195,3 +196,14 @@ def test_payload_files_are_written_by_many_tasks_and_read_in_four_batches(spark,
     once = broken(spark, *[r.payload for r in Q.damaged_payloads(Q.payments(spark, str(tmp_path))).collect()])
     facts = sum(reason is None for reason, _ in once)
     assert {r.outcome: r.entries for r in got}["fact"] == facts and sum(r.entries for r in got) == facts + 2 * (400 - facts)
+
+
+def test_types_that_cannot_be_wrong_are_not_searched(spark):
+    kinds = ("STRING", "VOID", "BIGINT", "DOUBLE", "DECIMAL(2,1)", "BOOLEAN", "ARRAY<VOID>", "OBJECT<token: BIGINT>", "OBJECT<x: STRING>")
+    names = (*raw.TEXT_FIELDS, *raw.OPTIONAL_TEXT, "latencyMs", "amountMinor", "amountUsdMinor", "fxRate", "other")
+    rows = [(f"OBJECT<{n}: {k}>",) for n in names for k in kinds] + [(f"OBJECT<amountMinor: BIGINT, {n}: {k}, fxRate: DOUBLE>",) for n in names for k in kinds]
+    rows += [("VOID",), ("STRING",), ("ARRAY<OBJECT<token: BIGINT>>",), (None,)]
+    types = spark.createDataFrame(rows, "types string").select("types", raw.may_be_mistyped().alias("may"), F.size(raw.mistyped()).alias("found"))
+    assert types.where("found > 0 AND NOT may").count() == 0 and types.where("found > 0 AND may").count() > 200
+    clean = "OBJECT<amountMinor: BIGINT, amountUsdMinor: BIGINT, fxRate: DECIMAL(2,1), latencyMs: BIGINT, token: VOID, transactionId: STRING>"
+    assert not spark.createDataFrame([(clean,)], "types string").select(raw.may_be_mistyped()).first()[0]
