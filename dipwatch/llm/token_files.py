@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dipwatch.llm.frames import partitions
-from dipwatch.llm.words import scan
+from dipwatch.llm.words import SPACED, scan
 from dipwatch.session import stage, stage_path
 
 MAGIC = b"IDPL"
@@ -53,7 +53,13 @@ LEVEL = 3
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 REMEMBERED = 1 << 20
-_MARKS = string.punctuation.replace("'", "").encode()
+_IS_MARK, _IS_LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_IS_MARK[list(string.punctuation.replace("'", "").encode())] = True
+_IS_LETTER[list(string.ascii_letters.encode())] = True
+#: Lower case letters of Latin-1 beyond a-z.
+_ACCENTED = "".join(c for c in map(chr, range(0xDF, 0x100)) if c.islower())
+#: Bytes of text that are encoded at once: a word that repeats among them is looked up once.
+CHUNK = 1 << 22
 _TAIL = struct.Struct("<QQIBB4s")
 _LEAST = -(1 << 63)
 
@@ -193,12 +199,14 @@ def opened(path: str, write: bool = False):
 
 
 class WordEncoder:
-    """Ids of words as little-endian bytes, remembered until ``remembered`` words are held.
-
-    A new word is brought to lower case in A-Z where the tokenizer does so itself, and ASCII marks at its end, after an ASCII letter, are a
-    part of their own, as the tokenizer cuts there: fewer different parts are left. Parts of a-z alone that the tokenizer neither
-    changes nor cuts go to its model at once. The others go through all of it, many as one text with a mark between them whose id divides
-    the result. Which of these hold is asked of the tokenizer at the start; words with a special token in them are encoded as they are.
+    """Ids of words as little-endian bytes, remembered until ``remembered`` parts are held.
+
+    Texts are brought to lower case in A-Z where the tokenizer does so itself, and ASCII marks at a word's end, after an ASCII letter, are a
+    part of their own, as the tokenizer cuts there: fewer different parts are left. All texts of a call are cut together, in numpy, and
+    Arrow numbers their different parts, so each is looked up once a call. New parts of small letters of Latin-1 alone, which the
+    tokenizer neither changes nor cuts, go to its model at once. The others go through all of it, many as one text with a mark between
+    them whose id divides the result. Which of these hold is asked of the tokenizer at the start; where a call's texts have a special
+    token, or would have one in lower case, its words are encoded as they are.
     """
 
     def __init__(self, vocabulary: str, remembered: int = REMEMBERED):
@@ -212,13 +220,18 @@ class WordEncoder:
         self.code = "H" if self.kind == "<u2" else "I"
         self.known: dict[bytes, bytes] = {}
         letters = string.ascii_lowercase
-        pairs = [x + y for x in letters for y in letters] + [letters]
         cut, normal = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
         seen = (lambda w: normal.normalize_str(w)) if normal else (lambda w: w)
-        self.direct = cut is not None and all(seen(w) == w and [p for p, _ in cut.pre_tokenize_str(w)] == [w] for w in pairs)
+        piece = (lambda w: [p for p, _ in cut.pre_tokenize_str(w)]) if cut is not None else (lambda w: [])
+        # What the model gets for each letter; words of these letters alone can go to it at once.
+        self.letters = {ord(x): p[0] for x in letters + _ACCENTED if seen(x) == x and len(p := piece(x)) == 1}
+        known = list(map(chr, self.letters))
+        pairs = [x + y for x in known for y in known] + ["".join(known)]
+        self.direct = bool(known) and all(seen(w) == w and piece(w) == [w.translate(self.letters)] for w in pairs)
+        self.simple = re.compile(f"[{''.join(known)}]+") if self.direct else None
         self.lowers = all(seen(x.upper()) == x for x in letters)
         self.parted = cut is not None and all(
-            [p for p, _ in cut.pre_tokenize_str(seen(f"q{m}"))] == ["q", seen(m)] for m in string.punctuation if m != "'")
+            piece(seen(f"q{m}")) == ["q", seen(m)] for m in string.punctuation if m != "'")
         self.mark = next((m for m in "~^|@" if len(self._ids([m])[0]) == 1), None) if cut is not None else None
         self.mark_id = self._ids([self.mark])[0][0] if self.mark else None
 
@@ -245,61 +258,66 @@ class WordEncoder:
         ends = (ends * size).tolist()
         return (data[a:b] for a, b in zip([0] + [e + size for e in ends], ends + [len(data)]))
 
-    def learn(self, words: list[bytes]) -> None:
-        known, lowers, parted = self.known, self.lowers, self.parted
-        made, heads, tails, whole = [], [], [], []
-        if self.special.search(b" ".join(words)):
-            whole = [w for w in words if self.special.search(w)]
-            words = set(words).difference(whole)
-        new: set[bytes] = set()
-        for w in words:
-            head, tail = w.lower() if lowers else w, b""
-            if parted:
-                bare = head.rstrip(_MARKS)
-                if len(bare) < len(head) and bare[-1:].isalpha():
-                    head, tail = bare, head[len(bare):]
-                    new.add(tail)
-            new.add(head)
-            if tail or head != w:
-                made.append(w)
-                heads.append(head)
-                tails.append(tail)
-        new.difference_update(known)
-        if self.direct:
-            # bytes.isalpha and islower know ASCII only.
-            plain = [x for x in new if x.isalpha() and x.islower()]
-            new.difference_update(plain)
-            model, pack = self.tokenizer.model.tokenize, self._bytes
-            for x in plain:
-                known[x] = pack([t.id for t in model(x.decode())])
-        if self.mark is None:
-            whole += new
-        else:
+    def learn(self, parts: list[bytes], whole: bool = False) -> None:
+        """Remember the ids of parts that are not known; ``whole``: encoded one by one, by all of the tokenizer."""
+        known = self.known
+        if not whole and self.direct:
+            model, pack, letters, simple, rest = self.tokenizer.model.tokenize, self._bytes, self.letters, self.simple.fullmatch, []
+            for x in parts:
+                if simple(w := x.decode("utf-8", "replace")):
+                    known[x] = pack([t.id for t in model(w.translate(letters))])
+                else:
+                    rest.append(x)
+            parts = rest
+        if not whole and self.mark is not None:
             mark = self.mark.encode()
-            whole += [x for x in new if mark in x]
-            rest = [x for x in new if mark not in x]
+            rest = [x for x in parts if mark not in x]
             for i in range(0, len(rest), 2048):
                 known.update(zip(rest[i:i + 2048], self._together(rest[i:i + 2048])))
-        for i in range(0, len(whole), 2048):
-            known.update(zip(whole[i:i + 2048], self._whole(whole[i:i + 2048])))
-        for w, head, tail in zip(made, heads, tails):
-            known[w] = known[head] + known[tail] if tail else known[head]
+            parts = [x for x in parts if mark in x]
+        for i in range(0, len(parts), 2048):
+            known.update(zip(parts[i:i + 2048], self._whole(parts[i:i + 2048])))
+
+    def _parts(self, data: np.ndarray, cut: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words of ``data``, whose last byte is white space; ``cut``: without the marks at a word's end, which
+        follow as parts."""
+        inside = SPACED[data]
+        edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if cut:
+            edge = np.diff(_IS_MARK[data].view(np.int8), prepend=np.int8(0))
+            at, to = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            at = at[~inside[to] & (at > 0) & _IS_LETTER[data[at - 1]]]
+            # Each cut ends a part and starts the next, so both stay in step.
+            starts, ends = (np.sort(np.concatenate([x, at]), kind="stable") for x in (starts, ends))
+        return starts, ends
 
     def texts(self, texts: list[bytes | None]) -> list[bytes]:
-        lines = [(t or b"").split() for t in texts]
+        texts = [t or b"" for t in texts]
         if len(self.known) > self.remembered:
             self.known.clear()
-        new: set[bytes] = set()
-        found = []
-        for line in lines:
-            ids = list(map(self.known.get, line))
-            found.append(ids)
-            if None in ids:
-                new.update([w for w, x in zip(line, ids) if x is None])
-        if new:
-            self.learn(list(new))
-            found = [list(map(self.known.get, line)) if None in ids else ids for line, ids in zip(lines, found)]
-        return [b"".join(ids) for ids in found]
+        line = b"\n".join(texts) + b"\n"
+        low = line.lower() if self.lowers else line
+        # Nothing is changed or cut near a special token, nor where lower case would make one.
+        special = any(self.special.search(x) for x in {line, low})
+        data = np.frombuffer(line if special else low, np.uint8)
+        starts, ends = self._parts(data, self.parted and not special)
+        if not len(starts):
+            return [b""] * len(texts)
+        size = pa.py_buffer(np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64))
+        parts = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, size, pa.py_buffer(data[SPACED[data]])]).dictionary_encode()
+        # Far faster than to_pylist.
+        different = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, different))
+        if None in ids:
+            self.learn([w for w, x in zip(different, ids) if x is None], special)
+            ids = list(map(self.known.get, different))
+        made = pa.array(ids, pa.large_binary()).take(parts.indices)
+        _, size, packed = made.buffers()
+        first = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
+        at = np.frombuffer(size, np.int64)[first].tolist()
+        packed = memoryview(packed) if packed is not None else b""
+        return [bytes(packed[a:b]) for a, b in zip(at, at[1:])]
 
 
 #: A word encoder a worker process and vocabulary: what one task learnt serves the next.
@@ -350,7 +368,7 @@ def encoded(docs: DataFrame, vocabulary: str, end: int | None = END_ID) -> DataF
     found = keys.approxQuantile("key", [i / count for i in range(1, count)], 0.2 / count) if count > 1 else []
     bounds = np.array([max(_LEAST, min(x, 2.0 ** 63 - 1024)) for x in found], np.float64).astype(np.int64)
     return scan(rows, ["doc_id", "tie", "text"], _encoded(vocabulary, end, bounds),
-                "doc_id long, part int, tie long, width tinyint, ids binary")
+                "doc_id long, part int, tie long, width tinyint, ids binary", CHUNK)
 
 
 def _write(batches: Iterator[pa.RecordBatch], path: str, planes: int, bits: int, block: int) -> Iterator[pa.RecordBatch]:

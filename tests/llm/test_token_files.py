@@ -82,6 +82,33 @@ def test_words_in_turn_are_the_whole_text(tokenizer):
         assert np.frombuffer(ids, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+class Counted(dict):
+    looked_up = 0
+
+    def get(self, key):
+        self.looked_up += 1
+        return super().get(key)
+
+
+def test_a_repeated_word_is_looked_up_once_a_call(tokenizer):
+    encoder = T.WordEncoder(T.default_vocabulary())
+    encoder.known = Counted()
+    draw = random.Random(3)
+    words = ["Uno", "uno,", "UNO!?", "señal", "SEÑAL", "œuf", "straße.", "it's", "x~y", "...", "é,", "ÿ÷ø"]
+    texts = [" ".join(draw.choice(words) for _ in range(200)) for _ in range(10)]
+    got = encoder.texts([t.encode() for t in texts])
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [_whole(tokenizer, t)[:-1] for t in texts]
+    # Looked up, learnt, looked up again; lower case and marks leave fewer parts than words.
+    assert encoder.known.looked_up <= 2 * 16 and len(encoder.known) <= 16
+
+
+def test_special_tokens_count_as_they_are_written(tokenizer):
+    encoder = T.WordEncoder(T.default_vocabulary())
+    for texts in (["<|ENDOFTEXT|> Word, word"], ["a<|endoftext|>, Word,", None, "Word, <|endoftext|>."], ["", None], ["Word, <|Endoftext|>", "word."]):
+        got = encoder.texts([None if t is None else t.encode() for t in texts])
+        assert [np.frombuffer(g, "<u2").tolist() for g in got] == [_whole(tokenizer, t)[:-1] for t in texts]
+
+
 def test_whole_table_against_brute_force(spark, tokenizer):
     docs = spark.read.parquet(f"{data.SF}/documents.parquet")
     got = [tuple(r) for r in T.op13_token_planes(docs).orderBy("doc_id").collect()]
